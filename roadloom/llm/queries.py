@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import table
 
 
+def op5_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.ring import shard_documents
 
