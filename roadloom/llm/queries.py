@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import table
 
 
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.mixture import mixed_counts
+
+    return mixed_counts(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
+
+
 def op5_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.quality import quality_verdicts
 
