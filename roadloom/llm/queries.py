@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    from roadloom.llm.tokens import file_text
+
+    return file_text(public_tokenizers.path(name))
+
+
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.mixture import mixed_counts
 
@@ -20,6 +28,12 @@ def op5_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.ring import shard_documents
 
