@@ -22,6 +22,12 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
 
 
+def op4_simple8b_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.token_store import stored_tokens
+
+    return stored_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op5_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.quality import quality_verdicts
 
