@@ -22,6 +22,12 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
 
 
+def op3_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op4_simple8b_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.token_store import stored_tokens
 
