@@ -55,6 +55,12 @@ def op8_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.minhash import near_duplicates
 

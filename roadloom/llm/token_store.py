@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
             if doc_ids:
                 if out is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)
                 data = block_bytes(doc_ids, ids)
                 out.write(data)
                 segment[1:] = segment[1] + len(data), segment[2] + len(ids), segment[3] + held
