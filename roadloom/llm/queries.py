@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return file_text(public_tokenizers.path(name))
 
 
+def op1_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.mixture import mixed_counts
 
