@@ -191,5 +191,5 @@ def mixed_documents(docs: DataFrame, source: str = "source", **options) -> DataF
     copies, _, _ = mixture(rows, **options)
     copies = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("pattern").alias("_in"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
     same = docs["doc_id"].eqNullSafe(copies["_id"]) & (_pattern(F.array(docs[source])) == copies["_in"]) & (word_count() == copies["_n"])
-    out = docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    out = docs.join(copies, same).withColumn("__roadloom_copy", F.explode(F.sequence(F.lit(1), copies["_copies"])))
     return out.select(*(docs[c] for c in docs.columns))
