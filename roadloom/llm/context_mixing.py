@@ -1,0 +1,331 @@
+"""Language-model scores by online logistic context mixing.
+
+A word (lower-cased A-Z, ended by a space) is spelled bit by bit. Several bit
+predictors, one for each context order, look up the bits seen after the hash of
+the last 1, 2, 3, 4 and 6 bytes of the word and the bits of the byte so far; their
+log-odds are combined by weights that a gate selects (how high an order knows its
+context), learned online on words left out of their own counts. Within a document
+the spelled probability is then refined by the word's own frequencies: overall and
+in each of the most frequent topics (languages), whose weights follow, causally,
+from the words before it, as does the share between frequency and spelling. All
+probabilities are proper, so the sum is the document's log10 probability.
+
+What is gathered from the corpus is complete: exact counts of every training word
+(by partial aggregation), and from them the bit counts of every context, summed
+in tables of fixed size. Only the few mixing weights are fitted on a bounded sample
+of the training vocabulary (``sample`` words, chosen by hash).
+
+Documents are read once and kept as chunks: the distinct words of about
+``CHUNK_TOKENS`` tokens, and the documents as places in them. The chunks' words
+meet the vocabulary in a join and come back to their chunk, so neither the texts
+nor a row for each token are shuffled, and a task holds one chunk.
+
+A null text is empty: its only token is the end. A null doc_id counts as the empty
+string where the fold is drawn. An empty table gives no rows. Extra columns are
+not read.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadloom.llm.common import stored
+
+CHUNK_TOKENS = 1_000_000
+#: Bytes of context, and slots (a power of two) of each predictor's table.
+ORDERS = ((1, 1 << 16), (2, 1 << 18), (3, 1 << 19), (4, 1 << 19), (6, 1 << 19))
+BLOCK = 1 << 14
+#: Topics with word frequencies of their own, the last for all others.
+TOPICS = 6
+COUNTS = ", ".join(f"t{k} long" for k in range(TOPICS))
+#: The end of a document, a token that no text can hold.
+END = b" "
+
+
+def in_fold(doc_id, folds: int, held: int) -> bool:
+    """Held out: crc32 of the id as text, modulo ``folds``, is ``held``."""
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == held
+
+
+def top_topics(docs: DataFrame, topic: str | None, most: int = TOPICS - 1) -> list:
+    """The most frequent topics; the rest share one more."""
+    if topic is None:
+        return []
+    counts = docs.where(F.col(topic).isNotNull()).groupBy(F.col(topic).cast("string").alias("t")).agg(F.count("*").alias("n"))
+    return [r["t"] for r in counts.orderBy(F.desc("n"), "t").limit(most).collect()]
+
+
+def chunks_of(docs: DataFrame, folds: int, held: int, topic: str | None, topics: list) -> DataFrame:
+    """A row for each chunk: its words with their training counts by topic, its documents, and their tokens as places among the words."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        at, number = TaskContext.get().partitionId(), 0
+        rows, tokens = [], []
+
+        def close():
+            nonlocal number, rows, tokens
+            place: dict = {}
+            lengths = np.array([len(t) for t in tokens], np.int64)
+            places = np.fromiter((place.setdefault(x, len(place)) for t in tokens for x in t), np.int32, int(lengths.sum()))
+            topic_of = np.repeat(np.array([-1 if h else t for _, h, t in rows], np.int64), lengths)
+            counts = {f"t{k}": [np.bincount(places[topic_of == k], minlength=len(place))] for k in range(TOPICS)}
+            out = pd.DataFrame(
+                {
+                    "chunk": [(at << 32) + number],
+                    "words": [list(place)],
+                    **counts,
+                    "doc_ids": [[i for i, _, _ in rows]],
+                    "held": [[h for _, h, _ in rows]],
+                    "lengths": [lengths],
+                    "places": [zlib.compress(places.astype("<u4").tobytes(), 1)],
+                }
+            )
+            rows, tokens, number = [], [], number + 1
+            return out
+
+        held_tokens = 0
+        for batch in batches:
+            for i, text, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], batch["topic"]):
+                i = None if pd.isna(i) else int(i)
+                rows.append((i, in_fold(i, folds, held), number_of.get(t, TOPICS - 1)))
+                tokens.append([*("" if text is None else text).encode("utf-8", "surrogatepass").lower().split(), END])
+                held_tokens += len(tokens[-1])
+                if held_tokens >= CHUNK_TOKENS:
+                    held_tokens = 0
+                    yield close()
+        if rows:
+            yield close()
+
+    number_of = {t: k for k, t in enumerate(topics)}
+    schema = f"chunk long, words array<binary>, {COUNTS.replace(' long', ' array<long>')}, doc_ids array<long>, held array<boolean>, lengths array<long>, places binary"
+    named = F.lit(None).cast("string") if topic is None else F.col(topic).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", named.alias("topic")).mapInPandas(run, schema)
+
+
+def _bit_slots(words: list[bytes]):
+    """For 8 bit planes: (bits, slot of each predictor), over the bytes of the words and their closing spaces; and the bytes' word numbers."""
+    import numpy as np
+
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    context, contexts, base = np.zeros(len(data), np.uint32), [], 0
+    for back in range(1, ORDERS[-1][0] + 1):
+        before = np.concatenate((np.zeros(back, np.uint8), data[:-back]))[: len(data)].astype(np.uint32)
+        before[inside < back] = 32
+        context = (context ^ before) * np.uint32(0x01000193) + np.uint32(back)
+        for order, slots in ORDERS:
+            if order == back:
+                contexts.append((context * np.uint32(0x9E3779B1), slots.bit_length() - 1, base))
+                base += slots
+
+    def planes():
+        for bit in range(7, -1, -1):
+            node = (np.uint32(1 << (7 - bit)) | (data >> np.uint8(bit + 1) if bit < 7 else np.zeros(len(data), np.uint8)).astype(np.uint32)) * np.uint32(0x85EBCA6B)
+            slots = [(((c ^ node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - width)).astype(np.int32) + base for c, width, base in contexts]
+            yield (data >> np.uint8(bit)) & np.uint8(1), slots
+
+    return planes(), owner
+
+
+SLOTS = sum(slots for _, slots in ORDERS)
+#: Of each predictor: order, slots, first slot.
+BASES = tuple((order, slots, sum(n for o, n in ORDERS if o < order)) for order, slots in ORDERS)
+
+
+def bit_counts(vocabulary: DataFrame) -> DataFrame:
+    """(block, zeros, ones): bit counts of all slots, in blocks, from the training words of ``vocabulary(word, c)``.
+
+    Each distinct word counts once: spelling is for what frequency does not know.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        seen = np.zeros((2, SLOTS), np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 20_000):
+                part = batch.iloc[lo : lo + 20_000]
+                planes, _ = _bit_slots(list(part["word"]))
+                for bits, slots in planes:
+                    for value in (0, 1):
+                        here = bits == value
+                        for s, (_, _, base), (_, width) in zip(slots, BASES, ORDERS):
+                            seen[value, base : base + width] += np.bincount(s[here] - base, minlength=width)
+        for block in range(0, SLOTS, BLOCK):
+            part = seen[:, block : block + BLOCK]
+            if part.any():
+                yield pd.DataFrame({"block": [block], "zeros": [part[0].astype("<i8").tobytes()], "ones": [part[1].astype("<i8").tobytes()]})
+
+    def add(pdf):
+        import numpy as np
+        import pandas as pd
+
+        total = {c: sum(np.frombuffer(x, "<i8") for x in pdf[c]) for c in ("zeros", "ones")}
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], **{c: [x.astype("<f4").tobytes()] for c, x in total.items()}})
+
+    schema = "block int, zeros binary, ones binary"
+    return vocabulary.where("c > 0").select("word").mapInPandas(run, schema).groupBy("block").applyInPandas(add, schema)
+
+
+class Mixer:
+    """Gated logistic mixing of the predictors' log-odds."""
+
+    def __init__(self, zeros, ones):
+        import numpy as np
+
+        self.np, self.zeros, self.ones = np, zeros, ones
+        self.weights = np.full((len(ORDERS) + 1, len(ORDERS)), 0.3)
+
+    def inputs(self, bits, slots, leave: int):
+        """Log-odds of each predictor and the gate; ``leave`` takes one sight of the bit out of the counts."""
+        np = self.np
+        odds, gate = np.empty((len(slots), len(bits)), np.float32), np.zeros(len(bits), np.int8)
+        for k, s in enumerate(slots):
+            zeros, ones = self.zeros[s], self.ones[s]
+            if leave:
+                zeros, ones = np.maximum(zeros - (bits == 0), 0), np.maximum(ones - (bits == 1), 0)
+            odds[k] = np.log((ones + 0.02) / (zeros + 0.02))
+            gate += (zeros + ones >= 2).astype(np.int8)
+        return odds, gate
+
+    def learn(self, words: list[bytes], rate: float = 0.002, turns: int = 3) -> None:
+        """Online: small groups of words in order, each corrected by its own errors."""
+        np = self.np
+        for turn in range(turns):
+            for lo in range(0, len(words), 50):
+                part = words[lo : lo + 50]
+                planes, _ = _bit_slots(part)
+                for bits, slots in planes:
+                    odds, gate = self.inputs(bits, slots, leave=1)
+                    p = self.predict(odds, gate)
+                    error = bits - p
+                    for g in np.unique(gate).tolist():
+                        here = gate == g
+                        self.weights[g] += rate / (1 + turn) * (odds[:, here] @ error[here]) / max(1.0, np.sqrt(here.sum()))
+
+    def predict(self, odds, gate):
+        np = self.np
+        mixed = np.einsum("kn,nk->n", odds, self.weights.astype(np.float32)[gate])
+        return 1 / (1 + np.exp(-np.clip(mixed, -16, 16)))
+
+    def log10(self, words: list[bytes]):
+        """log10 probability of each word's spelling."""
+        np = self.np
+        planes, owner = _bit_slots(words)
+        total = np.zeros(len(owner))
+        for bits, slots in planes:
+            p = self.predict(*self.inputs(bits, slots, leave=0))
+            total += np.log10(np.where(bits == 1, p, 1 - p))
+        return np.bincount(owner, total, minlength=len(words))
+
+
+def _refined(counts, sizes, total: int, words: int, spelled, lengths, own: float = 0.95, prior: float = 0.9, strength: float = 20.0):
+    """log10 probability word by word; counts: (topics, tokens).
+
+    A topic's frequency is ``own`` its counts and else the overall one. Topics are
+    weighted by how well they foretold the words before, and frequency against
+    spelling by the share of those words that frequency explained.
+    """
+    import numpy as np
+
+    every = counts.sum(0)
+    overall = np.where(every > 0, (every + 1) / (total + words + 1), 0.0)
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    shares = (sizes + 1) / (sizes + 1).sum()
+    by_topic = [own * counts[k] / max(sizes[k], 1) + (1 - own) * overall for k in range(len(sizes))]
+    weights = []
+    for share, p in zip(shares, by_topic):
+        before = np.concatenate(([0.0], np.cumsum(np.log(np.where(every > 0, np.maximum(p, 1e-300), 1.0)))))
+        weights.append(np.log(share) + before[:-1] - before[starts])
+    top = np.maximum.reduce(weights)
+    weights = [0.99 * np.exp(w - top) + 0.01 * s for w, s in zip(weights, shares)]
+    known = sum(w * p for w, p in zip(weights, by_topic)) / sum(weights)
+    letters = np.maximum(10.0**spelled, 1e-300)
+    sure = prior * known / (prior * known + (1 - prior) * letters)
+    before = np.concatenate(([0.0], np.cumsum(sure)))
+    share = (prior * strength + before[:-1] - before[starts]) / (strength + np.arange(len(known)) - starts)
+    # A spelling too improbable for a double counts with its own exponent.
+    return np.where(known > 0, np.log10(share * known + (1 - share) * letters), np.log10(1 - share) + spelled)
+
+
+def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, topic: str | None = "lang", sample: int = 20_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``."""
+    import numpy as np
+
+    spark = docs.sparkSession
+    chunks = stored(chunks_of(docs, folds, held, topic, top_topics(docs, topic)), "lm-chunks")
+    names = [f"t{k}" for k in range(TOPICS)]
+    words = chunks.select(F.explode(F.arrays_zip("words", *names)).alias("x")).select(F.col("x.words").alias("word"), *(F.col(f"x.{t}") for t in names))
+    vocabulary = stored(words.groupBy("word").agg(*(F.sum(t).alias(t) for t in names)), "lm-vocabulary")
+    vocabulary = vocabulary.withColumn("c", sum(F.col(t) for t in names))
+    n, v, *sizes = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), *(F.coalesce(F.sum(t), F.lit(0)) for t in names)).first()
+    sizes = np.array(sizes, np.float64)
+
+    table = np.zeros((2, SLOTS), np.float32)  # of fixed size
+    for row in bit_counts(vocabulary).toLocalIterator():
+        for i, column in enumerate(("zeros", "ones")):
+            part = np.frombuffer(row[column], "<f4")
+            table[i, row["block"] : row["block"] + len(part)] = part
+    mixer = Mixer(table[0], table[1])
+    some = vocabulary.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(sample).collect()  # the weights' bounded sample
+    mixer.learn([bytes(r["word"]) for r in some])
+    shared = spark.sparkContext.broadcast((table.tobytes(), mixer.weights))
+
+    def spell(batches):
+        import numpy as np
+
+        data, weights = shared.value
+        zeros, ones = np.frombuffer(data, np.float32).reshape(2, -1)
+        mixer = Mixer(zeros, ones)
+        mixer.weights = weights
+        for batch in batches:
+            for lo in range(0, len(batch), 20_000):
+                part = batch.iloc[lo : lo + 20_000]
+                yield part.assign(spelled=mixer.log10(list(part["word"])))
+
+    spelled = stored(vocabulary.drop("c").mapInPandas(spell, f"word binary, {COUNTS}, spelled double"), "lm-spelled")
+    places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
+    found = places.join(spelled, "word").select(F.col("chunk").alias("home"), "place", *names, "spelled")
+
+    def score(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        order = np.argsort(right["place"].to_numpy())
+        table, spelled = right[names].to_numpy(np.float64)[order].T, right["spelled"].to_numpy()[order]
+        for row in left.itertuples(index=False):
+            lengths = np.asarray(row.lengths, np.int64)
+            at = np.frombuffer(zlib.decompress(row.places), "<u4").astype(np.int64)
+            starts = np.cumsum(lengths) - lengths
+            by_topic = table[:, at]
+            counts = by_topic.sum(0)
+            refined = _refined(by_topic, sizes, n, v, spelled[at], lengths)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": pd.array([None if i is None or i != i else int(i) for i in row.doc_ids], "Int64"),
+                        "held_out": np.asarray(row.held, bool),
+                        "n_tokens": lengths,
+                        "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
+                        "train_tokens": n,
+                        "base_score": np.add.reduceat(np.log10(counts + 1), starts) - lengths * np.log10(n + v + 1),
+                        "score": np.add.reduceat(refined, starts),
+                    }
+                )
+            )
+        return pd.concat(out)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rows = chunks.select("chunk", "doc_ids", "held", "lengths", "places")
+    return rows.groupBy("chunk").cogroup(found.groupBy("home")).applyInPandas(score, schema)

@@ -52,6 +52,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.llm.context_mixing import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op8_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadloom.llm.ring import shard_documents
 
