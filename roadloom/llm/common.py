@@ -43,11 +43,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: smaller than a checkpoint, columns prunable."""
+def stored(df: DataFrame, what: str, compression: str = "none") -> DataFrame:
+    """Write as Parquet in the shared folder and read back: smaller than a checkpoint, columns prunable.
+
+    Hashes and ids do not compress, so no codec (and none of its native buffers) is used unless asked for.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

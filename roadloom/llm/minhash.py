@@ -10,13 +10,13 @@ Links, with bounded pair counts:
 
 1. Equal shingle sets are one class (128-bit fingerprint), represented by its
    smallest id; only representatives go on.
-2. In every bucket the smallest id is the hub of a star: each other member is
-   compared with it, so a bucket of n members gives n - 1 candidate pairs.
+2. In every bucket the member found in most buckets is the hub of a star: each
+   other member is compared with it, so n members give n - 1 candidate pairs.
 3. Candidates are confirmed on the full shingle sets.
-4. A star can miss a link between two members that do not resemble the hub.
-   Buckets that still hold two or more components go on with further hubs, taken
-   from all components but the bucket's largest, until every pair of members in
-   different components has been compared. Nothing is capped.
+4. A star can miss a link between two members that do not resemble the hub. The
+   members of buckets that still hold two or more components are compared in
+   blocks: those outside the largest component are queries against all the rest.
+   No pair is written out for that, and nothing is capped.
 
 Words are maximal runs of non-white ASCII after lower-casing A-Z. A text with
 fewer words than a shingle has its whole sequence as the only one; a null or
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import checkpoint, stored
+from roadloom.llm.common import stored
 from roadloom.llm.components import connected_components
 
 
@@ -172,6 +172,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("ha") + F.size("hb") - F.col("c"))).select("a", "b").distinct()
 
 
+def _compare(percent: int):
+    """Of one block of queries against one block of targets: links that join different components, by exact overlap counts."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        queries, targets = pdf[pdf["query"]], pdf[~pdf["query"]]
+        links, parent = [], {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if len(queries) and len(targets):
+            sizes = np.array([len(h) for h in targets["hashes"]])
+            flat = np.concatenate([np.asarray(h, np.int64) for h in targets["hashes"]])
+            words, flat = np.unique(flat, return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            docs, parts = targets["doc_id"].to_numpy(), targets["component"].to_numpy()
+            flag = np.zeros(len(words), np.int32)
+            for doc, part, hashes in zip(queries["doc_id"].tolist(), queries["component"].tolist(), queries["hashes"]):
+                hashes = np.asarray(hashes, np.int64)
+                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+                at = at[words[at] == hashes]
+                flag[at] = 1
+                common = np.add.reduceat(flag[flat], starts).astype(np.int64)
+                flag[at] = 0
+                near = (100 * common >= percent * (len(hashes) + sizes - common)) & (parts != part)
+                for i in np.flatnonzero(near).tolist():
+                    x, y = find(part), find(int(parts[i]))
+                    if x != y:
+                        parent[x] = y
+                        links.append((doc, int(docs[i])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _missed(live: DataFrame, hubs: DataFrame, component: DataFrame, sets: DataFrame, percent: int, block: int = 1_000_000):
+    """Links between members of a bucket that its star did not bring into one component; None if no bucket has such.
+
+    The buckets concerned are joined into clusters. Within a cluster the documents
+    outside its largest component are queries against all of it, in blocks of about
+    ``block`` hashes, so a task holds two blocks whatever the cluster's size.
+    """
+    now = live.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    stars = stored(now.join(mixed, "bucket", "left_semi").join(hubs, "bucket").select("doc", "hub", "component"), "minhash-left")
+    if stars.limit(1).count() == 0:
+        return None
+    clusters = connected_components(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(
+        component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
+    )
+    members = members.withColumn("component", F.coalesce("component", "doc_id")).join(sets, "doc_id")
+    members = stored(members, "minhash-clusters")
+    parts = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("h"))
+    plan = parts.groupBy("cluster").agg(F.max(F.struct("n", "component", "h")).alias("top"), F.sum("h").alias("h"))
+    blocks = lambda h: F.ceil(h / F.lit(float(block))).cast("int")
+    plan = plan.select("cluster", F.col("top.component").alias("largest"), F.greatest(F.lit(1), blocks(F.col("h"))).alias("tbs"), F.greatest(F.lit(1), blocks(F.col("h") - F.col("top.h"))).alias("qbs"))
+    members = members.join(plan, "cluster")
+    place = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["cluster", "qb", "tb", "query", "doc_id", "component", "hashes"]
+    targets = members.withColumn("tb", place(F.col("tbs"), 1)).withColumn("qb", each(F.col("qbs"))).withColumn("query", F.lit(False)).select(columns)
+    queries = members.where("component <> largest").withColumn("qb", place(F.col("qbs"), 2)).withColumn("tb", each(F.col("tbs"))).withColumn("query", F.lit(True)).select(columns)
+    return targets.unionByName(queries).groupBy("cluster", "qb", "tb").applyInPandas(_compare(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, seed: int = 11) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
 
@@ -182,36 +254,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     reps = signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = stored(reps, "minhash-classes")
 
-    # Buckets with more than one class, and their first hubs.
+    # Buckets with more than one class. Their hub is the member with the most such buckets: the most central one.
     members = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub < top").select("bucket", "hub")
-    live = stored(members.join(shared, "bucket").distinct(), "minhash-live")
-    sets = stored(_sets_of(docs, live.select(F.col("doc").alias("doc_id")).distinct(), shingle), "minhash-sets")
-
-    links = stored(_confirmed(live.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), sets, percent), "minhash-links")
+    shared = members.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket")
+    live = stored(members.join(shared, "bucket", "left_semi").distinct(), "minhash-live")
+    weights = live.groupBy("doc").agg(F.count("*").alias("weight"))
+    hubs = live.join(weights, "doc").groupBy("bucket").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("hub"))
+    hubs = stored(hubs, "minhash-hubs")
+    sets = stored(_sets_of(docs, weights.select(F.col("doc").alias("doc_id")), shingle), "minhash-sets")
+
+    stars = live.join(hubs, "bucket").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    links = stored(_confirmed(stars, sets, percent), "minhash-links")
     component = connected_components(links)
-    left = live.where("doc <> hub").select("bucket", "doc")
-    hubs_a_round = 1
-    while True:
-        # What is left of a bucket when its earlier hubs are done, with today's components.
-        now = left.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        now = stored(now.join(mixed, "bucket", "left_semi"), "minhash-left")
-        if now.limit(1).count() == 0:
-            break
-        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("x")).select("bucket", F.col("x.component").alias("largest"))
-        small = now.join(largest, "bucket").where("component <> largest")
-        hubs = small.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(hubs_a_round))).agg(F.min("doc").alias("hub"))
-        hubs = hubs.join(component.select(F.col("node").alias("hub"), F.col("component").alias("own")), "hub", "left").select("bucket", "hub", F.coalesce("own", "hub").alias("own"))
-        hubs = checkpoint(hubs)
-        pairs = now.join(hubs, "bucket").where("component <> own").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
-        more = stored(_confirmed(pairs, sets, percent), "minhash-links")
-        left = now.select("bucket", "doc").join(hubs.select("bucket", F.col("hub").alias("doc")), ["bucket", "doc"], "left_anti")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            component = connected_components(links)
-        hubs_a_round *= 4
+    more = _missed(live, hubs, component, sets, percent)
+    if more is not None:
+        component = connected_components(links.unionByName(more))
 
     found = signed.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
