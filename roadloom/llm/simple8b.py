@@ -23,13 +23,17 @@ def encode(values):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     limits = np.array([1 << bits for _, bits in LAYOUTS], dtype=np.uint64)
     need = np.searchsorted(limits, values, side="right").astype(np.int8)  # the narrowest selector that holds each
+    places = np.arange(n, dtype=np.int32)
     take, chosen = np.ones(n, np.int64), np.where(need == ESCAPE, ESCAPE, 13).astype(np.int8)
     least = int(need.min())
     for selector in range(12, least - 1, -1):
         count = LAYOUTS[selector][0]
-        wide = np.concatenate(([0], np.cumsum(need > selector), np.full(count, 0)))
-        wide[n + 1 :] = wide[n]
-        fits = wide[count : count + n] == wide[:n]
+        wide = np.concatenate(([-1], np.flatnonzero(need > selector), [n])).astype(np.int32)
+        gaps = np.diff(wide)
+        if gaps.max() <= count and gaps[-1] == 1:
+            continue
+        ahead = np.repeat(wide[1:], gaps)[:n]  # the next value that is too wide
+        fits = (ahead - places >= count) | (ahead == n)  # the tail may be padded
         take[fits], chosen[fits] = count, selector
     starts, steps, at = [], take.tolist(), 0
     while at < n:

@@ -43,6 +43,11 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def parallelism(pieces: DataFrame) -> int:
+    """Tasks for reading ``pieces`` of files: rows so few would else be gathered in one task."""
+    return max(1, min(pieces.count(), 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def block_bytes(doc_ids, ids: list[bytes]) -> bytes:
     import numpy as np
 
@@ -148,7 +153,8 @@ def read_store(catalogue: DataFrame, digest: bool = True) -> DataFrame:
     files = files.select("file_no", F.coalesce(F.sum("n").over(before_file), F.lit(0)).alias("file_start"))
     before_segment = Window.partitionBy("file_no").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     segments = catalogue.withColumn("own", F.coalesce(F.sum("ids").over(before_segment), F.lit(0))).join(files, "file_no")
-    segments = segments.select("path", "offset", "bytes", (F.col("file_start") + F.col("own")).alias("start")).repartition("path", "offset")
+    segments = segments.select("path", "offset", "bytes", (F.col("file_start") + F.col("own")).alias("start"))
+    segments = segments.repartition(parallelism(catalogue), "path", "offset")
 
     def run(batches):
         import numpy as np

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import shared_folder, stored
-from roadloom.llm.token_store import open_store
+from roadloom.llm.token_store import open_store, parallelism
 
 MAGIC = b"\x1f\x8b\x08"
 ID = "<urn:roadloom:page:{}>"
@@ -160,7 +160,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
 def read_archive(files: DataFrame, split_bytes: int = 4 << 20, payloads: bool = False) -> DataFrame:
     """The records of ``files(path, bytes)``; with ``payloads`` also the payload (null for revisits)."""
     splits = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition("path", "start")
+    splits = splits.repartition(parallelism(splits), "path", "start")
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches):
