@@ -1,11 +1,600 @@
-"""The registered queries of the road-network engine."""
+"""The registered queries of the road-network engine, each with SQL that gives the same rows where SQL can.
+
+Road graphs are derived from the tables: points are the first two components of
+``embeddings``, joined where they are near; masks are the cells of ``lineitem``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.functions import geodesy, geometry
+from roadloom.graph import RoadGraph, graph_of, violations
+from roadloom.operators import kernels, paths, raster, scoring, splits, topology
+from roadloom.storage import checkpoint
+
+REACH = 0.015
+POLYGON = ((-0.1, -0.1), (0.06, -0.08), (0.08, 0.07), (-0.02, 0.1))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.col("embedding")[i].cast("double")
+    return table(spark, sf_dir, "embeddings").select(F.lit("g1").alias("graph_id"), F.col("vec_id").alias("node_id"), F.col("vec_id").alias("ord"), at(0).alias("x"), at(1).alias("y"), at(2).alias("elevation"))
+
+
+def roads(spark: SparkSession, sf_dir: str) -> RoadGraph:
+    """Points as junctions, near ones joined; lengths are whole micro-units, so that sums are exact."""
+    nodes = points(spark, sf_dir)
+    edges = topology.near_pairs(nodes, REACH).select("graph_id", "u", "v", F.round(F.col("distance_m") * 1e6).alias("length_m"))
+    graph = graph_of(nodes, edges)
+    return RoadGraph(checkpoint(graph.nodes), checkpoint(graph.edges))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven images of 64 x 64: probability, truth and occlusion of each cell."""
+    li = table(spark, sf_dir, "lineitem")
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    out = li.groupBy(F.col("l_linenumber").cast("long").alias("img"), (F.col("l_partkey") % 64).cast("int").alias("row"), (F.col("l_suppkey") % 64).cast("int").alias("col"))
+    out = out.agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"), F.sum(cents("l_discount")).alias("d"), F.max(cents("l_tax")).alias("x"))
+    return out.select("img", "row", "col", (F.col("q") / (50.0 * F.col("n"))).alias("prob"), (F.col("d") >= 5 * F.col("n")).cast("int").alias("t"), (F.col("x") >= 7).cast("int").alias("o"))
+
+
+def road_pixels(spark: SparkSession, sf_dir: str, above: float = 0.55) -> DataFrame:
+    return cells(spark, sf_dir).where(F.col("prob") >= above).select(F.col("img").cast("string").alias("mask_id"), "row", "col")
+
+
+P = """p AS (SELECT vec_id id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings),
+e0 AS (SELECT a.id u, b.id v, CAST(round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))*1e6) AS BIGINT) w
+  FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.015),
+e AS (SELECT u,v,w FROM e0 UNION ALL SELECT v,u,w FROM e0)"""
+DEG = "deg AS (SELECT p.id, count(e.v) AS d FROM p LEFT JOIN e ON e.u=p.id GROUP BY 1)"
+REACHED = "r(s,v) AS (SELECT id,id FROM p UNION SELECT r.s, e.v FROM r JOIN e ON e.u=r.v), cc AS (SELECT s id, min(v) c FROM r GROUP BY 1)"
+DISTANCES = """d(s,v,dist) USING KEY (s,v) AS (
+  SELECT id, id, CAST(0 AS BIGINT) FROM p
+  UNION
+  SELECT d.s, e.v, min(d.dist+e.w) FROM d JOIN e ON d.v = e.u
+    LEFT JOIN recurring.d r ON r.s = d.s AND r.v = e.v
+  WHERE r.dist IS NULL OR d.dist+e.w < r.dist GROUP BY 1,2)"""
+SIGMA = """dag AS (SELECT a.s, e.u, e.v FROM d a JOIN e ON a.v=e.u JOIN d b ON b.s=a.s AND b.v=e.v AND a.dist+e.w=b.dist),
+pc(s,v,n,h) AS (SELECT id,id,CAST(1 AS HUGEINT),0 FROM p UNION ALL
+  SELECT pc.s, dag.v, sum(pc.n), pc.h+1 FROM pc JOIN dag ON dag.s=pc.s AND dag.u=pc.v GROUP BY 1,2,4),
+sg AS (SELECT s,v,sum(n) n FROM pc GROUP BY 1,2),
+ds AS (SELECT d.s,d.v,d.dist,sg.n FROM d JOIN sg USING (s,v) WHERE d.s<>d.v)"""
+CELLS = """c AS (SELECT CAST(l_linenumber AS BIGINT) img, CAST(l_partkey % 64 AS INT) "row", CAST(l_suppkey % 64 AS INT) col,
+  sum(CAST(l_quantity AS BIGINT))/(50.0*count(*)) prob, CASE WHEN sum(CAST(round(l_discount*100) AS BIGINT)) >= 5*count(*) THEN 1 ELSE 0 END t,
+  CASE WHEN max(CAST(round(l_tax*100) AS BIGINT)) >= 7 THEN 1 ELSE 0 END o FROM lineitem GROUP BY 1,2,3)"""
+PIX = CELLS + """, px AS (SELECT CAST(img AS VARCHAR) mask_id, "row", col FROM c WHERE prob >= 0.55)"""
+STEPS8 = "s8 AS (SELECT a, b FROM (VALUES (-1),(0),(1)) x(a), (VALUES (-1),(0),(1)) y(b) WHERE a<>0 OR b<>0)"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- topology ---------------------------------------------------------------
+
+
+@query(f"WITH {P} SELECT u, v, CAST(w AS DOUBLE) length_m FROM e0")
+def road_edges(spark, sf_dir):
+    return roads(spark, sf_dir).edges.select("u", "v", "length_m")
+
+
+@query(f"WITH {P}, {DEG} SELECT id node_id, CAST(d AS INT) degree, CASE WHEN d=1 THEN 'endpoint' ELSE 'intersection' END AS type FROM deg")
+def road_degrees(spark, sf_dir):
+    return topology.with_degrees(roads(spark, sf_dir)).nodes.select("node_id", "degree", "type")
+
+
+@query(f"WITH RECURSIVE {P}, {REACHED} SELECT id node_id, c component FROM cc")
+def road_components(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    return topology.components(g.nodes, g.edges).select("node_id", "component")
+
+
+@query(f"WITH RECURSIVE {P}, {REACHED}, z AS (SELECT c, count(*) n FROM cc GROUP BY 1) SELECT count(*) n_components, max(n) largest, CAST(sum(n) AS BIGINT) n_nodes FROM z")
+def road_component_summary(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    return topology.component_summary(topology.components(g.nodes, g.edges)).select("n_components", "largest", "n_nodes")
+
+
+@query("SELECT 'g1' graph_id, 'none' AS rule, CAST(0 AS BIGINT) n WHERE false")
+def road_violations(spark, sf_dir):
+    return violations(roads(spark, sf_dir))
+
+
+@query(f"WITH {P}, k AS (SELECT * FROM e0 WHERE w >= 5000), was AS (SELECT u id FROM e0 UNION SELECT v FROM e0), has AS (SELECT u id FROM k UNION SELECT v FROM k) SELECT count(*) nodes, (SELECT count(*) FROM k) edges FROM p WHERE NOT (id IN (SELECT id FROM was) AND id NOT IN (SELECT id FROM has))")
+def road_prune_degenerate(spark, sf_dir):
+    g = topology.prune_degenerate(roads(spark, sf_dir), 5000.0)
+    return g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges")))
+
+
+@query(f"WITH {P}, {DEG}, gone AS (SELECT DISTINCT deg.id FROM deg JOIN e ON e.u=deg.id AND e.w < 8000 WHERE d=1) SELECT u, v, CAST(w AS DOUBLE) length_m FROM e0 WHERE u NOT IN (SELECT id FROM gone) AND v NOT IN (SELECT id FROM gone)")
+def road_prune_stubs_once(spark, sf_dir):
+    return topology.prune_stubs(roads(spark, sf_dir), 8000.0, rounds=1).edges.select("u", "v", "length_m")
+
+
+@query()
+def road_prune_stubs(spark, sf_dir):
+    return topology.prune_stubs(roads(spark, sf_dir), 8000.0).edges.select("u", "v", "length_m")
+
+
+@query(f"""WITH RECURSIVE {P}, sh AS (SELECT u,v FROM e WHERE w < 6000), r(s,v) AS (SELECT id,id FROM p UNION SELECT r.s, sh.v FROM r JOIN sh ON sh.u=r.v), cc AS (SELECT s id, min(v) c FROM r GROUP BY 1),
+m AS (SELECT least(a.c,b.c) u, greatest(a.c,b.c) v, w FROM e0 JOIN cc a ON a.id=e0.u JOIN cc b ON b.id=e0.v WHERE a.c<>b.c) SELECT u, v, CAST(min(w) AS DOUBLE) length_m FROM m GROUP BY 1,2""")
+def road_consolidated_edges(spark, sf_dir):
+    return topology.consolidate(roads(spark, sf_dir), 6000.0).edges.select("u", "v", "length_m")
+
+
+@query(f"""WITH RECURSIVE {P}, sh AS (SELECT u,v FROM e WHERE w < 6000), r(s,v) AS (SELECT id,id FROM p UNION SELECT r.s, sh.v FROM r JOIN sh ON sh.u=r.v), cc AS (SELECT s id, min(v) c FROM r GROUP BY 1)
+SELECT c node_id, round(avg(x),6) x, round(avg(y),6) y FROM cc JOIN p USING (id) GROUP BY 1""")
+def road_consolidated_nodes(spark, sf_dir):
+    return topology.consolidate(roads(spark, sf_dir), 6000.0).nodes.select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def road_simplified(spark, sf_dir):
+    g, _ = kernels.simplify(roads(spark, sf_dir), 4000.0)
+    return g.edges.select("u", "v", "length_m", F.size("geometry").alias("vertices"))
+
+
+@query()
+def road_simplify_report(spark, sf_dir):
+    return kernels.simplify(roads(spark, sf_dir), 4000.0)[1].drop("split")
+
+
+@query()
+def road_consolidate_report(spark, sf_dir):
+    return kernels.consolidated(roads(spark, sf_dir), 6000.0)[1]
+
+
+END = """en AS (SELECT p.*, cc.c FROM p JOIN deg USING (id) JOIN cc USING (id) WHERE d=1),
+h AS (SELECT en.*, (en.x-q.x)/sqrt((en.x-q.x)*(en.x-q.x)+(en.y-q.y)*(en.y-q.y)) hx, (en.y-q.y)/sqrt((en.x-q.x)*(en.x-q.x)+(en.y-q.y)*(en.y-q.y)) hy FROM en JOIN e ON e.u=en.id JOIN p q ON q.id=e.v),
+k0 AS (SELECT a.id u, b.id v, a.c cu, b.c cv, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) dist,
+  degrees(acos(greatest(-1,least(1,(a.hx*(b.x-a.x)+a.hy*(b.y-a.y))/sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))))) ga,
+  degrees(acos(greatest(-1,least(1,(b.hx*(a.x-b.x)+b.hy*(a.y-b.y))/sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))))) gb
+  FROM h a JOIN h b ON a.id<b.id AND a.c<>b.c AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.05),
+k AS (SELECT u,v,cu,cv,dist,greatest(ga,gb) ang, dist*(1+2.0*greatest(ga,gb)/180) score FROM k0 WHERE greatest(ga,gb) <= 60)"""
+
+
+@query(f"WITH RECURSIVE {P}, {DEG}, {REACHED}, {END} SELECT u, v, round(dist,6) distance, round(ang,6) angle, round(score,6) score FROM k")
+def road_bridge_candidates(spark, sf_dir):
+    out = topology.bridge_candidates(roads(spark, sf_dir), 0.05, 60.0, 2.0)
+    return out.select("u", "v", F.round("distance_m", 6).alias("distance"), F.round("angle_deg", 6).alias("angle"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {P}, {DEG}, {REACHED}, {END}, kr AS (SELECT *, row_number() OVER (ORDER BY score,u,v) i FROM k),
+w(i,at) AS (SELECT i, cu FROM kr UNION SELECT w.i, CASE WHEN o.cu=w.at THEN o.cv ELSE o.cu END FROM w JOIN kr o ON o.i < w.i AND (o.cu=w.at OR o.cv=w.at))
+SELECT u, v, round(score,6) score FROM kr WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.i=kr.i AND w.at=kr.cv)""")
+def road_bridges(spark, sf_dir):
+    return topology.minimum_forest(topology.bridge_candidates(roads(spark, sf_dir), 0.05, 60.0, 2.0)).select("u", "v", F.round("score", 6).alias("score"))
+
+
+@query()
+def road_heal_report(spark, sf_dir):
+    return topology.heal(roads(spark, sf_dir), 0.05, 60.0, 2.0)[1]
+
+
+@query()
+def road_healed_edges(spark, sf_dir):
+    g, _ = topology.heal(roads(spark, sf_dir), 0.05, 60.0, 2.0)
+    return g.edges.where("is_bridged").select("u", "v", F.round("length_m", 9).alias("length_m"), F.size("geometry").alias("vertices"))
+
+
+@query(f"""WITH {P}, {DEG}, q AS (SELECT a.id, b.id t, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) d FROM p a JOIN deg da ON da.id=a.id AND da.d=1 JOIN p b ON true JOIN deg db ON db.id=b.id AND db.d<>1
+ WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.03), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, t) r FROM q)
+SELECT deg.id node_id, f.t nearest, round(f.d,9) distance FROM deg LEFT JOIN f ON f.id=deg.id AND r=1 WHERE deg.d=1""")
+def road_nearest_junction(spark, sf_dir):
+    nodes = topology.with_degrees(roads(spark, sf_dir)).nodes
+    out = topology.nearest_within(nodes.where("degree = 1"), nodes.where("degree <> 1"), 0.03)
+    return out.select("node_id", "nearest", F.round("distance_m", 9).alias("distance"))
+
+
+@query(f"""WITH {P}, k AS (SELECT *, greatest(1, CAST(round_even(w/4000.0,0) AS INT)) k FROM e0) SELECT u, v, k AS parts, round(w/CAST(k AS DOUBLE),6) part_length FROM k""")
+def road_densified(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    parts = F.greatest(F.lit(1), F.bround(F.col("length_m") / 4000.0)).cast("int")
+    return g.edges.select("u", "v", parts.alias("parts")).withColumn("part_length", F.lit(None).cast("double")).join(g.edges.select("u", "v", "length_m"), ["u", "v"]).select("u", "v", "parts", F.round(F.col("length_m") / F.col("parts"), 6).alias("part_length"))
+
+
+@query(f"WITH {P}, k AS (SELECT greatest(1, CAST(round_even(w/4000.0,0) AS INT)) k, w FROM e0) SELECT CAST((SELECT count(*) FROM p) + sum(k-1) AS BIGINT) nodes, CAST(sum(k) AS BIGINT) edges, round(CAST(sum(w) AS DOUBLE),3) length FROM k")
+def road_densified_size(spark, sf_dir):
+    g = topology.densify(roads(spark, sf_dir), 4000.0)
+    return g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 3).alias("length")))
+
+
+REACH_CUT = """rv(r,s,v) AS (SELECT e.u, e.v, e.v FROM e UNION SELECT rv.r, rv.s, e.v FROM rv JOIN e ON e.u=rv.v WHERE e.v<>rv.r)"""
+
+
+@query(f"WITH RECURSIVE {P}, {REACH_CUT}, bad AS (SELECT DISTINCT a.u id FROM e a JOIN e b ON b.u=a.u AND a.v<b.v WHERE NOT EXISTS (SELECT 1 FROM rv WHERE rv.r=a.u AND rv.s=a.v AND rv.v=b.v)) SELECT id node_id, id IN (SELECT id FROM bad) is_articulation FROM p")
+def road_articulation(spark, sf_dir):
+    return kernels.cut_structure(roads(spark, sf_dir))[0].select("node_id", "is_articulation")
+
+
+@query(f"WITH RECURSIVE {P}, rb(a,b,v) AS (SELECT u,v,u FROM e0 UNION SELECT rb.a,rb.b,e.v FROM rb JOIN e ON e.u=rb.v WHERE NOT (least(e.u,e.v)=rb.a AND greatest(e.u,e.v)=rb.b)) SELECT u, v, NOT EXISTS (SELECT 1 FROM rb WHERE rb.a=u AND rb.b=v_ AND rb.v=v_) is_bridge FROM (SELECT u, v, v v_ FROM e0) q")
+def road_cut_edges(spark, sf_dir):
+    return kernels.cut_structure(roads(spark, sf_dir))[1].select("u", "v", "is_bridge")
+
+
+@query()
+def road_line_simplification(spark, sf_dir):
+    g, _ = topology.heal(roads(spark, sf_dir), 0.05, 60.0, 2.0)
+    return kernels.simplify_lines(g.edges, 0.0005).select("u", "v", "vertices_before", "vertices_after")
+
+
+# -- paths ------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {P}, {DISTANCES} SELECT s AS source, v AS node_id, CAST(dist AS DOUBLE) distance FROM d")
+def road_distances(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    return paths.distances(g, paths.sampled_sources(g.nodes, None, 42)).select("source", "node_id", "distance")
+
+
+@query(f"WITH RECURSIVE {P}, {DISTANCES}, n AS (SELECT count(*) n FROM p) SELECT n.n, round((SELECT sum(1.0/dist) FROM d WHERE s<>v)/(n.n*(n.n-1)),12) efficiency FROM n")
+def road_efficiency(spark, sf_dir):
+    return paths.efficiency(roads(spark, sf_dir)).select("n", F.round("efficiency", 12).alias("efficiency"))
+
+
+@query()
+def road_efficiency_sampled(spark, sf_dir):
+    return paths.efficiency(roads(spark, sf_dir), k=100, seed=42).select("n", "efficiency")
+
+
+BC = f"""{P}, {DISTANCES}, {SIGMA}, n AS (SELECT count(*) n FROM p),
+b AS (SELECT a.v id, sum(CAST(a.n*b.n AS DOUBLE)/CAST(st.n AS DOUBLE)) t FROM ds a JOIN ds b ON a.v=b.s JOIN ds st ON st.s=a.s AND st.v=b.v AND a.dist+b.dist=st.dist GROUP BY 1),
+bc AS (SELECT p.id, round(coalesce(t,0)/((n.n-1)*(n.n-2)),9) bc FROM p LEFT JOIN b USING (id), n)"""
+
+
+@query(f"WITH RECURSIVE {BC}, rk AS (SELECT id, bc, row_number() OVER (ORDER BY bc DESC, id) r FROM bc) SELECT id node_id, bc betweenness, CAST(r AS INT) AS rank, r <= greatest(1, CAST(round_even(n.n*0.1,0) AS BIGINT)) is_critical FROM rk, n")
+def road_criticality(spark, sf_dir):
+    from roadloom.plans.pipelines import rank_table
+
+    g = roads(spark, sf_dir)
+    return rank_table(g, paths.betweenness(g), 0.1, decimals=9).select("node_id", "betweenness", "rank", "is_critical")
+
+
+@query()
+def road_betweenness_pivots(spark, sf_dir):
+    return paths.betweenness(roads(spark, sf_dir), k=150, seed=42).select("node_id", "betweenness")
+
+
+STATES = """ext AS (SELECT max(x) px, min(y) py, 0.33*greatest(max(x)-min(x), max(y)-min(y)) sg FROM p),
+st AS (SELECT id, exp(-(((x-px)*(x-px)+(y-py)*(y-py))/(2*sg*sg))) q FROM p, ext)"""
+
+
+@query(f"WITH {P}, {STATES} SELECT id node_id, round(q,9) state FROM st")
+def road_spatial_demand(spark, sf_dir):
+    from roadloom.plans.pipelines import spatial_demand
+
+    return spatial_demand(roads(spark, sf_dir), "se").select("node_id", F.round("state", 9).alias("state"))
+
+
+@query(f"WITH {P}, {DEG} SELECT id node_id, round(d/CAST((SELECT max(d) FROM deg) AS DOUBLE),9) state FROM deg")
+def road_degree_demand(spark, sf_dir):
+    from roadloom.plans.pipelines import degree_demand
+
+    return degree_demand(roads(spark, sf_dir)).select("node_id", F.round("state", 9).alias("state"))
+
+
+@query(f"""WITH RECURSIVE {P}, {DISTANCES}, {SIGMA}, {STATES}, tot AS (SELECT sum(q) a, count(*) n FROM st),
+b AS (SELECT a.v id, sum(s0.q*CAST(a.n*b.n AS DOUBLE)/CAST(x.n AS DOUBLE)) t FROM ds a JOIN st s0 ON s0.id=a.s JOIN ds b ON a.v=b.s JOIN ds x ON x.s=a.s AND x.v=b.v AND a.dist+b.dist=x.dist GROUP BY 1)
+SELECT st.id node_id, round(coalesce(t,0)/(a-q)/(n-2),9) percolation FROM st LEFT JOIN b USING (id), tot""")
+def road_percolation(spark, sf_dir):
+    from roadloom.plans.pipelines import spatial_demand
+
+    g = roads(spark, sf_dir)
+    return paths.percolation(g, spatial_demand(g, "se")).select("node_id", F.round("percolation", 9).alias("percolation"))
+
+
+@query()
+def road_demand_comparison(spark, sf_dir):
+    from roadloom.plans.pipelines import demand_report
+
+    return demand_report(roads(spark, sf_dir), "se", 10)
+
+
+INSIDE = "x + 0.0 IS NOT NULL AND (" + " + ".join(
+    f"CASE WHEN y >= {min(a[1], b[1])} AND y < {max(a[1], b[1])} AND x < (y - {a[1]})*(({b[0]} - {a[0]})/({b[1]} - {a[1]})) + {a[0]} THEN 1 ELSE 0 END" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1]) if a[1] != b[1]
+) + ") % 2 = 1"
+INSIDE = INSIDE.replace("- -", "+ ")
+
+
+@query(f"WITH {P} SELECT id node_id FROM p WHERE {INSIDE}")
+def road_flooded_nodes(spark, sf_dir):
+    return flooded(spark, sf_dir).select("node_id")
+
+
+def flooded(spark, sf_dir) -> DataFrame:
+    return points(spark, sf_dir).where(geometry.inside_polygon(F.col("x"), F.col("y"), list(POLYGON), boundary=True))
+
+
+@query(f"WITH {P} SELECT id node_id, CAST(row_number() OVER (ORDER BY z, id) AS INT) removed_at FROM p WHERE {INSIDE}")
+def road_flood_order(spark, sf_dir):
+    from roadloom.plans.pipelines import flood_order
+
+    return flood_order(flooded(spark, sf_dir)).select("node_id", "removed_at")
+
+
+@query(f"WITH {P} SELECT id node_id FROM p WHERE z < -0.05")
+def road_below_elevation(spark, sf_dir):
+    return points(spark, sf_dir).where(F.col("elevation") < -0.05).select("node_id")
+
+
+@query(f"""WITH RECURSIVE p0 AS (SELECT vec_id id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y FROM embeddings), p AS (SELECT * FROM p0 WHERE NOT ({INSIDE})),
+e0 AS (SELECT a.id u, b.id v, CAST(round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))*1e6) AS BIGINT) w FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.015),
+e AS (SELECT u,v,w FROM e0 UNION ALL SELECT v,u,w FROM e0), {DISTANCES}, n AS (SELECT count(*) n FROM p), big AS (SELECT max(k) k FROM (SELECT count(*) k FROM d GROUP BY s))
+SELECT round((SELECT sum(1.0/dist) FROM d WHERE s<>v)/(n.n*(n.n-1)),12) efficiency, round(big.k/CAST(n.n AS DOUBLE),9) largest_cc_fraction FROM n, big""")
+def road_resilience_to_flood(spark, sf_dir):
+    out = paths.resilience(roads(spark, sf_dir), flooded(spark, sf_dir))
+    return out.select(F.round("efficiency", 12).alias("efficiency"), F.round("largest_cc_fraction", 9).alias("largest_cc_fraction"))
+
+
+@query()
+def road_ablation_curves(spark, sf_dir):
+    from roadloom.plans.pipelines import ablation_table
+
+    g = roads(spark, sf_dir)
+    return ablation_table(g, paths.betweenness(g), 10)
+
+
+@query()
+def road_flood_comparison(spark, sf_dir):
+    from roadloom.plans.pipelines import flood_comparison
+
+    return flood_comparison(roads(spark, sf_dir), flooded(spark, sf_dir))
+
+
+@query()
+def road_reroutes(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    closed = topology.with_degrees(g).nodes.where("degree >= 3").select("graph_id", "node_id")
+    return paths.reroutes(g, closed).select("node_id", "origin", "destination", "baseline_length_m", "rerouted_length_m", "travel_time_delta_pct", F.size("rerouted_path").alias("hops"))
+
+
+@query()
+def road_apls(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    metres = F.lit(1e-5)
+    flat = graph_of(g.nodes.withColumn("x", F.col("x") * metres).withColumn("y", F.col("y") * metres), g.edges.withColumn("length_m", F.col("length_m") * 1e-6).drop("geometry"))
+    pruned = topology.prune_stubs(flat, 0.008, rounds=1)
+    return paths.apls(flat, pruned, samples=600, tolerance=0.005, interval=0.005).drop("graph_id")
+
+
+@query()
+def road_graph_report(spark, sf_dir):
+    from roadloom.plans.pipelines import graph_report
+
+    return graph_report(roads(spark, sf_dir), steps=5)
+
+
+@query()
+def grid_betweenness(spark, sf_dir):
+    """The published benchmark graph: a 50 x 50 lattice, 150 pivots."""
+    from roadloom.sources.files import grid_graph
+
+    return paths.betweenness(grid_graph(spark, 50), k=150, seed=42)
+
+
+# -- geometry and projections ------------------------------------------------
+
+
+@query(f"WITH {P} SELECT id node_id, round((x*100+180)/360*1024,9) tx, round((1-asinh(tan(radians(y*100)))/pi())/2*1024,9) ty FROM p")
+def tile_numbers(spark, sf_dir):
+    tx, ty = geodesy.tile_number(F.col("x") * 100, F.col("y") * 100, 10)
+    return points(spark, sf_dir).select("node_id", F.round(tx, 9).alias("tx"), F.round(ty, 9).alias("ty"))
+
+
+@query(f"WITH {P} SELECT id node_id, round((x-0.01)*111320.0*cos(radians(0.02)),6) mx, round((y-0.02)*110540.0,6) my FROM p")
+def local_metres(spark, sf_dir):
+    mx, my = geodesy.local_metres(F.col("x"), F.col("y"), F.lit(0.01), F.lit(0.02))
+    return points(spark, sf_dir).select("node_id", F.round(mx, 6).alias("mx"), F.round(my, 6).alias("my"))
+
+
+@query(f"WITH {P} SELECT id node_id, true AS closes FROM p")
+def utm_round_trip(spark, sf_dir):
+    """Projecting to UTM and back gives the same place."""
+    lon, lat = F.lit(73.8) + F.col("x"), F.lit(15.5) + F.col("y")
+    east, north = geodesy.to_utm(lon, lat, 43)
+    back_lon, back_lat = geodesy.from_utm(F.col("east"), F.col("north"), 43)
+    out = points(spark, sf_dir).withColumn("east", east).withColumn("north", north)
+    return out.select("node_id", ((F.abs(back_lon - lon) < 1e-9) & (F.abs(back_lat - lat) < 1e-9)).alias("closes"))
+
+
+# -- rasters and scores -------------------------------------------------------
+
+
+@query(f"WITH {CELLS} SELECT img, round((sum(pp*t)+1e-7)/(sum(pp)+sum(t)-sum(pp*t)+1e-7),9) iou, round((2*sum(pp*t)+1e-7)/(sum(pp)+sum(t)+1e-7),9) dice FROM (SELECT *, CASE WHEN prob>=0.5 THEN 1 ELSE 0 END pp FROM c) GROUP BY 1")
+def mask_scores(spark, sf_dir):
+    out = scoring.mask_scores(cells(spark, sf_dir).withColumn("p", (F.col("prob") >= 0.5).cast("int")), "img")
+    return out.select("img", F.round("iou", 9).alias("iou"), F.round("dice", 9).alias("dice"))
+
+
+@query(f"WITH {CELLS}, b AS (SELECT img, (sum(pp*t)+1e-7)/(sum(pp)+sum(t)-sum(pp*t)+1e-7) iou, (2*sum(pp*t)+1e-7)/(sum(pp)+sum(t)+1e-7) dice FROM (SELECT *, CASE WHEN prob>=0.5 THEN 1 ELSE 0 END pp FROM c) GROUP BY 1) SELECT round(avg(iou),9) iou, round(avg(dice),9) dice FROM b")
+def mean_mask_scores(spark, sf_dir):
+    out = scoring.mean_scores(cells(spark, sf_dir).withColumn("p", (F.col("prob") >= 0.5).cast("int")), "img")
+    return out.select(F.round("iou", 9).alias("iou"), F.round("dice", 9).alias("dice"))
+
+
+@query(f"WITH {CELLS} SELECT img, round(sum(pp*t*o)/greatest(sum(t*o),1.0),9) recall FROM (SELECT *, CASE WHEN prob>=0.5 THEN 1 ELSE 0 END pp FROM c) GROUP BY 1")
+def occlusion_recalls(spark, sf_dir):
+    out = scoring.occlusion_recall(cells(spark, sf_dir).withColumn("p", (F.col("prob") >= 0.5).cast("int")), "img")
+    return out.select("img", F.round("strict_recall", 9).alias("recall"))
+
+
+THRESHOLDS = [round(0.2 + 0.02 * i, 2) for i in range(26)]
+SWEEP = f"{CELLS}, th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::DOUBLE threshold), sw AS (SELECT threshold, sum(CASE WHEN prob>=threshold THEN t ELSE 0 END)/greatest(count(*) FILTER (prob>=threshold)+sum(t)-sum(CASE WHEN prob>=threshold THEN t ELSE 0 END),1.0) iou, sum(CASE WHEN prob>=threshold THEN t*o ELSE 0 END)/greatest(sum(t*o),1.0) recall FROM c, th GROUP BY 1)"
+
+
+@query(f"WITH {SWEEP} SELECT threshold, round(iou,9) iou, round(recall,9) recall FROM sw")
+def threshold_sweep(spark, sf_dir):
+    return scoring.threshold_sweep(cells(spark, sf_dir), THRESHOLDS).select("threshold", F.round("iou", 9).alias("iou"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"WITH {SWEEP} SELECT threshold, round(iou,9) iou FROM sw ORDER BY iou DESC, threshold LIMIT 1")
+def best_threshold(spark, sf_dir):
+    return scoring.best_threshold(scoring.threshold_sweep(cells(spark, sf_dir), THRESHOLDS)).select("threshold", F.round("iou", 9).alias("iou"))
+
+
+@query(f"WITH {SWEEP} SELECT threshold, round(iou,9) iou, round(recall,9) recall FROM sw WHERE iou >= (SELECT max(iou) FROM sw) - 0.01 ORDER BY recall DESC, iou DESC, threshold LIMIT 1")
+def occlusion_aware_threshold(spark, sf_dir):
+    out = scoring.occlusion_aware_threshold(scoring.threshold_sweep(cells(spark, sf_dir), THRESHOLDS))
+    return out.select("threshold", F.round("iou", 9).alias("iou"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"WITH {CELLS}, z AS (SELECT img, t, (prob-0.5)*8 z FROM c) SELECT img, round(avg(greatest(z,0)-z*t+ln(1+exp(-abs(z)))),9) bce, round(1-(2*sum(t/(1+exp(-z)))+1)/(sum(1/(1+exp(-z)))+sum(t)+1),9) soft_dice FROM z GROUP BY 1")
+def dice_bce_losses(spark, sf_dir):
+    out = scoring.dice_bce(cells(spark, sf_dir).select("img", "t", ((F.col("prob") - 0.5) * 8).alias("z")))
+    return out.select("img", F.round("bce", 9).alias("bce"), F.round("soft_dice", 9).alias("soft_dice"))
+
+
+@query(f"""WITH {CELLS}, z AS (SELECT img, "row"*64+col pix, t, 1-(prob-0.5)*8*(2*t-1) e FROM c), s AS (SELECT *, sum(t) OVER w a, sum(1-t) OVER w b, sum(t) OVER (PARTITION BY img) g FROM z WINDOW w AS (PARTITION BY img ORDER BY e DESC, pix ROWS UNBOUNDED PRECEDING)),
+j AS (SELECT *, 1-(g-a)/CAST(g+b AS DOUBLE) j FROM s), k AS (SELECT *, j-coalesce(lag(j) OVER (PARTITION BY img ORDER BY e DESC, pix),0) dj FROM j) SELECT img, round(sum(greatest(e,0)*dj),6) lovasz FROM k GROUP BY 1""")
+def lovasz_losses(spark, sf_dir):
+    out = scoring.lovasz_hinge(cells(spark, sf_dir).select("img", (F.col("row") * 64 + F.col("col")).alias("pix"), "t", ((F.col("prob") - 0.5) * 8).alias("z")))
+    return out.select("img", F.round("lovasz", 6).alias("lovasz"))
+
+
+@query(f"WITH {CELLS}, z AS (SELECT t, (prob-0.5)*8 z, CASE WHEN abs(prob-0.5)>0.1 THEN 1 ELSE 0 END m FROM c) SELECT round(sum((greatest(z,0)-z*t+ln(1+exp(-abs(z))))*m)/greatest(sum(m),1),9) consistency FROM z")
+def consistency_loss(spark, sf_dir):
+    rows = cells(spark, sf_dir).select("t", ((F.col("prob") - 0.5) * 8).alias("z"), (F.abs(F.col("prob") - 0.5) > 0.1).cast("int").alias("m"))
+    return scoring.consistency(rows).select(F.round("consistency", 9).alias("consistency"))
+
+
+@query()
+def cldice_losses(spark, sf_dir):
+    return scoring.soft_cldice(cells(spark, sf_dir).select("img", "row", "col", F.col("prob").alias("p"), "t"))
+
+
+@query(f"""WITH {PIX} SELECT mask_id, "row"//16 tile_row, col//16 tile_col, count(*) road_px FROM px GROUP BY 1,2,3 HAVING count(*)/256.0 >= 0.05""")
+def tile_summaries(spark, sf_dir):
+    return raster.tile_summary(road_pixels(spark, sf_dir), 16, 0.05).select("mask_id", "tile_row", "tile_col", "road_px")
+
+
+@query(f"""WITH {PIX}, {STEPS8} SELECT px.mask_id, px."row" AS "row", px.col, count(q.col) neighbours FROM px CROSS JOIN s8 LEFT JOIN px q ON q.mask_id=px.mask_id AND q."row"=px."row"+a AND q.col=px.col+b GROUP BY 1,2,3""")
+def pixel_neighbours(spark, sf_dir):
+    return raster.neighbour_counts(road_pixels(spark, sf_dir)).select("mask_id", "row", "col", "neighbours")
+
+
+PLUS = "pl AS (SELECT * FROM (VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) v(a,b))"
+
+
+@query(f"""WITH {PIX}, {PLUS}, er AS (SELECT mask_id, "row"-a r, col-b k FROM px, pl GROUP BY 1,2,3 HAVING count(*)=5) SELECT DISTINCT mask_id, r+a AS "row", k+b AS col FROM er, pl""")
+def mask_opened(spark, sf_dir):
+    return raster.opened(road_pixels(spark, sf_dir, 0.55), 1)
+
+
+@query(f"""WITH {PIX}, {PLUS}, di AS (SELECT DISTINCT mask_id, "row"+a r, col+b k FROM px, pl) SELECT mask_id, r-a AS "row", k-b AS col FROM di, pl GROUP BY 1,2,3 HAVING count(*)=5""")
+def mask_closed(spark, sf_dir):
+    return raster.closed(road_pixels(spark, sf_dir, 0.55), 1)
+
+
+@query(f"""WITH RECURSIVE {PIX.replace('0.55', '0.7')}, {STEPS8}, n AS (SELECT mask_id, "row"*1048576+col i, "row" r, col k FROM px), l AS (SELECT x.mask_id, x.i a, y.i b FROM n x JOIN s8 ON true JOIN n y ON y.mask_id=x.mask_id AND y.r=x.r+s8.a AND y.k=x.k+s8.b),
+r(m,s,v) AS (SELECT mask_id,i,i FROM n UNION SELECT r.m,r.s,l.b FROM r JOIN l ON l.mask_id=r.m AND l.a=r.v), cc AS (SELECT m,s,min(v) c FROM r GROUP BY 1,2), z AS (SELECT m,c,count(*) k FROM cc GROUP BY 1,2)
+SELECT n.mask_id, n.r AS "row", n.k AS col FROM n JOIN cc ON cc.m=n.mask_id AND cc.s=n.i JOIN z ON z.m=cc.m AND z.c=cc.c WHERE z.k >= 6""")
+def mask_without_small(spark, sf_dir):
+    return raster.without_small(road_pixels(spark, sf_dir, 0.7), 6)
+
+
+@query()
+def mask_cleaned(spark, sf_dir):
+    px = road_pixels(spark, sf_dir)
+    masks = px.select("mask_id").distinct().withColumn("height", F.lit(64)).withColumn("width", F.lit(64))
+    return raster.cleaned(px, masks, min_size=6, open_radius=0, close_radius=1, fill=4)
+
+
+@query()
+def mask_skeletons(spark, sf_dir):
+    return kernels.skeletons(road_pixels(spark, sf_dir))
+
+
+@query()
+def mask_without_spurs(spark, sf_dir):
+    return raster.without_spurs(kernels.skeletons(road_pixels(spark, sf_dir)), 3)
+
+
+@query()
+def mask_graph(spark, sf_dir):
+    return kernels.skeleton_graph(kernels.skeletons(road_pixels(spark, sf_dir))).edges.select("graph_id", "u", "v", F.round("length_m", 6).alias("length_m"))
+
+
+@query(f"""WITH {CELLS}, ex AS (SELECT img, min(prob) lo, max(prob) hi FROM c GROUP BY 1), b AS (SELECT c.img, lo, hi, least(255, CAST(floor((prob-lo)/(hi-lo)*256) AS INT)) bin, count(*) n FROM c JOIN ex USING (img) WHERE hi>lo GROUP BY 1,2,3,4),
+x AS (SELECT *, lo+(bin+0.5)*(hi-lo)/256 ce FROM b), s AS (SELECT *, sum(n) OVER w w0, sum(n*ce) OVER w m0, sum(n) OVER (PARTITION BY img) w, sum(n*ce) OVER (PARTITION BY img) m FROM x WINDOW w AS (PARTITION BY img ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT img, bin, ce, w0*(w-w0)*(m0/w0-(m-m0)/(w-w0))*(m0/w0-(m-m0)/(w-w0)) bt FROM s WHERE w>w0) SELECT img, round(arg_max(ce, bt),9) threshold FROM v GROUP BY 1""")
+def otsu_thresholds(spark, sf_dir):
+    return raster.otsu(cells(spark, sf_dir).select("img", F.col("prob").alias("p"))).select("img", F.round("threshold", 9).alias("threshold"))
+
+
+@query(f"""WITH {CELLS}, b AS (SELECT img, quantile_cont(prob,0.02) lo, quantile_cont(prob,0.98) hi FROM c GROUP BY 1) SELECT c.img chip, "row", col, CAST(floor(greatest(0,least(1,(prob-lo)/CASE WHEN hi>lo THEN hi-lo ELSE 1 END))*255) AS INT) v FROM c JOIN b USING (img)""")
+def percentile_stretched(spark, sf_dir):
+    out = raster.percentile_stretch(cells(spark, sf_dir).select(F.col("img").alias("chip"), F.lit(0).alias("channel"), "row", "col", F.col("prob").alias("v")))
+    return out.select("chip", "row", "col", "v")
+
+
+@query()
+def roads_rasterized(spark, sf_dir):
+    g = roads(spark, sf_dir)
+    a, b = F.col("geometry")[0], F.col("geometry")[1]
+    place = lambda v: (v + 1.0) * 500.0
+    segments = g.edges.select(F.lit("m").alias("mask_id"), place(a["x"]).alias("x1"), place(a["y"]).alias("y1"), place(b["x"]).alias("x2"), place(b["y"]).alias("y2"))
+    return raster.rasterized(segments, 2.0)
+
+
+# -- splits, keys, streams ----------------------------------------------------
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(q,'chip\\d+',0),''), nullif(regexp_extract(q,'\\d+$',0),''), q) chip FROM (SELECT page_id, regexp_replace(regexp_extract(url,'([^/]*)$',1),'\\.[^.]*$','') q FROM pages)")
+def chip_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", splits.chip_key(F.col("url")).alias("chip"))
+
+
+@query()
+def source_holdout(spark, sf_dir):
+    return splits.holdout(table(spark, sf_dir, "documents"), "source", 0.2, 17)
+
+
+@query("WITH b AS (SELECT c_custkey, c_acctbal, list_count(list_filter((SELECT quantile_cont(c_acctbal,[0.2,0.4,0.6,0.8]) FROM customer), x -> c_acctbal > x)) AS bin FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('7:'||c_custkey), c_custkey) r, count(*) OVER (PARTITION BY bin) n FROM b) SELECT c_custkey, CAST(bin AS INT) AS bin, CASE WHEN r <= greatest(1, round_even(n*0.1,0)) THEN 'val' ELSE 'train' END split FROM r")
+def stratified_validation(spark, sf_dir):
+    return splits.stratified_validation(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "c_acctbal").select("c_custkey", "bin", "split")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice > coalesce(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) is_best FROM orders")
+def running_best(spark, sf_dir):
+    return splits.running_best(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", "o_custkey").select("o_custkey", "o_orderkey", "is_best")
+
+
+@query()
+def moving_averages(spark, sf_dir):
+    return splits.moving_average(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", "o_custkey", 0.9)
+
+
+@query()
+def closures(spark, sf_dir):
+    from roadloom.streaming.closures import current_closures
+
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("graph_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("value") > 0, "close").otherwise("reset").alias("action"), F.array("user_id").alias("nodes"))
+    return current_closures(ev)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical junctions of the road graph."""
+    return road_criticality(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
