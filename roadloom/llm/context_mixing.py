@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import stored
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
+#: Tokens that a task scores at a time (a longer document alone).
+SCORED_TOKENS = 200_000
 #: Bytes of context, and slots (a power of two) of each predictor's table.
 ORDERS = ((1, 1 << 16), (2, 1 << 18), (3, 1 << 19), (4, 1 << 19), (6, 1 << 19))
 BLOCK = 1 << 14
@@ -67,38 +69,35 @@ def chunks_of(docs: DataFrame, folds: int, held: int, topic: str | None, topics:
         from pyspark import TaskContext
 
         at, number = TaskContext.get().partitionId(), 0
-        rows, tokens = [], []
+        rows, place, held_tokens = [], {}, 0  # rows: id, held out, topic, places
 
         def close():
-            nonlocal number, rows, tokens
-            place: dict = {}
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            places = np.fromiter((place.setdefault(x, len(place)) for t in tokens for x in t), np.int32, int(lengths.sum()))
-            topic_of = np.repeat(np.array([-1 if h else t for _, h, t in rows], np.int64), lengths)
+            nonlocal number, rows, place, held_tokens
+            lengths = np.array([len(r[3]) for r in rows], np.int64)
+            places = np.concatenate([r[3] for r in rows])
+            topic_of = np.repeat(np.array([-1 if h else t for _, h, t, _ in rows], np.int64), lengths)
             counts = {f"t{k}": [np.bincount(places[topic_of == k], minlength=len(place))] for k in range(TOPICS)}
             out = pd.DataFrame(
                 {
                     "chunk": [(at << 32) + number],
                     "words": [list(place)],
                     **counts,
-                    "doc_ids": [[i for i, _, _ in rows]],
-                    "held": [[h for _, h, _ in rows]],
+                    "doc_ids": [[r[0] for r in rows]],
+                    "held": [[r[1] for r in rows]],
                     "lengths": [lengths],
                     "places": [zlib.compress(places.astype("<u4").tobytes(), 1)],
                 }
             )
-            rows, tokens, number = [], [], number + 1
+            rows, place, held_tokens, number = [], {}, 0, number + 1
             return out
 
-        held_tokens = 0
         for batch in batches:
             for i, text, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], batch["topic"]):
                 i = None if pd.isna(i) else int(i)
-                rows.append((i, in_fold(i, folds, held), number_of.get(t, TOPICS - 1)))
-                tokens.append([*("" if text is None else text).encode("utf-8", "surrogatepass").lower().split(), END])
-                held_tokens += len(tokens[-1])
+                tokens = [*("" if text is None else text).encode("utf-8", "surrogatepass").lower().split(), END]
+                rows.append((i, in_fold(i, folds, held), number_of.get(t, TOPICS - 1), np.fromiter((place.setdefault(x, len(place)) for x in tokens), np.int32, len(tokens))))
+                held_tokens += len(tokens)
                 if held_tokens >= CHUNK_TOKENS:
-                    held_tokens = 0
                     yield close()
         if rows:
             yield close()
@@ -164,13 +163,13 @@ def bit_counts(vocabulary: DataFrame) -> DataFrame:
         for block in range(0, SLOTS, BLOCK):
             part = seen[:, block : block + BLOCK]
             if part.any():
-                yield pd.DataFrame({"block": [block], "zeros": [part[0].astype("<i8").tobytes()], "ones": [part[1].astype("<i8").tobytes()]})
+                yield pd.DataFrame({"block": [block], "zeros": [zlib.compress(part[0].astype("<i8").tobytes(), 1)], "ones": [zlib.compress(part[1].astype("<i8").tobytes(), 1)]})
 
     def add(pdf):
         import numpy as np
         import pandas as pd
 
-        total = {c: sum(np.frombuffer(x, "<i8") for x in pdf[c]) for c in ("zeros", "ones")}
+        total = {c: sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf[c]) for c in ("zeros", "ones")}
         return pd.DataFrame({"block": pdf["block"].iloc[:1], **{c: [x.astype("<f4").tobytes()] for c, x in total.items()}})
 
     schema = "block int, zeros binary, ones binary"
@@ -263,10 +262,10 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, topic: str |
     import numpy as np
 
     spark = docs.sparkSession
-    chunks = stored(chunks_of(docs, folds, held, topic, top_topics(docs, topic)), "lm-chunks")
+    chunks = stored(chunks_of(docs, folds, held, topic, top_topics(docs, topic)), "lm-chunks", "zstd")
     names = [f"t{k}" for k in range(TOPICS)]
     words = chunks.select(F.explode(F.arrays_zip("words", *names)).alias("x")).select(F.col("x.words").alias("word"), *(F.col(f"x.{t}") for t in names))
-    vocabulary = stored(words.groupBy("word").agg(*(F.sum(t).alias(t) for t in names)), "lm-vocabulary")
+    vocabulary = stored(words.groupBy("word").agg(*(F.sum(t).alias(t) for t in names)), "lm-vocabulary", "zstd")
     vocabulary = vocabulary.withColumn("c", sum(F.col(t) for t in names))
     n, v, *sizes = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), *(F.coalesce(F.sum(t), F.lit(0)) for t in names)).first()
     sizes = np.array(sizes, np.float64)
@@ -291,9 +290,9 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, topic: str |
         for batch in batches:
             for lo in range(0, len(batch), 20_000):
                 part = batch.iloc[lo : lo + 20_000]
-                yield part.assign(spelled=mixer.log10(list(part["word"])))
+                yield part.assign(spelled=mixer.log10(list(part["word"])).astype(np.float32))
 
-    spelled = stored(vocabulary.drop("c").mapInPandas(spell, f"word binary, {COUNTS}, spelled double"), "lm-spelled")
+    spelled = vocabulary.drop("c").mapInPandas(spell, f"word binary, {COUNTS}, spelled float")
     places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     found = places.join(spelled, "word").select(F.col("chunk").alias("home"), "place", *names, "spelled")
 
@@ -301,29 +300,35 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, topic: str |
         import numpy as np
         import pandas as pd
 
-        out = []
         order = np.argsort(right["place"].to_numpy())
-        table, spelled = right[names].to_numpy(np.float64)[order].T, right["spelled"].to_numpy()[order]
+        table = right[names].to_numpy(np.int64)[order].T
+        spelled = right["spelled"].to_numpy(np.float64)[order]
+        out = []
         for row in left.itertuples(index=False):
             lengths = np.asarray(row.lengths, np.int64)
-            at = np.frombuffer(zlib.decompress(row.places), "<u4").astype(np.int64)
-            starts = np.cumsum(lengths) - lengths
-            by_topic = table[:, at]
-            counts = by_topic.sum(0)
-            refined = _refined(by_topic, sizes, n, v, spelled[at], lengths)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if i is None or i != i else int(i) for i in row.doc_ids], "Int64"),
-                        "held_out": np.asarray(row.held, bool),
-                        "n_tokens": lengths,
-                        "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
-                        "train_tokens": n,
-                        "base_score": np.add.reduceat(np.log10(counts + 1), starts) - lengths * np.log10(n + v + 1),
-                        "score": np.add.reduceat(refined, starts),
-                    }
+            places = np.frombuffer(zlib.decompress(row.places), "<u4")
+            ends = np.cumsum(lengths)
+            lo = 0
+            while lo < len(lengths):
+                begin = int(ends[lo] - lengths[lo])
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + SCORED_TOKENS, side="right")))
+                at, own = places[begin : int(ends[hi - 1])], lengths[lo:hi]
+                by_topic = table[:, at].astype(np.float64)
+                counts, starts = by_topic.sum(0), np.cumsum(own) - own
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "doc_id": pd.array([None if i is None or i != i else int(i) for i in row.doc_ids[lo:hi]], "Int64"),
+                            "held_out": np.asarray(row.held[lo:hi], bool),
+                            "n_tokens": own,
+                            "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
+                            "train_tokens": n,
+                            "base_score": np.add.reduceat(np.log10(counts + 1), starts) - own * np.log10(n + v + 1),
+                            "score": np.add.reduceat(_refined(by_topic, sizes, n, v, spelled[at], own), starts),
+                        }
+                    )
                 )
-            )
+                lo = hi
         return pd.concat(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
