@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     component = connected_components(links)
     more = _missed(live, hubs, component, sets, percent)
     if more is not None:
-        component = connected_components(links.unionByName(more))
+        # Stored first: one stage with two Python operators would hold two workers a task.
+        component = connected_components(links.unionByName(stored(more, "minhash-links")))
 
     found = signed.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()

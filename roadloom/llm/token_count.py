@@ -83,7 +83,7 @@ class Counter:
     spaces goes through it whole.
     """
 
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __init__(self, tokenizer_json: str):
         import re

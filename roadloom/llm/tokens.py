@@ -14,7 +14,7 @@ from __future__ import annotations
 from array import array
 
 #: Pieces kept by a worker process before it starts anew: bounds its memory, not its results.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 
 
 def load(tokenizer_json: str):

@@ -102,7 +102,7 @@ def members(f, size: int, start: int, end: int, step: int = 1 << 20):
         at += found
         if at >= end:
             return
-        data, out = have(step), []
+        data, out = have(max(step, 4096)), []
         try:
             ok = zlib.decompressobj(31).decompress(data[:4096], 64).startswith(b"WARC/1.")
             unpack = zlib.decompressobj(31)
