@@ -175,8 +175,8 @@ def road_bridge_candidates(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {P}, {DEG}, {REACHED}, {END}, kr AS (SELECT *, row_number() OVER (ORDER BY score,u,v) i FROM k),
-w(i,at) AS (SELECT i, cu FROM kr UNION SELECT w.i, CASE WHEN o.cu=w.at THEN o.cv ELSE o.cu END FROM w JOIN kr o ON o.i < w.i AND (o.cu=w.at OR o.cv=w.at))
-SELECT u, v, round(score,6) score FROM kr WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.i=kr.i AND w.at=kr.cv)""")
+w(i,loc) AS (SELECT i, cu FROM kr UNION SELECT w.i, CASE WHEN o.cu=w.loc THEN o.cv ELSE o.cu END FROM w JOIN kr o ON o.i < w.i AND (o.cu=w.loc OR o.cv=w.loc))
+SELECT u, v, round(score,6) score FROM kr WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.i=kr.i AND w.loc=kr.cv)""")
 def road_bridges(spark, sf_dir):
     return topology.minimum_forest(topology.bridge_candidates(roads(spark, sf_dir), 0.05, 60.0, 2.0)).select("u", "v", F.round("score", 6).alias("score"))
 
@@ -564,7 +564,7 @@ def source_holdout(spark, sf_dir):
     return splits.holdout(table(spark, sf_dir, "documents"), "source", 0.2, 17)
 
 
-@query("WITH b AS (SELECT c_custkey, c_acctbal, list_count(list_filter((SELECT quantile_cont(c_acctbal,[0.2,0.4,0.6,0.8]) FROM customer), x -> c_acctbal > x)) AS bin FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('7:'||c_custkey), c_custkey) r, count(*) OVER (PARTITION BY bin) n FROM b) SELECT c_custkey, CAST(bin AS INT) AS bin, CASE WHEN r <= greatest(1, round_even(n*0.1,0)) THEN 'val' ELSE 'train' END split FROM r")
+@query("WITH b AS (SELECT c_custkey, c_acctbal, list_count(list_filter((SELECT quantile_cont(c_acctbal,[0.2,0.4,0.6,0.8]) FROM customer), lambda x: c_acctbal > x)) AS bin FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('7:'||c_custkey), c_custkey) r, count(*) OVER (PARTITION BY bin) n FROM b) SELECT c_custkey, CAST(bin AS INT) AS bin, CASE WHEN r <= greatest(1, round_even(n*0.1,0)) THEN 'val' ELSE 'train' END split FROM r")
 def stratified_validation(spark, sf_dir):
     return splits.stratified_validation(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "c_acctbal").select("c_custkey", "bin", "split")
 
