@@ -13,7 +13,15 @@ LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 14
 
 
-def encode(values):
+def width_table():
+    """The narrowest selector of every value below 2**16; made once by a caller that encodes many blocks."""
+    import numpy as np
+
+    limits = np.array([1 << bits for _, bits in LAYOUTS], dtype=np.uint64)
+    return np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.int8)
+
+
+def encode(values, widths=None):
     """(words, escapes): uint64 words, and the places in them of the escape words."""
     import numpy as np
 
@@ -21,20 +29,31 @@ def encode(values):
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    limits = np.array([1 << bits for _, bits in LAYOUTS], dtype=np.uint64)
-    need = np.searchsorted(limits, values, side="right").astype(np.int8)  # the narrowest selector that holds each
+    widths = width_table() if widths is None else widths
+    need = widths[np.minimum(values, np.uint64((1 << 16) - 1)).astype(np.uint16)]
+    large = np.flatnonzero(values >> np.uint64(16))
+    if len(large):
+        need[large] = np.searchsorted(np.array([1 << bits for _, bits in LAYOUTS], dtype=np.uint64), values[large], side="right")
     places = np.arange(n, dtype=np.int32)
-    take, chosen = np.ones(n, np.int64), np.where(need == ESCAPE, ESCAPE, 13).astype(np.int8)
+    take, chosen = np.ones(n, np.int8), np.where(need == ESCAPE, ESCAPE, 13).astype(np.int8)
     least = int(need.min())
     for selector in range(12, least - 1, -1):
         count = LAYOUTS[selector][0]
         wide = np.concatenate(([-1], np.flatnonzero(need > selector), [n])).astype(np.int32)
         gaps = np.diff(wide)
-        if gaps.max() <= count and gaps[-1] == 1:
-            continue
-        ahead = np.repeat(wide[1:], gaps)[:n]  # the next value that is too wide
-        fits = (ahead - places >= count) | (ahead == n)  # the tail may be padded
-        take[fits], chosen[fits] = count, selector
+        runs = np.flatnonzero(gaps > count)
+        tail = gaps[-1] > 1 and gaps[-1] <= count  # the tail may be padded
+        if len(runs) * 64 < n:
+            for at in runs.tolist():
+                first, end = int(wide[at]) + 1, int(wide[at + 1])
+                last = n if end == n else end - count + 1
+                take[first:last], chosen[first:last] = count, selector
+            if tail:
+                take[wide[-2] + 1 :], chosen[wide[-2] + 1 :] = count, selector
+        else:
+            ahead = np.repeat(wide[1:], gaps)[:n]  # the next value that is too wide
+            fits = (ahead - places >= count) | (ahead == n)
+            take[fits], chosen[fits] = count, selector
     starts, steps, at = [], take.tolist(), 0
     while at < n:
         starts.append(at)

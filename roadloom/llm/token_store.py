@@ -48,11 +48,11 @@ def parallelism(pieces: DataFrame) -> int:
     return max(1, min(pieces.count(), 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def block_bytes(doc_ids, ids: list[bytes]) -> bytes:
+def block_bytes(doc_ids, ids: list[bytes], widths=None) -> bytes:
     import numpy as np
 
     values = np.frombuffer(b"".join(ids), "<u4")
-    words, escapes = simple8b.encode(values)
+    words, escapes = simple8b.encode(values, widths)
     null = np.array([i is None for i in doc_ids], np.uint8)
     return b"".join(
         (
@@ -100,7 +100,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
         import pandas as pd
         from pyspark import TaskContext
 
-        encoder, end = PieceEncoder(shared.value), end_id.to_bytes(4, "little")
+        encoder, end, widths = PieceEncoder(shared.value), end_id.to_bytes(4, "little"), simple8b.width_table()
         file_no = TaskContext.get().partitionId()
         uri = f"{folder}/part-{file_no:06d}-{uuid.uuid4().hex}.s8b"
         system, path = open_store(uri)
@@ -119,7 +119,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
                 if out is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)
-                data = block_bytes(doc_ids, ids)
+                data = block_bytes(doc_ids, ids, widths)
                 out.write(data)
                 segment[1:] = segment[1] + len(data), segment[2] + len(ids), segment[3] + held
                 doc_ids, ids, held = [], [], 0

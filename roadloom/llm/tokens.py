@@ -61,6 +61,10 @@ class PieceEncoder:
         # Where a run of a-z is a pre-token as it stands, the library's merge model takes it at once.
         ready, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.direct = ready is not None and cut is not None and ready.normalize_str("az") == "az" and [x for x, _ in cut.pre_tokenize_str("az")] == ["az"]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.direct_any = self.direct and all([x for x, _ in cut.pre_tokenize_str(s)] == [self.bytes_of(s)[0][0]] for s in ("éß", "ñ中"))
         self.specials = tuple(t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values())
         # Spark reuses worker processes: what a task has learned serves the process's next one.
         kept = sys.modules.setdefault("_roadloom_pieces", types.ModuleType("_roadloom_pieces")).__dict__
@@ -81,6 +85,17 @@ class PieceEncoder:
             merge, plain = self.tokenizer.model.tokenize, [x for x in missing if x.isalpha()]
             known.update((x, array("I", [t.id for t in merge(x.decode())]).tobytes()) for x in plain)
             missing = [x for x in missing if not x.isalpha()]
+        if self.direct_any:  # other letters too, where normalisation has nothing to do
+            from unicodedata import is_normalized
+
+            rest = []
+            for x in missing:
+                s = x.decode("utf-8", "replace")
+                if s.isalpha() and s == s.lower() and is_normalized("NFC", s):
+                    known[x] = array("I", [t.id for t in merge(self.bytes_of(s)[0][0])]).tobytes()
+                else:
+                    rest.append(x)
+            missing = rest
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             known.update(zip(part, self._library([x.decode("utf-8", "replace") for x in part])))
