@@ -84,4 +84,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from roadloom.llm.oracles import SQL
+
+    return dict(SQL)
