@@ -33,8 +33,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new name for a folder below the shared one; nothing is created."""
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new name for a folder below the shared one, with its file system's scheme; nothing is created."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -37,10 +37,13 @@ CATALOGUE = "file_no int, segment int, path string, offset long, bytes long, doc
 
 
 def open_store(uri: str):
-    """The file system of a URI or path, and the path in it."""
+    """The file system of a URI or path, and the path in it; Hadoop's ways of writing them are understood."""
+    import re
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", uri))
+    return fs.FileSystem.from_uri(uri if re.match(r"^\w+://", uri) else f"file://{uri}")
 
 
 def parallelism(pieces: DataFrame) -> int:
@@ -166,14 +169,19 @@ def read_store(catalogue: DataFrame, digest: bool = True) -> DataFrame:
                 with system.open_input_file(path) as f:
                     f.seek(int(offset))
                     data = f.read(int(size))
+                parts = {"doc_id": [], "start": [], "n_tokens": [], "last": []}
                 for doc_ids, lengths, values in read_blocks(data):
                     ends = np.cumsum(lengths.astype(np.int64))
                     begins = ends - lengths
-                    own = values.tobytes()
+                    own = memoryview(values.tobytes())
                     cuts = [own[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
-                    last = [zlib.crc32(c) for c in cuts] if digest else [np.frombuffer(c, "<u4").astype(np.int64) for c in cuts]
-                    yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": start + begins, "n_tokens": lengths.astype(np.int64), "last": last})
+                    parts["doc_id"] += doc_ids
+                    parts["start"].append(start + begins)
+                    parts["n_tokens"].append(lengths.astype(np.int64))
+                    parts["last"] += [zlib.crc32(c) for c in cuts] if digest else [np.frombuffer(c, "<u4").astype(np.int64) for c in cuts]
                     start += int(ends[-1]) if len(ends) else 0
+                if parts["doc_id"]:
+                    yield pd.DataFrame({"doc_id": pd.array(parts["doc_id"], "Int64"), "start": np.concatenate(parts["start"]), "n_tokens": np.concatenate(parts["n_tokens"]), "last": parts["last"]})
 
     out = segments.mapInPandas(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}")
     return out.withColumnRenamed("last", "ids_crc32" if digest else "ids")
