@@ -33,6 +33,8 @@ from roadloom.llm.tokens import PieceEncoder
 MAGIC = b"RLS8"
 BLOCK_IDS = 32_768
 SEGMENT_IDS = 1_000_000
+#: Pieces a worker remembers here, some 200 bytes each.
+KEPT_PIECES = 800_000
 CATALOGUE = "file_no int, segment int, path string, offset long, bytes long, documents long, ids long"
 
 
@@ -103,7 +105,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
         import pandas as pd
         from pyspark import TaskContext
 
-        encoder, end, widths = PieceEncoder(shared.value), end_id.to_bytes(4, "little"), simple8b.width_table()
+        encoder, end, widths = PieceEncoder(shared.value, KEPT_PIECES), end_id.to_bytes(4, "little"), simple8b.width_table()
         file_no = TaskContext.get().partitionId()
         uri = f"{folder}/part-{file_no:06d}-{uuid.uuid4().hex}.s8b"
         system, path = open_store(uri)

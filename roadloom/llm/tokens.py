@@ -54,12 +54,12 @@ def cut_texts(texts: list[bytes]) -> list[list[bytes]]:
 class PieceEncoder:
     """``encode(texts)``: for each text (null: empty) its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, kept_pieces: int = KEPT_PIECES):
         import sys
         import types
         import zlib
 
-        self.tokenizer = load(tokenizer_json)
+        self.tokenizer, self.kept_pieces = load(tokenizer_json), kept_pieces
         # Where a run of a-z is a pre-token as it stands, the library's merge model takes it at once.
         ready, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.direct = ready is not None and cut is not None and ready.normalize_str("az") == "az" and [x for x, _ in cut.pre_tokenize_str("az")] == ["az"]
@@ -80,7 +80,7 @@ class PieceEncoder:
         whole = {i for i, t in enumerate(raw) if any(s in t for s in self.specials)}
         pieces = cut_texts([b"" if i in whole else t.lower() for i, t in enumerate(raw)])
         known = self.known
-        if len(known) > KEPT_PIECES:
+        if len(known) > self.kept_pieces:
             known.clear()
         missing = list(set().union(*pieces).difference(known))
         if self.direct:
