@@ -9,6 +9,15 @@ threshold with probability ``recall``. Verified pairs of all passes are united i
 components; a task passes on only the links that join components it has not yet
 joined, so a dense group gives links in proportion to its size.
 
+What the passes miss is then searched exactly. Every vector belongs to the cell of
+its nearest pivot (pivots are vectors of the table), and cells are dealt into blocks
+of bounded size. By the triangle inequality on the sphere a vector can link into a
+cell only if its angle to the pivot is at most the cell's radius plus the threshold
+angle; all blocks it can link into are compared with it, and links that join
+different components are added. So the passes decide how much work is left, not the
+result. Where cells are wide (no direction preferred in many dimensions) nothing can
+be excluded and the search takes all pairs of blocks.
+
 Links within a component are then counted completely, not only those met in a
 window. Members within half the threshold angle of the component's mean direction
 (the core) are all linked with each other by the triangle inequality on the
@@ -25,7 +34,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import stored
@@ -115,6 +124,115 @@ def _count_links(cosine: float):
     return run
 
 
+def _crossing(cosine: float):
+    """Links between components within one pair of blocks: one for each pair of components, and all too near the threshold to be sure of."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        lo = int(pdf["lo"].iloc[0])
+        first, second = pdf[pdf["own"] == lo], pdf[pdf["own"] == int(pdf["hi"].iloc[0])]
+        links = []
+        if len(first) and len(second):
+            x, y = (np.frombuffer(b"".join(side["unit"]), "<f4").reshape(len(side), -1) for side in (first, second))
+            a, b = first["id"].to_numpy(), second["id"].to_numpy()
+            names, codes = np.unique(np.concatenate((first["component"], second["component"])), return_inverse=True)
+            ca, cb, n = codes[: len(a)], codes[len(a) :], len(names)
+            slack = SINGLE + 1.2e-7 * x.shape[1]
+            root = np.arange(n)
+
+            def find(i):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            for at in range(0, len(a), 500):
+                cosines, ka = x[at : at + 500] @ y.T, ca[at : at + 500]
+                i, j = np.nonzero((cosines >= cosine - slack) & (ka[:, None] != cb[None, :]))
+                if not len(i):
+                    continue
+                sure = cosines[i, j] >= cosine + slack
+                links += zip(a[at + i[~sure]].tolist(), b[j[~sure]].tolist())
+                i, j = i[sure], j[sure]
+                _, one = np.unique(ka[i].astype(np.int64) * n + cb[j], return_index=True)
+                for k in one.tolist():
+                    ra, rb = find(ka[i[k]]), find(cb[j[k]])
+                    if ra != rb:
+                        links.append((int(a[at + i[k]]), int(b[j[k]])))
+                        root[max(ra, rb)] = min(ra, rb)
+                every = np.array([find(k) for k in range(n)])
+                ca, cb, root = every[ca], every[cb], np.arange(n)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def crossing_links(good: DataFrame, component: DataFrame, cosine: float, block: int = 16_384, most: int = 1024) -> DataFrame:
+    """(a, b): candidates for all links of ``good(id, vector, dim)`` that join different components."""
+    import numpy as np
+
+    angle = math.acos(cosine) + 1e-4
+    sizes = {r["dim"]: r["n"] for r in good.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    ranked = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
+    wanted = F.least(F.lit(most), F.ceil(F.col("n") / block))
+    per_dim = good.groupBy("dim").agg(F.count("*").alias("n"))
+    # Candidates for pivots by hash: about 20 times as many as needed, ranked, so that no task orders a whole table.
+    some = good.join(F.broadcast(per_dim), "dim").where(F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / (20 * wanted))) == 0)
+    chosen = some.withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= wanted).select("dim", "vector").collect()
+    pivots = {d: [r["vector"] for r in chosen if r["dim"] == d] for d in sizes}
+    # Any direction serves where no row was drawn.
+    pivots = {d: _unit(np.array(p if p else [[1.0] * d], dtype=np.float64)) for d, p in pivots.items()}
+
+    def angles(x, dim):
+        import numpy as np
+
+        return np.arccos(np.clip(x @ pivots[dim].T, -1, 1))
+
+    def nearest(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for dim, same in batch.groupby("dim"):
+                far = angles(_unit(np.array(same["vector"].tolist(), dtype=np.float64)), int(dim))
+                yield pd.DataFrame({"dim": same["dim"], "cell": far.argmin(1).astype(np.int32), "angle": far.min(1)})
+
+    cells = good.select("dim", "vector").mapInPandas(nearest, "dim int, cell int, angle double")
+    cells = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).orderBy("dim", "cell").collect()
+    blocks: dict = {}  # of a dimension: cell, radius, first block, blocks
+    first = 0
+    for c in cells:
+        many = math.ceil(c["n"] / block)
+        blocks.setdefault(c["dim"], []).append((c["cell"], c["radius"], first, many))
+        first += many
+
+    def dealt(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                for dim, same in batch.iloc[lo : lo + 2000].groupby("dim"):
+                    x = _unit(np.array(same["vector"].tolist(), dtype=np.float64))
+                    far, packed = angles(x, int(dim)), [v.tobytes() for v in x.astype("<f4")]
+                    near, ids, names = far.argmin(1), same["id"].to_numpy(), same["component"].to_numpy()
+                    own = np.zeros(len(x), np.int64)
+                    for cell, _, begin, many in blocks[int(dim)]:
+                        at = near == cell
+                        own[at] = begin + (ids[at] ^ (ids[at] >> 33)) % many
+                    for cell, radius, begin, many in blocks[int(dim)]:
+                        at = np.flatnonzero(far[:, cell] <= radius + angle)
+                        for other in range(begin, begin + many):
+                            if len(at):
+                                yield pd.DataFrame({"lo": np.minimum(own[at], other), "hi": np.maximum(own[at], other), "own": own[at], "id": ids[at], "component": names[at], "unit": [packed[k] for k in at]})
+
+    rows = good.select("id", "vector", "dim").join(component.withColumnRenamed("node", "id"), "id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "id"))
+    rows = rows.mapInPandas(dealt, "lo long, hi long, own long, id long, component long, unit binary")
+    return rows.groupBy("lo", "hi").applyInPandas(_crossing(cosine), "a long, b long")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 32, recall: float = 0.98, seed: int = 7, block: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``."""
     raw = F.transform("embedding", lambda x: x.cast("double"))
@@ -168,6 +286,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 32, reca
     exact = dot("va", "vb") >= cosine * F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))
     verified = stored(found.join(ends("a"), "a").join(ends("b"), "b").where(exact).select("a", "b"), "vector-links")
     component = connected_components(verified)
+    # What no pass met: links between components.
+    crossing = stored(crossing_links(good, component, cosine).distinct(), "vector-crossing")
+    crossing = stored(crossing.join(ends("a"), "a").join(ends("b"), "b").where(exact).select("a", "b"), "vector-joining")
+    if crossing.limit(1).count():
+        component = connected_components(verified.unionByName(crossing))
 
     # Complete counts within components.
     members = stored(good.join(component.withColumnRenamed("node", "id"), "id").select("id", "vec_id", "component", "vector"), "vector-members")

@@ -48,6 +48,43 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_hot_direction_are_all_found(spark):
+    from roadloom.llm.near_vectors import near_vectors
+
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, dim = unit(rng.standard_normal(64)), 64
+    # A cone about one direction whose members do not link by themselves, and pairs planted just above the threshold.
+    cone = unit(0.85 * centre + math.sqrt(1 - 0.85**2) * unit(rng.standard_normal((2400, dim))))
+    side = rng.standard_normal((150, dim))
+    side = unit(side - (side * cone[:150]).sum(1, keepdims=True) * cone[:150])
+    rows = np.concatenate((cone, 0.905 * cone[:150] + math.sqrt(1 - 0.905**2) * side))
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    x = np.array([v for _, v in rows])
+    links = ((x @ x.T) >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    want = {i: (n, c) for i, n, c in brute(rows, 0.9)}
+    assert {i: n for i, (n, _) in want.items()} == dict(enumerate(links.tolist()))
+    assert got == want
+    # Windows that end at every partition, and hardly a pass: the same rows.
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df, window=1, recall=0.1).collect()} == want
+
+
+def test_crossing_links_of_many_cells(spark):
+    from roadloom.llm.near_vectors import crossing_links
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((1, 16)) + 0.3 * rng.standard_normal((60, 16)) for _ in range(8)])
+    good = spark.createDataFrame([(i, v.tolist(), 16) for i, v in enumerate(x)], "id long, vector array<double>, dim int")
+    none = spark.createDataFrame([], "node long, component long")
+    from roadloom.llm.components import connected_components
+
+    got = {r["node"]: r["component"] for r in connected_components(crossing_links(good, none, 0.9, block=37)).collect()}
+    want = {i: c for i, n, c in brute([(i, v.tolist()) for i, v in enumerate(x)], 0.9) if n}
+    assert got == want
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_archive_round_trip(spark, least):
     from roadloom.llm.warc import archived, read_archive, write_archive
