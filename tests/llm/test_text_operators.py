@@ -142,6 +142,20 @@ def test_quality_cutoffs_hold_their_guarantee(spark):
     assert good_documents(docs, labels, alpha=0.05).count() == 2400
 
 
+def test_quality_cutoffs_of_a_small_stratum(spark):
+    from roadloom.llm.quality import quality_verdicts
+
+    # 500 good labels of each of four strata, and junk that no good document is like; one rule is useless.
+    rows = [(i, " ".join(f"u{i}x{j}" + ("###" if i % 5 == 0 else "!" if i % 3 == 0 else "") for j in range(40)), "abcd"[i // 625]) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality_verdicts(docs, labels).collect()}
+    assert got == {i: i % 5 > 0 for i, *_ in rows}
+    # What is as common among the good as alpha is not proved, however much it would catch.
+    labels = spark.createDataFrame([(i, int(i % 5 > 0 or i % 45 == 0), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] for r in quality_verdicts(docs, labels).collect())
+
+
 def test_quality_of_odd_rows(spark, docs, no_docs, texts):
     from roadloom.llm.quality import good_documents, quality_verdicts
 
