@@ -346,7 +346,7 @@ def road_ablation_curves(spark, sf_dir):
     from roadloom.plans.pipelines import ablation_table
 
     g = roads(spark, sf_dir)
-    return ablation_table(g, paths.betweenness(g), 10)
+    return ablation_table(g, paths.betweenness(g), 25)
 
 
 @query()
@@ -376,7 +376,7 @@ def road_apls(spark, sf_dir):
 def road_graph_report(spark, sf_dir):
     from roadloom.plans.pipelines import graph_report
 
-    return graph_report(roads(spark, sf_dir), steps=5)
+    return graph_report(roads(spark, sf_dir), steps=40)
 
 
 @query()

@@ -73,3 +73,17 @@ def test_splits(spark):
     assert [r["stem"] for r in s.image_pairs(files).collect()] == ["a"]
     flags = spark.createDataFrame([("True",), ("yes",), ("0",), (None,)], "f string").select(s.truthy(F.col("f")).alias("t"))
     assert [r["t"] for r in flags.collect()] == [True, True, False, False]
+
+
+def test_registered_reports_take_as_many_removals_as_the_reference(monkeypatch):
+    from roadloom import queries
+    from roadloom.plans import pipelines
+
+    taken = {}
+    monkeypatch.setattr(queries, "roads", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries.paths, "betweenness", lambda g: None)
+    monkeypatch.setattr(pipelines, "graph_report", lambda g, steps=40: taken.update(report=steps))
+    monkeypatch.setattr(pipelines, "ablation_table", lambda g, scores, steps=25: taken.update(ablation=steps))
+    queries.road_graph_report(None, "")
+    queries.road_ablation_curves(None, "")
+    assert taken == {"report": 40, "ablation": 25}
