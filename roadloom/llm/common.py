@@ -56,5 +56,30 @@ def stored(df: DataFrame, what: str, compression: str = "none") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exact_id(column: str = "doc_id") -> list[Column]:
+    """An id for a Python kernel: pandas makes doubles of a long column that holds a null, so the null is a column of its own."""
+    return [F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")).alias(column), F.col(column).isNull().alias(f"no_{column}")]
+
+
+def ids_of(batch, column: str = "doc_id"):
+    """The ids of a batch selected by ``exact_id``, as a pandas array of nullable 64-bit integers."""
+    import pandas as pd
+
+    return pd.arrays.IntegerArray(batch[column].to_numpy("int64").copy(), batch[f"no_{column}"].to_numpy("bool").copy())
+
+
+def id_list(batch, column: str = "doc_id") -> list:
+    """The same as Python integers and None."""
+    return [None if null else i for i, null in zip(batch[column].tolist(), batch[f"no_{column}"].tolist())]
+
+
+def nullable(values: list):
+    """A pandas array of 64-bit integers and nulls, all exact."""
+    import numpy as np
+    import pandas as pd
+
+    return pd.arrays.IntegerArray(np.array([0 if v is None else v for v in values], np.int64), np.array([v is None for v in values], bool))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

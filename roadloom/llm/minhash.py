@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import stored
+from roadloom.llm.common import exact_id, ids_of, stored
 from roadloom.llm.components import connected_components
 
 
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
                 prints = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64"),
+                        "doc_id": ids_of(part),
                         "n": [len(s) for s in sets],
                         "f1": [p[0] for p in prints],
                         "f2": [p[1] for p in prints],
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(*exact_id(), "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:

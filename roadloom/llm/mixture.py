@@ -13,9 +13,10 @@ filled. The cut in that order is found by partially aggregated sums over hash
 buckets; only the one bucket that holds the cut is gone through document by
 document, taking what still fits.
 
-A null text has size 0; a null source is a source of its own, last in order; rows
-that repeat (doc_id, sources, size) share one decision; an empty table gives no
-rows. Extra columns are kept by ``mixed_documents`` and not read otherwise.
+A null text has size 0; a null source is a source of its own, last in order; a null
+doc_id is an ordinary row; rows that repeat (doc_id, sources, size) share one
+decision; a text of any length is one document; an empty table gives no rows. Extra
+columns are kept by ``mixed_documents`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACE, stored, text_or_empty
+from roadloom.llm.common import SPACE, exact_id, ids_of, stored, text_or_empty
 
 
 def word_count() -> Column:
@@ -121,7 +122,7 @@ def _fill(room_column: str = "room"):
     """Within the bucket of the cut: take documents in order while they fit, then one more if that comes nearer."""
 
     def run(pdf):
-        pdf = pdf.sort_values(["order", "words", "doc_id"], kind="stable")
+        pdf = pdf.sort_values(["order", "words", "no_doc_id", "doc_id"], kind="stable")
         room = int(pdf[room_column].iloc[0])
         extra = []
         for words in pdf["words"].tolist():
@@ -130,7 +131,7 @@ def _fill(room_column: str = "room"):
         left = [(abs(room - w), i) for i, (w, x) in enumerate(zip(pdf["words"].tolist(), extra)) if not x]
         if left and min(left)[0] < room:
             extra[min(left)[1]] = 1
-        return pdf.assign(extra=extra)[["doc_id", "pattern", "size", "extra"]].astype({"extra": "int32"})
+        return pdf.assign(doc_id=ids_of(pdf), extra=extra)[["doc_id", "pattern", "size", "extra"]].astype({"extra": "int32"})
 
     return run
 
@@ -162,7 +163,7 @@ def mixture(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int
     sums = keys.groupBy("pattern", "bucket").agg(F.sum("words").alias("w")).withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
     keys = keys.join(sums, ["pattern", "bucket"]).withColumn("room", F.col("rest") - F.col("before"))
     keys = keys.withColumn("place", F.when(F.col("w") <= F.col("room"), 1).when(F.col("room") > 0, 0).otherwise(-1))
-    cut = keys.where("place = 0").select("doc_id", "pattern", "size", "words", "order", "room")
+    cut = keys.where("place = 0").select(*exact_id(), "pattern", "size", "words", "order", "room")
     filled = cut.groupBy("pattern").applyInPandas(_fill(), "doc_id long, pattern string, size long, extra int")
     sure = keys.where("place <> 0").select("doc_id", "pattern", "size", F.when(F.col("place") == 1, 1).otherwise(0).alias("extra"))
     copies = sure.unionByName(filled).join(plan.select("pattern", "base"), "pattern")

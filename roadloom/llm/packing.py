@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import stored
+from roadloom.llm.common import exact_id, id_list, nullable, stored
 from roadloom.llm.tokens import PieceEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -110,14 +110,15 @@ def document_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part, rows = batch.iloc[lo : lo + 500], []
-                for i, ids in zip(part["doc_id"].astype("Int64"), encoder.encode(part["text"])):
+                for i, ids in zip(id_list(part), encoder.encode(part["text"])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         rows.append((i, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield out.assign(doc_id=nullable([r[0] for r in rows]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(*exact_id(), "text").mapInPandas(run, PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, rows_a_bucket: int = 2000) -> DataFrame:
@@ -130,7 +131,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_a_bucket: int = 2000) ->
     base = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("base") + F.col("rank")).alias("rank"))
+    others = [c for c in pieces.columns if c != "doc_id"]
+    ranked = ranked.select(*exact_id(), *others, (F.col("base") + F.col("rank")).alias("rank"))
     table = pieces.sparkSession.sparkContext.broadcast(ranges)  # bounded by the capacity, not the data
 
     def run(batches):
@@ -144,7 +146,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_a_bucket: int = 2000) ->
             at = rank - lo
             yield batch.drop(columns="rank").assign(sequence_id=base + at // each, offset=offset + at % each * length)
 
-    return ranked.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long")
+    kept = ", ".join(f"{n} {t}" for n, t in pieces.dtypes if n != "doc_id")
+    placed = ranked.mapInPandas(run, f"doc_id long, no_doc_id boolean, {kept}, sequence_id long, offset long")
+    return placed.select(F.when(~F.col("no_doc_id"), F.col("doc_id")).alias("doc_id"), *others, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

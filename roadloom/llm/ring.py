@@ -4,14 +4,14 @@ Every shard owns ``vnodes`` points of a 64-bit ring. Equal texts form one key, s
 copies stay together; keys are hashed into a fixed number of ring cells, and a
 cell goes to the first shard clockwise whose load stays within ``1 + slack`` of
 the mean: what overflows a full shard continues clockwise. Keys too heavy for
-that (more than ``slack`` of a shard) are placed one by one before the cells, and
-a key above half a shard is dealt into salted parts, as no shard could hold it.
+that (more than ``heavy`` of a shard) are placed one by one before the cells, and
+a key above a whole shard is dealt into salted parts, as no shard could hold it.
 
 All work that grows with the data is DataFrame expressions: one scan of the
 texts, partially aggregated sums by cell, and a window over (shard, bucket)
 parts of a few thousand rows for the slots. The driver only walks the ring over
 sums whose number is fixed by the parameters (``cells`` plus at most
-``shards / slack`` heavy keys and their parts).
+``shards / heavy`` heavy keys and their parts).
 
 Null and empty texts are one key of size 8; a null doc_id is an ordinary row;
 repeated rows each get a slot; an empty table gives no rows. Extra columns are
@@ -60,7 +60,7 @@ class Ring:
         return shard
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 128, slack: float = 0.002, cells: int = 16384, rows_a_bucket: int = 4000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 128, slack: float = 0.001, heavy: float = 0.002, cells: int = 16384, rows_a_bucket: int = 4000) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs(doc_id, text)``."""
     rows = stored(
         docs.select(
@@ -68,6 +68,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 128, slack:
             (F.octet_length(text_or_empty()).cast("long") + 8).alias("size"),
             F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
             F.xxhash64(text_or_empty()).alias("key"),
+            F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart where their text has to be split
         ),
         "ring-rows",
     )
@@ -77,11 +78,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 128, slack:
     mean = total / shards
     ring = Ring(shards, vnodes, (1 + slack) * mean)
 
-    # Heavy keys: no more than shards / slack of them can exist.
-    heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > slack * mean)
-    heavy = F.broadcast(stored(heavy.select("key", F.ceil(F.col("bytes") / (mean / 2)).cast("int").alias("parts")), "ring-heavy"))
-    rows = rows.join(heavy, "key", "left").withColumn(
-        "part", F.when(F.col("parts") == 1, 0).when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "size"), F.col("parts") * 4).cast("int"))
+    # Heavy keys: no more than shards / heavy of them can exist. One that fits in a shard stays whole.
+    keys = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > heavy * mean)
+    parts = F.when(F.col("bytes") > ring.cap, F.ceil(F.col("bytes") / (mean / 2))).otherwise(1).cast("int")
+    keys = F.broadcast(stored(keys.select("key", parts.alias("parts")), "ring-heavy"))
+    rows = rows.join(keys, "key", "left").withColumn(
+        "part", F.when(F.col("parts") == 1, 0).when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "row"), F.col("parts") * 4).cast("int"))
     ).withColumn("cell", F.pmod(F.col("key"), F.lit(cells)).cast("int"))
     sums = rows.groupBy(F.when(F.col("part").isNull(), F.col("cell")).alias("cell"), F.when(F.col("part").isNotNull(), F.col("key")).alias("key"), "part").agg(F.sum("size").alias("bytes"))
     units = [(r["bytes"], r["cell"], r["key"], r["part"]) for r in sums.collect()]

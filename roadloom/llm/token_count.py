@@ -19,8 +19,8 @@ the whole earlier chunk, that chunk is lengthened instead, in the end to the res
 of the text. No token is counted twice or lost, and memory is bounded by the
 chunk but for texts without boundaries.
 
-A null text is empty (0 tokens); a null doc_id is an ordinary row; an empty table
-gives no rows. Extra columns are not read.
+A null text is empty (0 tokens); a null doc_id is an ordinary row, and so is each of
+several rows of one doc_id; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from roadloom.llm.common import exact_id, ids_of
 from roadloom.llm.tokens import load
 
 MARGIN = 32
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024, chunk:
                     if len(t) > chunk:
                         counts[i] = count_tokens(counter.tokenizer, t, chunk, overlap)
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_bytes": sizes, "n_tokens": counts, "over_limit": [c > limit for c in counts]})
+                yield pd.DataFrame({"doc_id": ids_of(part), "n_bytes": sizes, "n_tokens": counts, "over_limit": [c > limit for c in counts]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(*exact_id(), "text")
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm import simple8b
-from roadloom.llm.common import shared_folder, stored
+from roadloom.llm.common import exact_id, id_list, nullable, shared_folder, stored
 from roadloom.llm.tokens import PieceEncoder
 
 MAGIC = b"RLS8"
@@ -134,8 +134,8 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                for i, x in zip(part["doc_id"].astype("Int64").tolist(), encoder.encode(part["text"])):
-                    doc_ids.append(None if pd.isna(i) else int(i))
+                for i, x in zip(id_list(part), encoder.encode(part["text"])):
+                    doc_ids.append(i)
                     ids.append(x + end)
                     held += len(x) // 4 + 1
                     if held >= BLOCK_IDS:
@@ -146,8 +146,9 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str)
             out.close()
         yield pd.DataFrame(rows, columns=["file_no", "segment", "path", "offset", "bytes", "documents", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = docs.select(*exact_id(), "text")
+    order = [F.col("no_doc_id").desc(), F.col("doc_id"), F.xxhash64("text")]  # null ids first
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(ordered.mapInPandas(run, CATALOGUE), "token-catalogue")
 
 
@@ -183,7 +184,7 @@ def read_store(catalogue: DataFrame, digest: bool = True) -> DataFrame:
                     parts["last"] += [zlib.crc32(c) for c in cuts] if digest else [np.frombuffer(c, "<u4").astype(np.int64) for c in cuts]
                     start += int(ends[-1]) if len(ends) else 0
                 if parts["doc_id"]:
-                    yield pd.DataFrame({"doc_id": pd.array(parts["doc_id"], "Int64"), "start": np.concatenate(parts["start"]), "n_tokens": np.concatenate(parts["n_tokens"]), "last": parts["last"]})
+                    yield pd.DataFrame({"doc_id": nullable(parts["doc_id"]), "start": np.concatenate(parts["start"]), "n_tokens": np.concatenate(parts["n_tokens"]), "last": parts["last"]})
 
     out = segments.mapInPandas(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}")
     return out.withColumnRenamed("last", "ids_crc32" if digest else "ids")

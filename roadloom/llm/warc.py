@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import shared_folder, stored
+from roadloom.llm.common import exact_id, id_list, nullable, shared_folder, stored
 from roadloom.llm.token_store import open_store, parallelism
 
 MAGIC = b"\x1f\x8b\x08"
@@ -126,10 +126,14 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     """Write ``pages(page_id, url, html)`` below ``folder``; (path, bytes) of the files."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    # Roles are settled on digests alone; the payloads are dealt by page, so a common one is no task's own.
     newest = rows.groupBy("sha").agg(F.max("page_id").alias("newest"))
-    roles = rows.join(newest, "sha").withColumn(
-        "revisit", F.coalesce((F.octet_length("html") >= min_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.lit(False))
+    roles = rows.select("page_id", "sha", F.octet_length("html").alias("n")).distinct().join(newest, "sha")
+    roles = roles.select(
+        F.col("page_id").alias("of"), F.col("sha").alias("what"), "newest",
+        F.coalesce((F.col("n") >= min_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.lit(False)).alias("revisit"),
     )
+    roles = rows.join(roles, rows["page_id"].eqNullSafe(roles["of"]) & (rows["sha"] == roles["what"]))
 
     def run(batches):
         import uuid
@@ -141,20 +145,18 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
         system, path = open_store(uri)
         out, size = None, 0
         for batch in batches:
-            ids = batch["page_id"].astype("Int64").tolist()
-            newest = batch["newest"].astype("Int64").tolist()
-            for i, url, html, to, revisit in zip(ids, batch["url"], batch["html"], newest, batch["revisit"].tolist()):
+            for i, url, html, to, revisit in zip(id_list(batch, "page_id"), batch["url"], batch["html"], id_list(batch, "newest"), batch["revisit"].tolist()):
                 if out is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)  # the members are compressed already
-                data = record(None if pd.isna(i) else int(i), url, html.encode("utf-8", "surrogatepass"), to, revisit)
+                data = record(i, url, html.encode("utf-8", "surrogatepass"), to, revisit)
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
             yield pd.DataFrame({"path": [uri], "bytes": [size]})
 
-    return stored(roles.select("page_id", "url", "html", "newest", "revisit").mapInPandas(run, "path string, bytes long"), "warc-files")
+    return stored(roles.select(*exact_id("page_id"), "url", "html", *exact_id("newest"), "revisit").mapInPandas(run, "path string, bytes long"), "warc-files")
 
 
 def read_archive(files: DataFrame, split_bytes: int = 4 << 20, payloads: bool = False) -> DataFrame:
@@ -167,7 +169,8 @@ def read_archive(files: DataFrame, split_bytes: int = 4 << 20, payloads: bool =
         import pandas as pd
 
         def frame(rows):
-            out = pd.DataFrame(rows, columns=[*names, "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            out = pd.DataFrame(rows, columns=[*names, "payload"], dtype=object)
+            out = out.assign(page_id=nullable([r[0] for r in rows]), payload_bytes=out["payload_bytes"].astype("int64"), refers_to=nullable([r[5] for r in rows]))
             return out if payloads else out[names]
 
         for batch in batches:

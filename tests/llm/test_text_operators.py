@@ -325,7 +325,7 @@ def test_flow_of_overlapping_sources():
 def test_sharding(docs, no_docs, texts):
     from roadloom.llm.ring import shard_documents
 
-    rows = shard_documents(docs, shards=4, slack=0.05).collect()
+    rows = shard_documents(docs, shards=4, slack=0.05, heavy=0.05).collect()
     assert len(rows) == len(texts)
     for s in range(4):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
@@ -347,6 +347,54 @@ def test_sharding_is_even_with_a_hot_text(spark):
     assert len(loads) == 8 and max(loads) <= 1.01 * sum(loads) / 8 and min(loads) >= 0.95 * sum(loads) / 8
 
 
+def test_sharding_keeps_a_text_whole_that_fits(spark):
+    from roadloom.llm.ring import shard_documents
+
+    # One text of 0.9 shards, one of 2.2 shards, of rows that repeat.
+    rows = [(1, "a" * 92)] * 90 + [(None, "b" * 92)] * 220 + [(i, f"{i:092d}") for i in range(490)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = shard_documents(docs, shards=8, slack=0.05, heavy=0.05).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["text_crc32"], Counter())[r["shard"]] += 1
+    assert len(by[zlib.crc32(b"a" * 92)]) == 1 and len(by[zlib.crc32(b"b" * 92)]) > 2
+    loads = Counter(r["shard"] for r in got)
+    assert len(loads) == 8 and max(loads.values()) <= 1.25 * 100
+
+
+def test_sharding_by_the_plain_ring(spark):
+    """Every row where a plain walk of the ring puts its text; one more shard moves little more than its share."""
+    from roadloom.llm import ring as m
+
+    rows = [(i, f"{i} " + "x" * (i * 37 % 200)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = dict(map(tuple, docs.selectExpr("doc_id", "xxhash64(text)").collect()))
+    placed = {}
+    for shards in (24, 25):
+        sizes, total = Counter(), 0
+        for i, t in rows:
+            sizes[hashed[i]] += len(t) + 8
+            total += len(t) + 8
+        mean = total / shards
+        points = sorted((m._point("node", s, v), s) for s in range(shards) for v in range(128))
+        heavy = {k for k, b in sizes.items() if b > 0.002 * mean}
+        units = Counter()
+        for k, b in sizes.items():
+            units[("key", k, 0) if k in heavy else ("cell", k % 64)] += b
+        loads, where = [0] * shards, {}
+        for b, place, u in sorted((-b, m._point(*u), u) for u, b in units.items()):
+            walk = [s for p, s in points if p >= place] + [s for p, s in points if p < place]
+            fits = next((s for s in walk if loads[s] - b <= 1.001 * mean), None)
+            where[u] = min(range(shards), key=lambda s: (loads[s], s)) if fits is None else fits
+            loads[where[u]] -= b
+        placed[shards] = {r["doc_id"]: r["shard"] for r in m.shard_documents(docs, shards=shards, cells=64).collect()}
+        assert placed[shards] == {i: where[("key", k, 0) if k in heavy else ("cell", k % 64)] for i, k in hashed.items()}
+        assert max(loads) <= 1.02 * mean and min(loads) >= 0.9 * mean
+    size = {i: len(t) + 8 for i, t in rows}
+    moved = sum(size[i] for i, s in placed[24].items() if placed[25][i] != s)
+    assert moved < 0.25 * sum(size.values())
+
+
 def test_language_scores(docs, no_docs, texts):
     from math import log10
 
