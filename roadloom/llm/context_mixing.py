@@ -1,28 +1,41 @@
-"""Language-model scores by online logistic context mixing.
-
-A word (lower-cased A-Z, ended by a space) is spelled bit by bit. Several bit
-predictors, one for each context order, look up the bits seen after the hash of
-the last 1, 2, 3, 4 and 6 bytes of the word and the bits of the byte so far; their
-log-odds are combined by weights that a gate selects (how high an order knows its
-context), learned online on words left out of their own counts. Within a document
-the spelled probability is then refined by the word's own frequencies: overall and
-in each of the most frequent topics (languages), whose weights follow, causally,
-from the words before it, as does the share between frequency and spelling. All
-probabilities are proper, so the sum is the document's log10 probability.
-
-What is gathered from the corpus is complete: exact counts of every training word
-(by partial aggregation), and from them the bit counts of every context, summed
-in tables of fixed size. Only the few mixing weights are fitted on a bounded sample
-of the training vocabulary (``sample`` words, chosen by hash).
-
-Documents are read once and kept as chunks: the distinct words of about
-``CHUNK_TOKENS`` tokens, and the documents as places in them. The chunks' words
-meet the vocabulary in a join and come back to their chunk, so neither the texts
-nor a row for each token are shuffled, and a task holds one chunk.
+"""Language-model scores by online logistic context mixing over the running text.
+
+The lower-cased words of a document, each ended by a space, and a line feed at the
+end are spelled bit by bit. Eight predictors look up the bits seen after a hashed
+context: the last 1 to 6 bytes, the word so far, and the word so far with the end
+of the word before it (all within the last ``WINDOW`` bytes, so contexts run across
+words). A predictor's table holds quantised bit counts; what a count is worth is
+calibrated on the corpus. Two sets of mixing weights, gated by how well the long
+contexts know the place and by the place in the word, turn the calibrated log-odds
+into two opinions; a final mixer, whose two weights are updated online as the
+document is read, joins them, and an adaptive probability map refines the result.
+
+Above the bits stands a predictor of whole words: the word that most often followed
+the two words before it. Where there is one, a bit says whether it comes, with
+the log-odds of such cases in the corpus plus what this document has shown so far;
+only if it does not come is the word spelled. Probabilities are those of a code, so
+the score is the document's log10 probability, and its bits a byte are given too.
+
+All training tokens are counted, by exact sums: words, followers of word pairs, and
+runs of ``WINDOW + 1`` bytes. As the predictors see nothing beyond such a run, the
+distinct runs with their counts stand for the whole corpus: the tables are filled
+and the weights learned from them, each occurrence judged without itself. What
+grows with the input is dealt into blocks by hash and met there by the chunks that
+ask for it, so no task and no broadcast holds it; the byte tables, which are
+broadcast, have at most ``MOST_SLOTS`` slots each, and as calibration sees their
+states as they are, contexts that share a slot cost sharpness, not correctness.
+
+A training document is judged without itself: its followers without those it counted,
+each byte without its own occurrence. So a text that occurs elsewhere in the corpus
+stands apart from one that does not.
+
+Documents are read once and kept as chunks of about ``CHUNK_TOKENS`` tokens (a
+longer document is a chunk of its own): distinct words, and tokens as places among
+them. A document's score depends on its text, its fold and the corpus alone.
 
 A null text is empty: its only token is the end. A null doc_id counts as the empty
-string where the fold is drawn. An empty table gives no rows. Extra columns are
-not read.
+string where the fold is drawn. Rows that repeat a doc_id are documents each. An
+empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,19 +45,25 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import stored
+from roadloom.llm.common import exact_id, id_list, nullable, stored
 
 CHUNK_TOKENS = 2_000_000
-#: Tokens that a task scores at a time (a longer document alone).
-SCORED_TOKENS = 200_000
-#: Bytes of context, and slots (a power of two) of each predictor's table.
-ORDERS = ((1, 1 << 16), (2, 1 << 18), (3, 1 << 19), (4, 1 << 19), (6, 1 << 19))
-BLOCK = 1 << 14
-#: Topics with word frequencies of their own, the last for all others.
-TOPICS = 6
-COUNTS = ", ".join(f"t{k} long" for k in range(TOPICS))
+#: Bytes whose predictions a task works out at a time (a longer document alone).
+SCORED_BYTES = 4_000_000
 #: The end of a document, a token that no text can hold.
-END = b" "
+END = b"\n"
+WINDOW = 6
+#: The predictors: orders in bytes, the word so far, the word so far and two letters (and the space) before it.
+PREDICTORS = (1, 2, 3, 4, 5, 6, "word", "across")
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
+PART = 1 << 16
+#: States of a bit count: all pairs below EXACT sights in all, then LEVELS of sights by 48 log-odds.
+EXACT, LEVELS, STEPS = 8, (8, 16, 64, 1024), 48
+STATES = 256
+GATES = (16, 20)
+BUCKETS = 64
+#: Cells of the word predictor: its count by its share among the followers.
+CELLS = 8 * 4
 
 
 def in_fold(doc_id, folds: int, held: int) -> bool:
@@ -52,16 +71,8 @@ def in_fold(doc_id, folds: int, held: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == held
 
 
-def top_topics(docs: DataFrame, topic: str | None, most: int = TOPICS - 1) -> list:
-    """The most frequent topics; the rest share one more."""
-    if topic is None:
-        return []
-    counts = docs.where(F.col(topic).isNotNull()).groupBy(F.col(topic).cast("string").alias("t")).agg(F.count("*").alias("n"))
-    return [r["t"] for r in counts.orderBy(F.desc("n"), "t").limit(most).collect()]
-
-
-def chunks_of(docs: DataFrame, folds: int, held: int, topic: str | None, topics: list) -> DataFrame:
-    """A row for each chunk: its words with their training counts by topic, its documents, and their tokens as places among the words."""
+def chunks_of(docs: DataFrame, folds: int, held: int) -> DataFrame:
+    """A row for each chunk: its words, its documents, and their tokens as places among the words."""
 
     def run(batches):
         import numpy as np
@@ -69,268 +80,720 @@ def chunks_of(docs: DataFrame, folds: int, held: int, topic: str | None, topics:
         from pyspark import TaskContext
 
         at, number = TaskContext.get().partitionId(), 0
-        rows, place, held_tokens = [], {}, 0  # rows: id, held out, topic, places
+        rows, place, tokens_held = [], {}, 0  # rows: id, held out, places
 
         def close():
-            nonlocal number, rows, place, held_tokens
-            lengths = np.array([len(r[3]) for r in rows], np.int64)
-            places = np.concatenate([r[3] for r in rows])
-            topic_of = np.repeat(np.array([-1 if h else t for _, h, t, _ in rows], np.int64), lengths)
-            counts = {f"t{k}": [np.bincount(places[topic_of == k], minlength=len(place))] for k in range(TOPICS)}
+            nonlocal number, rows, place, tokens_held
+            lengths = np.array([len(r[2]) for r in rows], np.int64)
             out = pd.DataFrame(
                 {
                     "chunk": [(at << 32) + number],
+                    "tokens": [int(lengths.sum())],
                     "words": [list(place)],
-                    **counts,
-                    "doc_ids": [[r[0] for r in rows]],
+                    "doc_ids": [np.array([r[0] or 0 for r in rows], np.int64)],
+                    "no_ids": [[r[0] is None for r in rows]],
                     "held": [[r[1] for r in rows]],
                     "lengths": [lengths],
-                    "places": [zlib.compress(places.astype("<u4").tobytes(), 1)],
+                    "places": [zlib.compress(np.concatenate([r[2] for r in rows]).astype("<u4").tobytes(), 1)],
                 }
             )
-            rows, place, held_tokens, number = [], {}, 0, number + 1
+            rows, place, tokens_held, number = [], {}, 0, number + 1
             return out
 
         for batch in batches:
-            for i, text, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], batch["topic"]):
-                i = None if pd.isna(i) else int(i)
-                tokens = [*("" if text is None else text).encode("utf-8", "surrogatepass").lower().split(), END]
-                rows.append((i, in_fold(i, folds, held), number_of.get(t, TOPICS - 1), np.fromiter((place.setdefault(x, len(place)) for x in tokens), np.int32, len(tokens))))
-                held_tokens += len(tokens)
-                if held_tokens >= CHUNK_TOKENS:
+            for i, text in zip(id_list(batch), batch["text"]):
+                words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
+                words.append(END)
+                rows.append((i, in_fold(i, folds, held), np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words))))
+                tokens_held += len(words)
+                if tokens_held >= CHUNK_TOKENS:
                     yield close()
         if rows:
             yield close()
 
-    number_of = {t: k for k, t in enumerate(topics)}
-    schema = f"chunk long, words array<binary>, {COUNTS.replace(' long', ' array<long>')}, doc_ids array<long>, held array<boolean>, lengths array<long>, places binary"
-    named = F.lit(None).cast("string") if topic is None else F.col(topic).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", named.alias("topic")).mapInPandas(run, schema)
+    schema = "chunk long, tokens long, words array<binary>, doc_ids array<long>, no_ids array<boolean>, held array<boolean>, lengths array<long>, places binary"
+    return docs.select(*exact_id(), "text").mapInPandas(run, schema)
+
+
+# -- text as runs of bytes --------------------------------------------------------------
 
 
-def _bit_slots(words: list[bytes]):
-    """For 8 bit planes: (bits, slot of each predictor), over the bytes of the words and their closing spaces; and the bytes' word numbers."""
+def stream(words: list[bytes], places, lengths):
+    """The bytes of consecutive documents, the first byte of each token, and the first byte of each document."""
     import numpy as np
 
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    context, contexts, base = np.zeros(len(data), np.uint32), [], 0
-    for back in range(1, ORDERS[-1][0] + 1):
-        before = np.concatenate((np.zeros(back, np.uint8), data[:-back]))[: len(data)].astype(np.uint32)
-        before[inside < back] = 32
-        context = (context ^ before) * np.uint32(0x01000193) + np.uint32(back)
-        for order, slots in ORDERS:
-            if order == back:
-                contexts.append((context * np.uint32(0x9E3779B1), slots.bit_length() - 1, base))
-                base += slots
-
-    def planes():
-        for bit in range(7, -1, -1):
-            node = (np.uint32(1 << (7 - bit)) | (data >> np.uint8(bit + 1) if bit < 7 else np.zeros(len(data), np.uint8)).astype(np.uint32)) * np.uint32(0x85EBCA6B)
-            slots = [(((c ^ node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - width)).astype(np.int32) + base for c, width, base in contexts]
-            yield (data >> np.uint8(bit)) & np.uint8(1), slots
+    pieces = [w if w == END else w + b" " for w in words]
+    data = np.frombuffer(b"".join(map(pieces.__getitem__, places.tolist())), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[places]
+    tokens = np.cumsum(sizes) - sizes
+    return data, tokens, tokens[np.cumsum(lengths) - lengths]
+
+
+def runs(data, starts):
+    """For every byte the run that ends with it, as an integer: the byte lowest, line feeds before the document."""
+    import numpy as np
+
+    full = np.uint64((1 << 8 * (WINDOW + 1)) - 1)
+    run = data.astype(np.uint64)
+    for back in (1, 2, 4):  # doubling: the last 2, 4 and 8 bytes
+        run[back:] |= run[:-back] << np.uint64(8 * back)
+    run &= full
+    sizes = np.diff(np.append(starts, len(data)))
+    pad = int.from_bytes(b"\n" * (WINDOW + 1), "little")
+    for at in range(WINDOW):
+        here = starts[sizes > at] + at
+        own = np.uint64((1 << 8 * (at + 1)) - 1)
+        run[here] = (run[here] & own) | (np.uint64(pad) & ~own)
+    return run & full
+
+
+def contexts(run):
+    """The hashed context of each predictor, and the letters since the last space (at most WINDOW)."""
+    import numpy as np
+
+    before = run >> np.uint64(8)
+    letters, inside = np.zeros(len(run), np.uint64), np.ones(len(run), bool)
+    for back in range(WINDOW):
+        byte = (before >> np.uint64(8 * back)) & np.uint64(255)
+        inside &= (byte != 32) & (byte != 10)
+        letters += inside
+    found = []
+    for k, what in enumerate(PREDICTORS):
+        size = np.uint64(what) if isinstance(what, int) else letters if what == "word" else np.minimum(letters + np.uint64(3), np.uint64(WINDOW))
+        own = before & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1))
+        own = (own + size + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
+        own = (own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append((own >> np.uint64(32)).astype(np.uint32))
+    return found, letters.astype(np.int64)
+
+
+def slots(context, byte, bit: int, slots_of: int):
+    """The slot of a context's counts for one bit of the byte, given the bits above it."""
+    import numpy as np
+
+    node = (np.uint32(1 << (7 - bit)) | (byte.astype(np.uint32) >> np.uint32(bit + 1))) * np.uint32(0x85EBCA6B)
+    return (((context ^ node) * np.uint32(0xC2B2AE35)) >> np.uint32(33 - slots_of.bit_length())).astype(np.int64)
 
-    return planes(), owner
 
+class States:
+    """Quantised pairs of bit counts."""
 
-SLOTS = sum(slots for _, slots in ORDERS)
-#: Of each predictor: order, slots, first slot.
-BASES = tuple((order, slots, sum(n for o, n in ORDERS if o < order)) for order, slots in ORDERS)
+    def __init__(self):
+        import numpy as np
+
+        self.number = np.zeros((EXACT, EXACT), np.uint8)
+        pairs = [(n - ones, ones) for n in range(EXACT) for ones in range(n + 1)]
+        for s, pair in enumerate(pairs):
+            self.number[pair] = s
+        self.first = len(pairs)
+        grid = np.sinh(np.linspace(-2.2, 2.2, STEPS)) / np.sinh(2.2) * 9
+        self.middle = (grid[1:] + grid[:-1]) / 2
+        self.odds = np.zeros(STATES)
+        self.known = np.zeros(STATES, np.int64)  # how well a state knows its place, 0 to 3
+        self.without = np.tile(np.arange(STATES, dtype=np.uint8), (2, 1))  # the state without one sight of the bit
+        for s, (zeros, ones) in enumerate(pairs):
+            self.odds[s] = np.log((ones + 0.15) / (zeros + 0.15))
+            self.known[s] = min(2, (zeros + ones + 2) // 3 + (zeros + ones == 2 and 0))
+            self.without[0, s] = self.number[max(zeros - 1, 0), ones]
+            self.without[1, s] = self.number[zeros, max(ones - 1, 0)]
+        for level in range(len(LEVELS)):
+            self.odds[self.first + STEPS * level : self.first + STEPS * (level + 1)] = grid
+        self.known[self.first :] = 3
+
+    def of(self, zeros, ones):
+        import numpy as np
+
+        total = zeros + ones
+        small = total < EXACT
+        out = np.empty(len(total), np.uint8)
+        out[small] = self.number[zeros[small], ones[small]]
+        zeros, ones, total = zeros[~small], ones[~small], total[~small]
+        level = np.searchsorted(LEVELS, total, side="right") - 1
+        out[~small] = self.first + STEPS * level + np.searchsorted(self.middle, np.log((ones + 0.3) / (zeros + 0.3)))
+        return out
+
+
+# -- what is gathered from the corpus, in blocks ----------------------------------------
+
+
+def word_hashes(words: list[bytes]):
+    import numpy as np
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def pair_keys(hashes, places, lengths, blocks: int):
+    """For every token the key of the two words before it in its document: block, then 32 bits."""
+    import numpy as np
 
+    here = hashes[places]
+    ends = np.cumsum(lengths)
+    last, one = np.full(len(here), 3, np.uint64), np.full(len(here), 5, np.uint64)
+    last[1:], one[2:] = here[:-1], here[:-2]
+    last[ends - lengths] = 3
+    one[ends - lengths] = 5
+    one[(ends - lengths + 1)[lengths > 1]] = 5
+    key = (last * np.uint64(0x9E3779B97F4A7C15)) ^ (one * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(32)
+    return (((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
-def bit_counts(vocabulary: DataFrame) -> DataFrame:
-    """(block, zeros, ones): bit counts of all slots, in blocks, from the training words of ``vocabulary(word, c)``.
 
-    Each distinct word counts once: spelling is for what frequency does not know.
+def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
+    """(kind, block, chunk, a, b, n): what each chunk has of each block, with its counts in training documents.
+
+    kind 0: hashes of words; 1: keys of word pairs and the followers' hashes; 2: runs of bytes.
     """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        seen = np.zeros((2, SLOTS), np.int64)
         for batch in batches:
-            for lo in range(0, len(batch), 20_000):
-                part = batch.iloc[lo : lo + 20_000]
-                planes, _ = _bit_slots(list(part["word"]))
-                for bits, slots in planes:
-                    for value in (0, 1):
-                        here = bits == value
-                        for s, (_, _, base), (_, width) in zip(slots, BASES, ORDERS):
-                            seen[value, base : base + width] += np.bincount(s[here] - base, minlength=width)
-        for block in range(0, SLOTS, BLOCK):
-            part = seen[:, block : block + BLOCK]
-            if part.any():
-                yield pd.DataFrame({"block": [block], "zeros": [zlib.compress(part[0].astype("<i8").tobytes(), 1)], "ones": [zlib.compress(part[1].astype("<i8").tobytes(), 1)]})
+            for row in batch.itertuples(index=False):
+                words, lengths, train = list(row.words), np.asarray(row.lengths, np.int64), ~np.asarray(row.held, bool)
+                places = np.frombuffer(zlib.decompress(row.places), "<u4").astype(np.int64)
+                counted = np.repeat(train, lengths)
+                hashes = word_hashes(words)
+                out = []
+
+                def deal(kind, keys, block, a, b, n):
+                    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
+                        cut = lambda x, kind: b"" if x is None else x[lo:hi].astype(kind).tobytes()
+                        out.append((kind, int(block[lo]), row.chunk, cut(a, keys), cut(b, "<u4"), cut(n, "<u4")))
+
+                order = np.argsort(hashes)
+                n = np.bincount(places[counted], minlength=len(words))
+                deal(0, "<u8", word_block(hashes[order], blocks[0]), hashes[order], None, n[order])
+
+                pairs = pair_keys(hashes, places, lengths, blocks[1])
+                follower = hashes[places] & np.uint64(0xFFFFFFFF)
+                order = np.lexsort((follower, pairs))
+                pairs, follower, counted = pairs[order], follower[order], counted[order]
+                first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (follower[1:] != follower[:-1]))))
+                n = np.add.reduceat(counted.astype(np.int64), first)
+                deal(1, "<u4", (pairs[first] >> np.uint64(32)).astype(np.int64), pairs[first] & np.uint64(0xFFFFFFFF), follower[first], n)
+                yield pd.DataFrame(out, columns=["kind", "block", "chunk", "a", "b", "n"])
+
+                if train.any():
+                    data, _, starts = stream(words, places, lengths)
+                    sizes = np.diff(np.append(starts, len(data)))
+                    keys, n = np.unique(runs(data, starts)[np.repeat(train, sizes)], return_counts=True)
+                    block = run_block(keys, blocks[2])
+                    order = np.argsort(block, kind="stable")
+                    out.clear()
+                    deal(2, "<u8", block[order], keys[order], None, n[order])
+                    yield pd.DataFrame(out, columns=["kind", "block", "chunk", "a", "b", "n"])
+
+    return chunks.select("chunk", "words", "held", "lengths", "places").mapInPandas(run, "kind int, block int, chunk long, a binary, b binary, n binary")
+
+
+def word_block(hashes, blocks: int):
+    import numpy as np
+
+    return (((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+
+def run_block(keys, blocks: int):
+    import numpy as np
+
+    return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+
+
+def cell(best, total):
+    """The word predictor's cell: sights of the follower (0 to 7) by its share of all (0 to 3)."""
+    import numpy as np
+
+    return np.minimum(np.log2(np.maximum(best, 1) * 2.0).astype(np.int64) - 1, 7) * 4 + np.minimum((4 * best) // np.maximum(total, 1), 3)
+
+
+def settle(pdf):
+    """A block's sums, and its answers to the chunks.
+
+    kind 0: counts of the chunk's words, in its order; 1: the two most frequent followers
+    of its pairs; 2: the runs and their counts; 3: training tokens and distinct words;
+    4: hits and tries of the word predictor by cell, each occurrence judged without itself.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind, block = int(pdf["kind"].iloc[0]), int(pdf["block"].iloc[0])
+    names = ["kind", "block", "chunk", "a", "b", "n"]
+    pdf = pdf.sort_values("chunk")
+    a = [np.frombuffer(x, "<u4" if kind == 1 else "<u8") for x in pdf["a"]]
+    n = [np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["n"]]
+    if kind != 1:
+        keys, where = np.unique(np.concatenate(a), return_inverse=True)
+        total = np.bincount(where, np.concatenate(n)).astype(np.int64)
+        if kind == 2:
+            return pd.DataFrame([(2, block, -1, keys.tobytes(), b"", total.astype("<i8").tobytes())], columns=names)
+        cuts = np.cumsum([len(x) for x in a])[:-1]
+        rows = [(0, block, c, b"", b"", total[w].astype("<i8").tobytes()) for c, w in zip(pdf["chunk"].tolist(), np.split(where, cuts))]
+        rows.append((3, block, -1, b"", b"", np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
+        return pd.DataFrame(rows, columns=names)
+    follower = [np.frombuffer(x, "<u4") for x in pdf["b"]]
+    both, where = np.unique((np.concatenate(a).astype(np.uint64) << np.uint64(32)) | np.concatenate(follower), return_inverse=True)
+    total = np.bincount(where, np.concatenate(n)).astype(np.int64)
+    key = (both >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((both, -total, key))  # by pair, the most frequent follower first
+    key, total, both = key[order], total[order], (both[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(first, len(key)))
+    sums = np.add.reduceat(total, first)
+    second = np.where(sizes > 1, first + 1, first)
+    table = {"key": key[first], "f1": both[first], "n1": total[first], "f2": both[second], "n2": np.where(sizes > 1, total[second], 0), "n": sums}
+
+    hits, tries = np.zeros(CELLS), np.zeros(CELLS)
+    n1, n2, every = table["n1"], table["n2"], table["n"]
+    stays = (n1 - 1 >= n2) & (n1 > 1)  # without one sight of itself the best follower is still foretold
+    for weight, best, hit in ((np.where(stays, n1, 0), n1 - 1, True), (np.where(stays | (n2 == 0), 0, n1), n2, False), (every - n1, n1, False)):
+        own = (weight > 0) & (best > 0) & (every > 1)
+        at = cell(best[own], every[own] - 1)
+        tries += np.bincount(at, weight[own], minlength=CELLS)
+        hits += np.bincount(at, weight[own], minlength=CELLS) * hit
+    rows = [(4, block, -1, b"", b"", np.concatenate((hits, tries)).astype("<i8").tobytes())]
+    for c, keys, own in zip(pdf["chunk"].tolist(), a, n):
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        at = np.searchsorted(table["key"], keys[cuts])
+        more = (every[at] > 1) | (every[at] > np.add.reduceat(own, cuts))
+        at = at[more]
+        answer = b"".join(table[x][at].astype("<u4").tobytes() for x in ("key", "f1", "n1", "f2", "n2", "n"))
+        rows.append((1, block, c, answer, b"", b""))
+    return pd.DataFrame(rows, columns=names)
+
+
+def bit_tables(found: DataFrame, sizes: list[int]):
+    """The states of all predictors' slots, from the runs: bounded by MOST_SLOTS bytes each."""
+    import numpy as np
+
+    def count(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for keys, n in zip(batch["a"], batch["n"]):
+                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                hashed, _ = contexts(keys)
+                byte = (keys & np.uint64(255)).astype(np.uint8)
+                for k, size in enumerate(sizes):
+                    at = np.concatenate([2 * slots(hashed[k], byte, bit, size) + ((byte >> np.uint8(bit)) & 1) for bit in range(8)])
+                    seen = np.bincount(at, np.tile(n, 8), minlength=2 * size).astype("<i8").reshape(-1, 2 * min(PART, size))
+                    for part in np.flatnonzero(seen.any(1)).tolist():
+                        yield pd.DataFrame({"k": [k], "part": [part], "seen": [zlib.compress(seen[part].tobytes(), 1)]})
 
     def add(pdf):
         import numpy as np
         import pandas as pd
 
-        total = {c: sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf[c]) for c in ("zeros", "ones")}
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], **{c: [x.astype("<f4").tobytes()] for c, x in total.items()}})
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["seen"]).reshape(-1, 2)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "part": pdf["part"].iloc[:1], "seen": [zlib.compress(States().of(total[:, 0], total[:, 1]).tobytes(), 1)]})
 
-    schema = "block int, zeros binary, ones binary"
-    return vocabulary.where("c > 0").select("word").mapInPandas(run, schema).groupBy("block").applyInPandas(add, schema)
+    schema = "k int, part int, seen binary"
+    tables = [np.zeros(size, np.uint8) for size in sizes]
+    counted = found.select("a", "n").mapInPandas(count, schema).groupBy("k", "part").applyInPandas(add, schema)
+    for row in counted.toLocalIterator():
+        part = np.frombuffer(zlib.decompress(row["seen"]), np.uint8)
+        tables[row["k"]][row["part"] * PART : row["part"] * PART + len(part)] = part
+    return tables
 
 
 class Mixer:
-    """Gated logistic mixing of the predictors' log-odds."""
+    """The bit predictors and the two gated sets of weights over their calibrated log-odds."""
 
-    def __init__(self, zeros, ones):
+    def __init__(self, tables, odds=None, weights=None):
         import numpy as np
 
-        self.np, self.zeros, self.ones = np, zeros, ones
-        self.weights = np.full((len(ORDERS) + 1, len(ORDERS)), 0.3)
-
-    def inputs(self, bits, slots, leave: int):
-        """Log-odds of each predictor and the gate; ``leave`` takes one sight of the bit out of the counts."""
-        np = self.np
-        odds, gate = np.empty((len(slots), len(bits)), np.float32), np.zeros(len(bits), np.int8)
-        for k, s in enumerate(slots):
-            zeros, ones = self.zeros[s], self.ones[s]
-            if leave:
-                zeros, ones = np.maximum(zeros - (bits == 0), 0), np.maximum(ones - (bits == 1), 0)
-            odds[k] = np.log((ones + 0.02) / (zeros + 0.02))
-            gate += (zeros + ones >= 2).astype(np.int8)
-        return odds, gate
-
-    def learn(self, words: list[bytes], rate: float = 0.002, turns: int = 3) -> None:
-        """Online: small groups of words in order, each corrected by its own errors."""
-        np = self.np
-        for turn in range(turns):
-            for lo in range(0, len(words), 50):
-                part = words[lo : lo + 50]
-                planes, _ = _bit_slots(part)
-                for bits, slots in planes:
-                    odds, gate = self.inputs(bits, slots, leave=1)
-                    p = self.predict(odds, gate)
-                    error = bits - p
-                    for g in np.unique(gate).tolist():
-                        here = gate == g
-                        self.weights[g] += rate / (1 + turn) * (odds[:, here] @ error[here]) / max(1.0, np.sqrt(here.sum()))
-
-    def predict(self, odds, gate):
-        np = self.np
-        mixed = np.einsum("kn,nk->n", odds, self.weights.astype(np.float32)[gate])
-        return 1 / (1 + np.exp(-np.clip(mixed, -16, 16)))
-
-    def log10(self, words: list[bytes]):
-        """log10 probability of each word's spelling."""
-        np = self.np
-        planes, owner = _bit_slots(words)
-        total = np.zeros(len(owner))
-        for bits, slots in planes:
-            p = self.predict(*self.inputs(bits, slots, leave=0))
-            total += np.log10(np.where(bits == 1, p, 1 - p))
-        return np.bincount(owner, total, minlength=len(words))
-
-
-def _refined(counts, sizes, total: int, words: int, spelled, lengths, own: float = 0.95, prior: float = 0.9, strength: float = 20.0):
-    """log10 probability word by word; counts: (topics, tokens).
-
-    A topic's frequency is ``own`` its counts and else the overall one. Topics are
-    weighted by how well they foretold the words before, and frequency against
-    spelling by the share of those words that frequency explained.
-    """
+        self.tables, self.states = tables, States()
+        self.odds = np.tile(self.states.odds, (len(tables), 1)).astype(np.float32) if odds is None else odds
+        self.weights = [np.full((g, len(tables)), 1.6 / len(tables)) for g in GATES] if weights is None else weights
+
+    def planes(self, run, leave: bool):
+        """For the eight bits of the last byte, the highest first: (bit values, states by predictor); and the gates. ``leave`` takes the occurrence out of the counts."""
+        import numpy as np
+
+        hashed, letters = contexts(run)
+        byte = (run & np.uint64(255)).astype(np.uint8)
+        out = []
+        for bit in range(7, -1, -1):
+            value = (byte >> np.uint8(bit)) & np.uint8(1)
+            states = [t.take(slots(h, byte, bit, len(t))) for h, t in zip(hashed, self.tables)]
+            out.append((value, [self.states.without[value, s] for s in states] if leave else states))
+        top, known = out[0][1], self.states.known
+        gates = 4 * known[top[5]] + known[top[3]], 4 * np.minimum(letters, 4) + known[top[6]]
+        return out, gates
+
+    def inputs(self, states):
+        import numpy as np
+
+        return np.stack([o.take(s) for o, s in zip(self.odds, states)])
+
+    def opinions(self, run, leave: bool):
+        """(2, runs, 8): the log-odds of both weight sets for every bit."""
+        import numpy as np
+
+        planes, gates = self.planes(run, leave)
+        chosen = [np.ascontiguousarray(w.T.astype(np.float32)).take(g, axis=1) for w, g in zip(self.weights, gates)]
+        out = np.empty((2, len(run), 8), np.float32)
+        for at, (_, states) in enumerate(planes):
+            x = self.inputs(states)
+            for i, w in enumerate(chosen):
+                out[i, :, at] = np.clip(np.einsum("kn,kn->n", w, x), -12, 12)
+        return out
+
+
+def partial_byte(run):
+    """(runs, 8): the bits of the last byte above each bit, with a leading one."""
     import numpy as np
 
-    every = counts.sum(0)
-    overall = np.where(every > 0, (every + 1) / (total + words + 1), 0.0)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    shares = (sizes + 1) / (sizes + 1).sum()
-    by_topic = [own * counts[k] / max(sizes[k], 1) + (1 - own) * overall for k in range(len(sizes))]
-    weights = []
-    for share, p in zip(shares, by_topic):
-        before = np.concatenate(([0.0], np.cumsum(np.log(np.where(every > 0, np.maximum(p, 1e-300), 1.0)))))
-        weights.append(np.log(share) + before[:-1] - before[starts])
-    top = np.maximum.reduce(weights)
-    weights = [0.99 * np.exp(w - top) + 0.01 * s for w, s in zip(weights, shares)]
-    known = sum(w * p for w, p in zip(weights, by_topic)) / sum(weights)
-    letters = np.maximum(10.0**spelled, 1e-300)
-    sure = prior * known / (prior * known + (1 - prior) * letters)
-    before = np.concatenate(([0.0], np.cumsum(sure)))
-    share = (prior * strength + before[:-1] - before[starts]) / (strength + np.arange(len(known)) - starts)
-    # A spelling too improbable for a double counts with its own exponent.
-    return np.where(known > 0, np.log10(share * known + (1 - share) * letters), np.log10(1 - share) + spelled)
-
-
-def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, topic: str | None = "lang", sample: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``."""
+    byte = (run & np.uint64(255)).astype(np.int64)
+    return np.stack([(1 << (7 - bit)) | (byte >> (bit + 1)) for bit in range(7, -1, -1)], axis=1)
+
+
+def bucket(z):
+    """The place in the adaptive probability map."""
     import numpy as np
 
-    spark = docs.sparkSession
-    chunks = stored(chunks_of(docs, folds, held, topic, top_topics(docs, topic)), "lm-chunks", "zstd")
-    names = [f"t{k}" for k in range(TOPICS)]
-    words = chunks.select(F.explode(F.arrays_zip("words", *names)).alias("x")).select(F.col("x.words").alias("word"), *(F.col(f"x.{t}") for t in names))
-    vocabulary = stored(words.groupBy("word").agg(*(F.sum(t).alias(t) for t in names)), "lm-vocabulary", "zstd")
-    vocabulary = vocabulary.withColumn("c", sum(F.col(t) for t in names))
-    n, v, *sizes = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), *(F.coalesce(F.sum(t), F.lit(0)) for t in names)).first()
-    sizes = np.array(sizes, np.float64)
-
-    table = np.zeros((2, SLOTS), np.float32)  # of fixed size
-    for row in bit_counts(vocabulary).toLocalIterator():
-        for i, column in enumerate(("zeros", "ones")):
-            part = np.frombuffer(row[column], "<f4")
-            table[i, row["block"] : row["block"] + len(part)] = part
-    mixer = Mixer(table[0], table[1])
-    some = vocabulary.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(sample).collect()  # the weights' bounded sample
-    mixer.learn([bytes(r["word"]) for r in some])
-    shared = spark.sparkContext.broadcast((table.tobytes(), mixer.weights))
-
-    def spell(batches):
+    return np.clip((z + 8) * ((BUCKETS - 1) / 16) + 0.5, 0, BUCKETS - 1).astype(np.int64)
+
+
+def calibrate(found: DataFrame, shared) -> DataFrame:
+    """(cell, zeros, ones): bits seen in each state of each predictor over all training bytes, each judged without itself."""
+
+    def run(batches):
         import numpy as np
+        import pandas as pd
 
-        data, weights = shared.value
-        zeros, ones = np.frombuffer(data, np.float32).reshape(2, -1)
-        mixer = Mixer(zeros, ones)
-        mixer.weights = weights
+        mixer = Mixer(shared.value)
         for batch in batches:
-            for lo in range(0, len(batch), 20_000):
-                part = batch.iloc[lo : lo + 20_000]
-                yield part.assign(spelled=mixer.log10(list(part["word"])).astype(np.float32))
+            for keys, n in zip(batch["a"], batch["n"]):
+                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                seen = np.zeros((2, len(PREDICTORS) * STATES))
+                for lo in range(0, len(keys), 200_000):
+                    for value, states in mixer.planes(keys[lo : lo + 200_000], leave=True)[0]:
+                        for k, s in enumerate(states):
+                            both = np.bincount(s.astype(np.int64) * 2 + value, n[lo : lo + 200_000], minlength=2 * STATES).reshape(-1, 2)
+                            seen[:, k * STATES : (k + 1) * STATES] += both.T
+                at = np.flatnonzero(seen.any(0))
+                yield pd.DataFrame({"cell": at, "zeros": seen[0, at], "ones": seen[1, at]})
+
+    return found.select("a", "n").mapInPandas(run, "cell int, zeros double, ones double").groupBy("cell").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+
+
+def learn(found: DataFrame, shared) -> DataFrame:
+    """(kind, cell, x, y): kind 0, sums of mass times weight and of mass; kind 1, bits seen at each place of the probability map.
+
+    Each block goes through its runs in hashed order, in small groups weighted by their
+    counts, corrects the gates' weights by the errors (a Newton step on what has been
+    seen so far), and passes on its weights with the bytes they come from.
+    """
 
-    spelled = vocabulary.drop("c").mapInPandas(spell, f"word binary, {COUNTS}, spelled float")
-    places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    found = places.join(spelled, "word").select(F.col("chunk").alias("home"), "place", *names, "spelled")
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        tables, odds = shared.value
+        for batch in batches:
+            for keys, n in zip(batch["a"], batch["n"]):
+                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                mixer, many = Mixer(tables, odds), len(PREDICTORS)
+                order = np.argsort(keys * np.uint64(0xD6E8FEB86659FD93))
+                curve = [np.tile(np.eye(many) * 20.0, (g, 1, 1)) for g in GATES]
+                seen = np.zeros((2, 256 * BUCKETS))
+                for lo in range(0, len(keys), 8192):
+                    at = order[lo : lo + 8192]
+                    planes, gates = mixer.planes(keys[at], leave=True)
+                    x = np.stack([mixer.inputs(states) for _, states in planes], axis=2)  # predictors, runs, bits
+                    values = np.stack([value for value, _ in planes], axis=1).astype(np.float32)
+                    final = 0.0
+                    for i, gate in enumerate(gates):
+                        by = np.argsort(gate, kind="stable")
+                        sorted_x, own_n, gate = x[:, by], n[at[by]].astype(np.float32)[:, None], gate[by]
+                        z = np.clip(np.einsum("knb,kn->nb", sorted_x, mixer.weights[i].T.astype(np.float32).take(gate, axis=1)), -12, 12)
+                        back = np.empty_like(by)
+                        back[by] = np.arange(len(by))
+                        final = final + 0.5 * z[back]
+                        p = 1 / (1 + np.exp(-z))
+                        error, bend = own_n * (values[by] - p), own_n * np.maximum(p * (1 - p), np.float32(1e-4))
+                        cuts = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1])))
+                        slope = np.zeros((GATES[i], many))
+                        for begin, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(gate)]):
+                            own, g = sorted_x[:, begin:stop].reshape(many, -1).astype(np.float64), gate[begin]
+                            slope[g] = own @ error[begin:stop].ravel()
+                            curve[i][g] += (own * bend[begin:stop].ravel()) @ own.T
+                        mixer.weights[i] = mixer.weights[i] + np.linalg.solve(curve[i], slope[:, :, None])[:, :, 0]
+                    place, times = (partial_byte(keys[at]) * BUCKETS + bucket(final)).ravel(), np.repeat(n[at], 8)
+                    for value in (0, 1):
+                        seen[value] += np.bincount(place, times * (values.ravel() == value), minlength=256 * BUCKETS)
+                mass = [np.trace(c, axis1=1, axis2=2) for c in curve]
+                flat = np.concatenate([(w * m[:, None]).ravel() for w, m in zip(mixer.weights, mass)])
+                yield pd.DataFrame({"kind": 0, "cell": np.arange(len(flat)), "x": flat, "y": np.concatenate([np.repeat(m, many) for m in mass])})
+                at = np.flatnonzero(seen.any(0))
+                yield pd.DataFrame({"kind": 1, "cell": at, "x": seen[0, at], "y": seen[1, at]})
+
+    out = found.select("a", "n").mapInPandas(run, "kind int, cell int, x double, y double")
+    return out.groupBy("kind", "cell").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+class Model:
+    """Everything that scoring needs of the corpus but the answers to its chunk; of bounded size."""
+
+    def __init__(self, tables, odds, weights, refined, followers, train_tokens: int, distinct: int):
+        self.tables, self.odds, self.weights, self.refined, self.followers = tables, odds, weights, refined, followers
+        self.train_tokens, self.distinct = train_tokens, distinct
+
+
+def _mean_bits(zeros, ones, odds, strength: float):
+    """The log-odds of cells seen so often, drawn towards the given ones."""
+    import numpy as np
+
+    p = 1 / (1 + np.exp(-odds))
+    p = (ones + strength * p) / (zeros + ones + strength)
+    return np.log(p / (1 - p))
+
+
+def fit(found: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
+    """The model from the settled blocks (stored: they are read several times)."""
+    import numpy as np
+
+    spark = found.sparkSession
+    sums = {3: np.zeros(2, np.int64), 4: np.zeros(2 * CELLS, np.int64)}
+    for row in found.where("kind in (3, 4)").select("kind", "n").toLocalIterator():  # a short row for each block
+        sums[row["kind"]] += np.frombuffer(row["n"], "<i8")
+    train_tokens, distinct = sums[3].tolist()
+    hits, tries = sums[4][:CELLS], sums[4][CELLS:]
+    followers = _mean_bits(tries - hits, hits, np.full(CELLS, -1.0), 4.0)
+
+    byte_runs = found.where("kind = 2")
+    runs_seen = byte_runs.agg(F.coalesce(F.sum(F.octet_length("n") / 8), F.lit(0)).cast("long")).first()[0]
+    wanted = min(max(LEAST_SLOTS, 1 << (4 * runs_seen).bit_length()), most_slots)
+    # A context of one to three bytes has fewer bits below it than these.
+    sizes = [min(wanted, {1: 1 << 16, 2: 1 << 20, 3: 1 << 22}.get(p, wanted)) for p in PREDICTORS]
+    tables = bit_tables(byte_runs, sizes)
+    shared = spark.sparkContext.broadcast(tables)  # at most MOST_SLOTS bytes a predictor
+    mixer = Mixer(tables)
+    seen = np.zeros((2, len(PREDICTORS), STATES))
+    for row in calibrate(byte_runs, shared).collect():  # predictors times states
+        seen[:, row["cell"] // STATES, row["cell"] % STATES] = row["zeros"], row["ones"]
+    odds = _mean_bits(seen[0], seen[1], np.tile(mixer.states.odds, (len(PREDICTORS), 1)), 4.0).astype(np.float32)
+    shared = spark.sparkContext.broadcast((tables, odds))
+    flat, refined = np.concatenate([w.ravel() for w in mixer.weights]), np.tile(np.linspace(-8, 8, BUCKETS), 256)
+    bits = np.zeros((2, 256 * BUCKETS))
+    for row in learn(byte_runs, shared).collect():  # gates times predictors, places of the map
+        if row["kind"] == 0:
+            flat[row["cell"]] = row["x"] / row["y"]
+        else:
+            bits[:, row["cell"]] = row["x"], row["y"]
+    refined = 1 / (1 + np.exp(-_mean_bits(bits[0], bits[1], refined, 40.0)))
+    split = GATES[0] * len(PREDICTORS)
+    weights = [flat[:split].reshape(GATES[0], -1), flat[split:].reshape(GATES[1], -1)]
+    return Model(tables, odds, weights, refined.astype(np.float32), followers, train_tokens, distinct)
+
+
+# -- scoring ----------------------------------------------------------------------------
+
+
+def spelled(model: Model, data, starts, train):
+    """log10 probability of every byte of consecutive documents; in training documents each byte is judged without itself.
+
+    Within a document the final mixer's two weights start equal and are updated after
+    its first 256, 512, 1,024 ... bytes by the errors on them.
+    """
+    import numpy as np
+
+    sizes = np.diff(np.append(starts, len(data)))
+    run = runs(data, starts)
+    run |= np.repeat(train, sizes).astype(np.uint64) << np.uint64(8 * (WINDOW + 1))
+    which, first = same_runs(run)
+    counted = run[first] >> np.uint64(8 * (WINDOW + 1)) == 1
+    distinct = run[first] & np.uint64((1 << 8 * (WINDOW + 1)) - 1)
+    mixer, opinions = Mixer(model.tables, model.odds, model.weights), np.empty((2, len(first), 8), np.float32)
+    for leave in (False, True):
+        opinions[:, counted == leave] = mixer.opinions(distinct[counted == leave], leave)
+    place = (partial_byte(distinct) * BUCKETS).astype(np.int32)
+    sign = np.where(((distinct & np.uint64(255)).astype(np.uint8)[:, None] >> np.arange(7, -1, -1, dtype=np.uint8)) & 1, 1, -1).astype(np.float32)
+
+    out = np.empty(len(data))
+    weights = np.full((2, len(starts)), 0.5)
+    curve = np.full((2, len(starts)), 200.0)
+    lo, hi = 0, 256
+    while (live := np.flatnonzero(sizes > lo)).size:
+        n = np.minimum(sizes[live], hi) - lo
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(starts[live] + lo - (ends - n), n)
+        for a, b in _batches(ends, 250_000):
+            begin, stop = int(ends[a] - n[a]), int(ends[b - 1])
+            here, own = which[at[begin:stop]], live[a:b]
+            x, y = opinions[0].take(here, axis=0), opinions[1].take(here, axis=0)
+            wx, wy = (np.repeat(w[own].astype(np.float32), n[a:b])[:, None] for w in weights)
+            z = x * wx
+            z += y * wy
+            s = sign.take(here, axis=0)
+            chance = 1 / (1 + np.exp(-s * z))  # of the bit that comes
+            spot = np.clip((z + 8) * ((BUCKETS - 1) / 16) + 0.5, 0, BUCKETS - 1).astype(np.int32)
+            spot += place.take(here, axis=0)
+            again = model.refined.take(spot)
+            again = 0.5 - s * (0.5 - again)
+            out[at[begin:stop]] = np.log10(0.5 * (chance + again)).sum(axis=1, dtype=np.float64)
+            error = s * (1 - chance)
+            bend = np.abs(error) * chance
+            cut = ends[a:b] - n[a:b] - begin
+            for i, side in enumerate((x, y)):
+                slope = np.add.reduceat(np.einsum("ij,ij->i", error, side), cut, dtype=np.float64)
+                curve[i, own] += np.add.reduceat(np.einsum("ij,ij,ij->i", bend, side, side), cut, dtype=np.float64)
+                weights[i, own] += 0.5 * slope / curve[i, own]
+        lo, hi = hi, 2 * hi
+    return out
+
+
+def _batches(ends, size: int):
+    """Ranges of documents of about ``size`` bytes."""
+    import numpy as np
+
+    a = 0
+    while a < len(ends):
+        begin = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + size, side="right")))
+        yield a, b
+        a = b
+
+
+def same_runs(run):
+    """Numbers of the distinct runs, and a place of each: by two rounds of a hash table, the rest by sorting."""
+    import numpy as np
+
+    which = np.full(len(run), -1, np.int32)
+    first, left, number = [], np.arange(len(run)), 0
+    for shift, factor in ((42, 0x9E3779B97F4A7C15), (42, 0xD6E8FEB86659FD93)):
+        if not len(left):
+            break
+        slot = ((run[left] * np.uint64(factor)) >> np.uint64(shift)).astype(np.int64)
+        table = np.full(1 << (64 - shift), -1, np.int32)
+        table[slot] = np.arange(len(left), dtype=np.int32)  # one of those that meet in a slot
+        owner = table.take(slot)
+        agree = run[left[owner]] == run[left]
+        owners = np.unique(owner[agree])
+        label = np.empty(len(left), np.int32)
+        label[owners] = np.arange(number, number + len(owners), dtype=np.int32)
+        which[left[agree]] = label[owner[agree]]
+        first.append(left[owners])
+        number += len(owners)
+        left = left[~agree]
+    if len(left):
+        _, at, back = np.unique(run[left], return_index=True, return_inverse=True)
+        which[left] = back + number
+        first.append(left[at])
+    return which, np.concatenate(first)
+
+
+def followed(model: Model, pairs, follower, train, lengths, answers):
+    """For every token: whether a word was foretold, whether it came, and the log-odds that it would."""
+    import numpy as np
+
+    n = len(pairs)
+    foretold, hit, odds = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)
+    if not len(answers["key"]):
+        return foretold, hit, odds
+    at = np.minimum(np.searchsorted(answers["key"], pairs), len(answers["key"]) - 1)
+    some = np.flatnonzero(answers["key"][at] == pairs)
+    at = at[some]
+    best = {x: answers[x][at].astype(np.int64) for x in ("f1", "n1", "f2", "n2", "n")}
+    # A training document's own sights do not count.
+    doc = np.repeat(np.arange(len(lengths)), lengths)[some]
+    own = np.flatnonzero(np.repeat(train, lengths)[some])
+    mix = lambda d, key, f: (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(0xBF58476D1CE4E5B9) + f.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+    seen, times = np.unique(mix(doc[own], pairs[some[own]], follower[some[own]]), return_counts=True)
+    seen_pair, times_pair = np.unique(mix(doc[own], pairs[some[own]], np.zeros(len(own))), return_counts=True)
+
+    def less(name, what, keys, counts):
+        if len(keys):
+            asked = mix(doc[own], pairs[some[own]], what)
+            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            best[name][own] -= np.where(keys[place] == asked, counts[place], 0)
+
+    less("n1", best["f1"][own], seen, times)
+    less("n2", np.where(best["n2"][own] > 0, best["f2"][own], -1), seen, times)
+    less("n", np.zeros(len(own)), seen_pair, times_pair)
+    other = best["n2"] > best["n1"]
+    word, count = np.where(other, best["f2"], best["f1"]), np.where(other, best["n2"], best["n1"])
+    sure = count > 0
+    some, doc = some[sure], doc[sure]
+    foretold[some] = True
+    hit[some] = word[sure] == follower[some].astype(np.int64)
+    base = model.followers[cell(count[sure], best["n"][sure])]
+    # What the document has shown so far: hits against those expected, from its start on.
+    p = 1 / (1 + np.exp(-base))
+    starts = np.searchsorted(doc, doc)
+    before = lambda x: (s := np.concatenate(([0.0], np.cumsum(x))))[:-1] - s[starts]
+    mean, strength = 0.2, 4.0
+    tries = np.arange(len(doc)) - starts + strength
+    shown, expected = ((before(x) + strength * mean) / tries for x in (hit[some].astype(float), p))
+    odds[some] = np.clip(base + np.log(shown / (1 - np.minimum(shown, 0.9999))) - np.log(expected / (1 - np.minimum(expected, 0.9999))), -10, 10)
+    return foretold, hit, odds
+
+
+def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs(doc_id, text)``."""
+    spark = docs.sparkSession
+    chunks = stored(chunks_of(docs, folds, held), "lm-chunks", "zstd")
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 2_000_000, 2: 1 + tokens // 8_000_000}
+    names = "kind int, block int, chunk long, a binary, b binary, n binary"
+    found = stored(messages(chunks, blocks).groupBy("kind", "block").applyInPandas(settle, names), "lm-blocks", "zstd")
+    model = spark.sparkContext.broadcast(fit(found))  # of bounded size, see MOST_SLOTS
 
     def score(left, right):
         import numpy as np
         import pandas as pd
 
-        order = np.argsort(right["place"].to_numpy())
-        table = right[names].to_numpy(np.int64)[order].T
-        spelled = right["spelled"].to_numpy(np.float64)[order]
+        model_, right = model.value, right.sort_values("block")
+        known = np.concatenate([np.frombuffer(x, "<i8") for x in right["n"][right["kind"] == 0]])
+        parts = {x: [] for x in ("key", "f1", "n1", "f2", "n2", "n")}
+        for block, answer in right.loc[right["kind"] == 1, ["block", "a"]].itertuples(index=False):
+            table = np.frombuffer(answer, "<u4").reshape(6, -1)
+            for name, column in zip(parts, table):
+                parts[name].append(column)
+            parts["key"][-1] = parts["key"][-1].astype(np.uint64) | np.uint64(block << 32)
+        answers = {x: np.concatenate(v) if v else np.zeros(0, np.uint64) for x, v in parts.items()}
+        row = left.iloc[0]
+        words, lengths = list(row["words"]), np.asarray(row["lengths"], np.int64)
+        places = np.frombuffer(zlib.decompress(row["places"]), "<u4").astype(np.int64)
+        hashes = word_hashes(words)
+        counts = np.empty(len(words), np.int64)
+        counts[np.argsort(hashes)] = known
+        train, every = ~np.asarray(row["held"], bool), model_.train_tokens + model_.distinct + 1
+        sizes = np.array([len(w) + (w != END) for w in words], np.int64)
+        ends = np.cumsum(lengths)
+        doc_bytes = np.add.reduceat(sizes[places], ends - lengths)
+        pairs = pair_keys(hashes, places, lengths, blocks[1])
+        follower = hashes[places] & np.uint64(0xFFFFFFFF)
+        foretold, hit, odds = followed(model_, pairs, follower, train, lengths, answers)
         out = []
-        for row in left.itertuples(index=False):
-            lengths = np.asarray(row.lengths, np.int64)
-            places = np.frombuffer(zlib.decompress(row.places), "<u4")
-            ends = np.cumsum(lengths)
-            lo = 0
-            while lo < len(lengths):
-                begin = int(ends[lo] - lengths[lo])
-                hi = max(lo + 1, int(np.searchsorted(ends, begin + SCORED_TOKENS, side="right")))
-                at, own = places[begin : int(ends[hi - 1])], lengths[lo:hi]
-                by_topic = table[:, at].astype(np.float64)
-                counts, starts = by_topic.sum(0), np.cumsum(own) - own
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "doc_id": pd.array([None if i is None or i != i else int(i) for i in row.doc_ids[lo:hi]], "Int64"),
-                            "held_out": np.asarray(row.held[lo:hi], bool),
-                            "n_tokens": own,
-                            "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
-                            "train_tokens": n,
-                            "base_score": np.add.reduceat(np.log10(counts + 1), starts) - own * np.log10(n + v + 1),
-                            "score": np.add.reduceat(_refined(by_topic, sizes, n, v, spelled[at], own), starts),
-                        }
-                    )
+        for a, b in _batches(np.cumsum(doc_bytes), SCORED_BYTES):
+            lo, hi, own = int(ends[a] - lengths[a]), int(ends[b - 1]), lengths[a:b]
+            data, first, starts = stream(words, places[lo:hi], own)
+            price = np.add.reduceat(spelled(model_, data, starts, train[a:b]), first)
+            chance = 1 / (1 + np.exp(-odds[lo:hi]))
+            price = np.where(foretold[lo:hi], np.where(hit[lo:hi], np.log10(chance), np.log10(1 - chance) + price), price)
+            seen, cut = counts[places[lo:hi]], np.cumsum(own) - own
+            total = np.add.reduceat(price, cut)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": nullable([None if null else i for i, null in zip(row["doc_ids"][a:b].tolist(), row["no_ids"][a:b].tolist())]),
+                        "held_out": ~train[a:b],
+                        "n_tokens": own,
+                        "n_known": np.add.reduceat((seen > 0).astype(np.int64), cut),
+                        "train_tokens": model_.train_tokens,
+                        "base_score": np.add.reduceat(np.log10(seen + 1.0), cut) - own * np.log10(float(every)),
+                        "score": total,
+                        "bits_per_byte": -total / np.log10(2.0) / doc_bytes[a:b],
+                    }
                 )
-                lo = hi
+            )
         return pd.concat(out)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rows = chunks.select("chunk", "doc_ids", "held", "lengths", "places")
-    return rows.groupBy("chunk").cogroup(found.groupBy("home")).applyInPandas(score, schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    replies = found.where("kind in (0, 1)").select(F.col("chunk").alias("home"), "kind", "block", "a", "n")
+    return chunks.drop("tokens").groupBy("chunk").cogroup(replies.groupBy("home")).applyInPandas(score, schema)
