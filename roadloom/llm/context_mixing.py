@@ -7,8 +7,9 @@ of the word before it (all within the last ``WINDOW`` bytes, so contexts run acr
 words). A predictor's table holds quantised bit counts; what a count is worth is
 calibrated on the corpus. Two sets of mixing weights, gated by how well the long
 contexts know the place and by the place in the word, turn the calibrated log-odds
-into two opinions; a final mixer, whose two weights are updated online as the
-document is read, joins them, and an adaptive probability map refines the result.
+into a probability of the bit; an adaptive probability map refines it. The refined,
+the plain and softened forms are opinions on a byte, whose weights are updated online
+as the document is read.
 
 Above the bits stands a predictor of whole words: the word that most often followed
 the two words before it. Where there is one, a bit says whether it comes, with
@@ -47,14 +48,14 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import exact_id, id_list, nullable, stored
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Bytes whose predictions a task works out at a time (a longer document alone).
-SCORED_BYTES = 4_000_000
+SCORED_BYTES = 8_000_000
 #: The end of a document, a token that no text can hold.
 END = b"\n"
-WINDOW = 6
+WINDOW = 5
 #: The predictors: orders in bytes, the word so far, the word so far and two letters (and the space) before it.
-PREDICTORS = (1, 2, 3, 4, 5, 6, "word", "across")
+PREDICTORS = (1, 2, 3, 4, 5, "word", "across")
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 PART = 1 << 16
 #: States of a bit count: all pairs below EXACT sights in all, then LEVELS of sights by 48 log-odds.
@@ -62,6 +63,12 @@ EXACT, LEVELS, STEPS = 8, (8, 16, 64, 1024), 48
 STATES = 256
 GATES = (16, 20)
 BUCKETS = 64
+#: Opinions on a byte: the refined one, then the plain and softened ones; their weights at a document's start, and the share that each keeps.
+SHARP = (1.0, 0.8, 0.6)
+OPINIONS, FIRST, SHARE = 1 + len(SHARP), (0.4, 0.2, 0.3, 0.1), 0.02
+#: Bytes of a key of each kind of message, and of a follower's hash.
+KEY, FOLLOWER = (8, 4, 7), 3
+FOLLOWERS = (1 << 8 * FOLLOWER) - 1
 #: Cells of the word predictor: its count by its share among the followers.
 CELLS = 8 * 4
 
@@ -123,9 +130,11 @@ def stream(words: list[bytes], places, lengths):
     import numpy as np
 
     pieces = [w if w == END else w + b" " for w in words]
-    data = np.frombuffer(b"".join(map(pieces.__getitem__, places.tolist())), np.uint8)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[places]
-    tokens = np.cumsum(sizes) - sizes
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    letters, begins, sizes = np.frombuffer(b"".join(pieces), np.uint8), (np.cumsum(sizes) - sizes)[places], sizes[places]
+    ends = np.cumsum(sizes)
+    tokens = ends - sizes
+    data = letters.take(np.repeat(begins - tokens, sizes) + np.arange(ends[-1]))
     return data, tokens, tokens[np.cumsum(lengths) - lengths]
 
 
@@ -216,6 +225,34 @@ class States:
 # -- what is gathered from the corpus, in blocks ----------------------------------------
 
 
+def planes(values, width: int) -> bytes:
+    """Integers as byte planes, the lowest first: what is zero or alike lies together and compresses."""
+    import numpy as np
+
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes, width: int):
+    import numpy as np
+
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8")[:, 0]
+
+
+def rising(values, width: int) -> bytes:
+    """Sorted integers by their steps."""
+    import numpy as np
+
+    return planes(np.diff(values.astype(np.uint64), prepend=np.uint64(0)), width)
+
+
+def unrising(data: bytes, width: int):
+    import numpy as np
+
+    return np.cumsum(unplanes(data, width), dtype=np.uint64)
+
+
 def word_hashes(words: list[bytes]):
     import numpy as np
     import xxhash
@@ -258,23 +295,24 @@ def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
                 hashes = word_hashes(words)
                 out = []
 
-                def deal(kind, keys, block, a, b, n):
+                def deal(kind, block, a, b, n):
                     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
                     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
-                        cut = lambda x, kind: b"" if x is None else x[lo:hi].astype(kind).tobytes()
-                        out.append((kind, int(block[lo]), row.chunk, cut(a, keys), cut(b, "<u4"), cut(n, "<u4")))
+                        out.append((kind, int(block[lo]), row.chunk, rising(a[lo:hi], KEY[kind]), b"" if b is None else planes(b[lo:hi], FOLLOWER), planes(n[lo:hi], 4)))
 
                 order = np.argsort(hashes)
                 n = np.bincount(places[counted], minlength=len(words))
-                deal(0, "<u8", word_block(hashes[order], blocks[0]), hashes[order], None, n[order])
+                deal(0, word_block(hashes[order], blocks[0]), hashes[order], None, n[order])
 
                 pairs = pair_keys(hashes, places, lengths, blocks[1])
-                follower = hashes[places] & np.uint64(0xFFFFFFFF)
-                order = np.lexsort((follower, pairs))
-                pairs, follower, counted = pairs[order], follower[order], counted[order]
-                first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (follower[1:] != follower[:-1]))))
-                n = np.add.reduceat(counted.astype(np.int64), first)
-                deal(1, "<u4", (pairs[first] >> np.uint64(32)).astype(np.int64), pairs[first] & np.uint64(0xFFFFFFFF), follower[first], n)
+                follower = hashes[places] & np.uint64(FOLLOWERS)
+                both = (pairs * np.uint64(0xD6E8FEB86659FD93)) ^ (follower * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(both)
+                first = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) != 0)))
+                n, order = np.add.reduceat(counted[order].astype(np.int64), first), order[first]
+                again = np.argsort(pairs[order])
+                n, order = n[again], order[again]
+                deal(1, (pairs[order] >> np.uint64(32)).astype(np.int64), pairs[order] & np.uint64(0xFFFFFFFF), follower[order], n)
                 yield pd.DataFrame(out, columns=["kind", "block", "chunk", "a", "b", "n"])
 
                 if train.any():
@@ -284,7 +322,7 @@ def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
                     block = run_block(keys, blocks[2])
                     order = np.argsort(block, kind="stable")
                     out.clear()
-                    deal(2, "<u8", block[order], keys[order], None, n[order])
+                    deal(2, block[order], keys[order], None, n[order])
                     yield pd.DataFrame(out, columns=["kind", "block", "chunk", "a", "b", "n"])
 
     return chunks.select("chunk", "words", "held", "lengths", "places").mapInPandas(run, "kind int, block int, chunk long, a binary, b binary, n binary")
@@ -297,9 +335,10 @@ def word_block(hashes, blocks: int):
 
 
 def run_block(keys, blocks: int):
+    """By all but the last two bytes: neighbours stay together and their steps are small."""
     import numpy as np
 
-    return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+    return ((((keys >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
 
 
 def cell(best, total):
@@ -312,8 +351,8 @@ def cell(best, total):
 def settle(pdf):
     """A block's sums, and its answers to the chunks.
 
-    kind 0: counts of the chunk's words, in its order; 1: the two most frequent followers
-    of its pairs; 2: the runs and their counts; 3: training tokens and distinct words;
+    kind 0: counts of the chunk's words, in its order; 1: which of its pairs are known
+    (places in its order), their two most frequent followers and counts; 2: the runs and their counts; 3: training tokens and distinct words;
     4: hits and tries of the word predictor by cell, each occurrence judged without itself.
     """
     import numpy as np
@@ -322,19 +361,19 @@ def settle(pdf):
     kind, block = int(pdf["kind"].iloc[0]), int(pdf["block"].iloc[0])
     names = ["kind", "block", "chunk", "a", "b", "n"]
     pdf = pdf.sort_values("chunk")
-    a = [np.frombuffer(x, "<u4" if kind == 1 else "<u8") for x in pdf["a"]]
-    n = [np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["n"]]
+    a = [unrising(x, KEY[kind]) for x in pdf["a"]]
+    n = [unplanes(x, 4).astype(np.int64) for x in pdf["n"]]
     if kind != 1:
         keys, where = np.unique(np.concatenate(a), return_inverse=True)
         total = np.bincount(where, np.concatenate(n)).astype(np.int64)
         if kind == 2:
-            return pd.DataFrame([(2, block, -1, keys.tobytes(), b"", total.astype("<i8").tobytes())], columns=names)
+            return pd.DataFrame([(2, block, -1, rising(keys, KEY[2]), b"", planes(total, 8))], columns=names)
         cuts = np.cumsum([len(x) for x in a])[:-1]
-        rows = [(0, block, c, b"", b"", total[w].astype("<i8").tobytes()) for c, w in zip(pdf["chunk"].tolist(), np.split(where, cuts))]
+        rows = [(0, block, c, b"", b"", planes(total[w], 8)) for c, w in zip(pdf["chunk"].tolist(), np.split(where, cuts))]
         rows.append((3, block, -1, b"", b"", np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
         return pd.DataFrame(rows, columns=names)
-    follower = [np.frombuffer(x, "<u4") for x in pdf["b"]]
-    both, where = np.unique((np.concatenate(a).astype(np.uint64) << np.uint64(32)) | np.concatenate(follower), return_inverse=True)
+    follower = [unplanes(x, FOLLOWER) for x in pdf["b"]]
+    both, where = np.unique((np.concatenate(a) << np.uint64(32)) | np.concatenate(follower), return_inverse=True)
     total = np.bincount(where, np.concatenate(n)).astype(np.int64)
     key = (both >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((both, -total, key))  # by pair, the most frequent follower first
@@ -356,11 +395,10 @@ def settle(pdf):
     rows = [(4, block, -1, b"", b"", np.concatenate((hits, tries)).astype("<i8").tobytes())]
     for c, keys, own in zip(pdf["chunk"].tolist(), a, n):
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        at = np.searchsorted(table["key"], keys[cuts])
+        at = np.searchsorted(table["key"], keys[cuts].astype(np.uint32))
         more = (every[at] > 1) | (every[at] > np.add.reduceat(own, cuts))
         at = at[more]
-        answer = b"".join(table[x][at].astype("<u4").tobytes() for x in ("key", "f1", "n1", "f2", "n2", "n"))
-        rows.append((1, block, c, answer, b"", b""))
+        rows.append((1, block, c, rising(np.flatnonzero(more), 4), planes(table["f1"][at], 4) + planes(table["f2"][at] * (n2[at] > 0), 4), b"".join(planes(x[at], 4) for x in (n1, n2, every))))
     return pd.DataFrame(rows, columns=names)
 
 
@@ -374,7 +412,7 @@ def bit_tables(found: DataFrame, sizes: list[int]):
 
         for batch in batches:
             for keys, n in zip(batch["a"], batch["n"]):
-                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                keys, n = unrising(keys, KEY[2]), unplanes(n, 8).astype(np.float64)
                 hashed, _ = contexts(keys)
                 byte = (keys & np.uint64(255)).astype(np.uint8)
                 for k, size in enumerate(sizes):
@@ -421,7 +459,7 @@ class Mixer:
             states = [t.take(slots(h, byte, bit, len(t))) for h, t in zip(hashed, self.tables)]
             out.append((value, [self.states.without[value, s] for s in states] if leave else states))
         top, known = out[0][1], self.states.known
-        gates = 4 * known[top[5]] + known[top[3]], 4 * np.minimum(letters, 4) + known[top[6]]
+        gates = 4 * known[top[4]] + known[top[2]], 4 * np.minimum(letters, 4) + known[top[5]]
         return out, gates
 
     def inputs(self, states):
@@ -429,33 +467,43 @@ class Mixer:
 
         return np.stack([o.take(s) for o, s in zip(self.odds, states)])
 
-    def opinions(self, run, leave: bool):
-        """(2, runs, 8): the log-odds of both weight sets for every bit."""
+    def opinions(self, run, leave: bool, refined):
+        """(runs, OPINIONS): log probability of the last byte by both weight sets in equal parts, refined, plain and softened."""
         import numpy as np
 
-        planes, gates = self.planes(run, leave)
-        chosen = [np.ascontiguousarray(w.T.astype(np.float32)).take(g, axis=1) for w, g in zip(self.weights, gates)]
-        out = np.empty((2, len(run), 8), np.float32)
-        for at, (_, states) in enumerate(planes):
-            x = self.inputs(states)
-            for i, w in enumerate(chosen):
-                out[i, :, at] = np.clip(np.einsum("kn,kn->n", w, x), -12, 12)
+        out = np.zeros((len(run), OPINIONS), np.float32)
+        for lo in range(0, len(run), 16_384):
+            part = run[lo : lo + 16_384]
+            planes, gates = self.planes(part, leave)
+            chosen = sum(np.ascontiguousarray(w.T.astype(np.float32)).take(g, axis=1) for w, g in zip(self.weights, gates))
+            z = np.empty((8, len(part)), np.float32)  # in favour of the bit that comes
+            for at, (value, states) in enumerate(planes):
+                z[at] = np.einsum("kn,kn->n", chosen, self.inputs(states))
+                z[at] *= value.astype(np.float32) * 2 - 1
+            np.clip(z, -24, 24, out=z)
+            z *= np.float32(0.5)
+            chance = 1 / (1 + np.exp(-z))
+            again = refined.take(map_place(part, z.T).T)
+            again += chance
+            again *= np.float32(0.5)
+            out[lo : lo + 16_384, 0] = np.log(np.multiply.reduce(again, axis=0, dtype=np.float64))
+            for k, sharp in enumerate(SHARP, 1):
+                softer = chance if sharp == 1 else 1 / (1 + np.exp(z * np.float32(-sharp)))
+                out[lo : lo + 16_384, k] = np.log(np.multiply.reduce(softer, axis=0, dtype=np.float64))
         return out
 
 
-def partial_byte(run):
-    """(runs, 8): the bits of the last byte above each bit, with a leading one."""
-    import numpy as np
+def map_place(run, z):
+    """(runs, 8): the places in the adaptive probability map for the bits of the last byte, which has log-odds ``z`` for each.
 
-    byte = (run & np.uint64(255)).astype(np.int64)
-    return np.stack([(1 << (7 - bit)) | (byte >> (bit + 1)) for bit in range(7, -1, -1)], axis=1)
-
-
-def bucket(z):
-    """The place in the adaptive probability map."""
+    A place is the byte's bits up to a bit, that bit included, and the log-odds in its
+    favour in BUCKETS steps: what is learned is how often the bit came.
+    """
     import numpy as np
 
-    return np.clip((z + 8) * ((BUCKETS - 1) / 16) + 0.5, 0, BUCKETS - 1).astype(np.int64)
+    byte = (run & np.uint64(255)).astype(np.int64)[:, None] >> np.arange(7, -1, -1)
+    spot = np.clip(z * ((BUCKETS - 1) / 16), 1 - BUCKETS / 2, BUCKETS / 2 - 1)
+    return ((256 >> np.arange(7, -1, -1)) | byte) * BUCKETS + BUCKETS // 2 + np.floor(spot).astype(np.int64)
 
 
 def calibrate(found: DataFrame, shared) -> DataFrame:
@@ -468,7 +516,7 @@ def calibrate(found: DataFrame, shared) -> DataFrame:
         mixer = Mixer(shared.value)
         for batch in batches:
             for keys, n in zip(batch["a"], batch["n"]):
-                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                keys, n = unrising(keys, KEY[2]), unplanes(n, 8).astype(np.float64)
                 seen = np.zeros((2, len(PREDICTORS) * STATES))
                 for lo in range(0, len(keys), 200_000):
                     for value, states in mixer.planes(keys[lo : lo + 200_000], leave=True)[0]:
@@ -482,7 +530,7 @@ def calibrate(found: DataFrame, shared) -> DataFrame:
 
 
 def learn(found: DataFrame, shared) -> DataFrame:
-    """(kind, cell, x, y): kind 0, sums of mass times weight and of mass; kind 1, bits seen at each place of the probability map.
+    """(kind, cell, x, y): kind 0, sums of mass times weight and of mass; kind 1, how often the probability map's places came.
 
     Each block goes through its runs in hashed order, in small groups weighted by their
     counts, corrects the gates' weights by the errors (a Newton step on what has been
@@ -496,11 +544,11 @@ def learn(found: DataFrame, shared) -> DataFrame:
         tables, odds = shared.value
         for batch in batches:
             for keys, n in zip(batch["a"], batch["n"]):
-                keys, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8").astype(np.float64)
+                keys, n = unrising(keys, KEY[2]), unplanes(n, 8).astype(np.float64)
                 mixer, many = Mixer(tables, odds), len(PREDICTORS)
                 order = np.argsort(keys * np.uint64(0xD6E8FEB86659FD93))
                 curve = [np.tile(np.eye(many) * 20.0, (g, 1, 1)) for g in GATES]
-                seen = np.zeros((2, 256 * BUCKETS))
+                seen = np.zeros(512 * BUCKETS)
                 for lo in range(0, len(keys), 8192):
                     at = order[lo : lo + 8192]
                     planes, gates = mixer.planes(keys[at], leave=True)
@@ -523,14 +571,13 @@ def learn(found: DataFrame, shared) -> DataFrame:
                             slope[g] = own @ error[begin:stop].ravel()
                             curve[i][g] += (own * bend[begin:stop].ravel()) @ own.T
                         mixer.weights[i] = mixer.weights[i] + np.linalg.solve(curve[i], slope[:, :, None])[:, :, 0]
-                    place, times = (partial_byte(keys[at]) * BUCKETS + bucket(final)).ravel(), np.repeat(n[at], 8)
-                    for value in (0, 1):
-                        seen[value] += np.bincount(place, times * (values.ravel() == value), minlength=256 * BUCKETS)
+                    place, times = map_place(keys[at], np.where(values, final, -final)).ravel(), np.repeat(n[at], 8)
+                    seen += np.bincount(place, times, minlength=512 * BUCKETS)
                 mass = [np.trace(c, axis1=1, axis2=2) for c in curve]
                 flat = np.concatenate([(w * m[:, None]).ravel() for w, m in zip(mixer.weights, mass)])
                 yield pd.DataFrame({"kind": 0, "cell": np.arange(len(flat)), "x": flat, "y": np.concatenate([np.repeat(m, many) for m in mass])})
-                at = np.flatnonzero(seen.any(0))
-                yield pd.DataFrame({"kind": 1, "cell": at, "x": seen[0, at], "y": seen[1, at]})
+                at = np.flatnonzero(seen)
+                yield pd.DataFrame({"kind": 1, "cell": at, "x": seen[at], "y": 0.0})
 
     out = found.select("a", "n").mapInPandas(run, "kind int, cell int, x double, y double")
     return out.groupBy("kind", "cell").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
@@ -578,17 +625,19 @@ def fit(found: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
         seen[:, row["cell"] // STATES, row["cell"] % STATES] = row["zeros"], row["ones"]
     odds = _mean_bits(seen[0], seen[1], np.tile(mixer.states.odds, (len(PREDICTORS), 1)), 4.0).astype(np.float32)
     shared = spark.sparkContext.broadcast((tables, odds))
-    flat, refined = np.concatenate([w.ravel() for w in mixer.weights]), np.tile(np.linspace(-8, 8, BUCKETS), 256)
-    bits = np.zeros((2, 256 * BUCKETS))
+    flat, came = np.concatenate([w.ravel() for w in mixer.weights]), np.zeros((512, BUCKETS))
     for row in learn(byte_runs, shared).collect():  # gates times predictors, places of the map
         if row["kind"] == 0:
             flat[row["cell"]] = row["x"] / row["y"]
         else:
-            bits[:, row["cell"]] = row["x"], row["y"]
-    refined = 1 / (1 + np.exp(-_mean_bits(bits[0], bits[1], refined, 40.0)))
+            came.ravel()[row["cell"]] = row["x"]
+    # The other bit at the mirrored log-odds is the same event's counterpart.
+    other = came[np.arange(512) ^ 1, ::-1]
+    middle = (np.arange(BUCKETS) - (BUCKETS - 1) / 2) * (16 / (BUCKETS - 1))
+    refined = 1 / (1 + np.exp(-_mean_bits(other, came, middle, 40.0)))
     split = GATES[0] * len(PREDICTORS)
     weights = [flat[:split].reshape(GATES[0], -1), flat[split:].reshape(GATES[1], -1)]
-    return Model(tables, odds, weights, refined.astype(np.float32), followers, train_tokens, distinct)
+    return Model(tables, odds, weights, refined.astype(np.float32).ravel(), followers, train_tokens, distinct)
 
 
 # -- scoring ----------------------------------------------------------------------------
@@ -597,8 +646,8 @@ def fit(found: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
 def spelled(model: Model, data, starts, train):
     """log10 probability of every byte of consecutive documents; in training documents each byte is judged without itself.
 
-    Within a document the final mixer's two weights start equal and are updated after
-    its first 256, 512, 1,024 ... bytes by the errors on them.
+    The opinions on a byte are mixed by weights that are updated online: after every
+    byte of the document an opinion gains by the probability it gave it.
     """
     import numpy as np
 
@@ -608,45 +657,32 @@ def spelled(model: Model, data, starts, train):
     which, first = same_runs(run)
     counted = run[first] >> np.uint64(8 * (WINDOW + 1)) == 1
     distinct = run[first] & np.uint64((1 << 8 * (WINDOW + 1)) - 1)
-    mixer, opinions = Mixer(model.tables, model.odds, model.weights), np.empty((2, len(first), 8), np.float32)
+    del run
+    mixer, opinions = Mixer(model.tables, model.odds, model.weights), np.empty((len(first), OPINIONS), np.float32)
     for leave in (False, True):
-        opinions[:, counted == leave] = mixer.opinions(distinct[counted == leave], leave)
-    place = (partial_byte(distinct) * BUCKETS).astype(np.int32)
-    sign = np.where(((distinct & np.uint64(255)).astype(np.uint8)[:, None] >> np.arange(7, -1, -1, dtype=np.uint8)) & 1, 1, -1).astype(np.float32)
-
-    out = np.empty(len(data))
-    weights = np.full((2, len(starts)), 0.5)
-    curve = np.full((2, len(starts)), 200.0)
-    lo, hi = 0, 256
-    while (live := np.flatnonzero(sizes > lo)).size:
-        n = np.minimum(sizes[live], hi) - lo
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(starts[live] + lo - (ends - n), n)
-        for a, b in _batches(ends, 250_000):
-            begin, stop = int(ends[a] - n[a]), int(ends[b - 1])
-            here, own = which[at[begin:stop]], live[a:b]
-            x, y = opinions[0].take(here, axis=0), opinions[1].take(here, axis=0)
-            wx, wy = (np.repeat(w[own].astype(np.float32), n[a:b])[:, None] for w in weights)
-            z = x * wx
-            z += y * wy
-            s = sign.take(here, axis=0)
-            chance = 1 / (1 + np.exp(-s * z))  # of the bit that comes
-            spot = np.clip((z + 8) * ((BUCKETS - 1) / 16) + 0.5, 0, BUCKETS - 1).astype(np.int32)
-            spot += place.take(here, axis=0)
-            again = model.refined.take(spot)
-            again = 0.5 - s * (0.5 - again)
-            out[at[begin:stop]] = np.log10(0.5 * (chance + again)).sum(axis=1, dtype=np.float64)
-            error = s * (1 - chance)
-            bend = np.abs(error) * chance
-            cut = ends[a:b] - n[a:b] - begin
-            for i, side in enumerate((x, y)):
-                slope = np.add.reduceat(np.einsum("ij,ij->i", error, side), cut, dtype=np.float64)
-                curve[i, own] += np.add.reduceat(np.einsum("ij,ij,ij->i", bend, side, side), cut, dtype=np.float64)
-                weights[i, own] += 0.5 * slope / curve[i, own]
-        lo, hi = hi, 2 * hi
+        opinions[counted == leave] = mixer.opinions(distinct[counted == leave], leave, model.refined)
+    out, ends = np.empty(len(data)), np.cumsum(sizes)
+    for a, b in _batches(ends, 65_536):
+        lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
+        own = np.ascontiguousarray(opinions.take(which[lo:hi], axis=0).T)
+        # The opinions' weights before each byte: what they gave all bytes of the document before it.
+        before = np.zeros((OPINIONS, hi - lo + 1))
+        np.cumsum(own, axis=1, dtype=np.float64, out=before[:, 1:])
+        before = before[:, :-1]
+        cut = starts[a:b] - lo
+        before -= np.repeat(before[:, cut], sizes[a:b], axis=1)
+        before -= before.max(axis=0)
+        weights = np.exp(before.astype(np.float32))
+        weights *= np.array(FIRST, np.float32)[:, None]
+        weights += np.float32(SHARE) * weights.sum(axis=0)
+        out[lo:hi] = np.log10((weights * np.exp(own)).sum(axis=0) / weights.sum(axis=0))
     return out
 
 
+def _columns(data: bytes, many: int):
+    return [unplanes(data[k * len(data) // many : (k + 1) * len(data) // many], 4) for k in range(many)]
+
+
 def _batches(ends, size: int):
     """Ranges of documents of about ``size`` bytes."""
     import numpy as np
@@ -663,25 +699,30 @@ def same_runs(run):
     """Numbers of the distinct runs, and a place of each: by two rounds of a hash table, the rest by sorting."""
     import numpy as np
 
-    which = np.full(len(run), -1, np.int32)
-    first, left, number = [], np.arange(len(run)), 0
-    for shift, factor in ((42, 0x9E3779B97F4A7C15), (42, 0xD6E8FEB86659FD93)):
-        if not len(left):
-            break
-        slot = ((run[left] * np.uint64(factor)) >> np.uint64(shift)).astype(np.int64)
-        table = np.full(1 << (64 - shift), -1, np.int32)
-        table[slot] = np.arange(len(left), dtype=np.int32)  # one of those that meet in a slot
+    which = np.empty(len(run), np.int32)
+    first, left, number, keys = [], None, 0, run
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        slot = ((keys * np.uint64(factor)) >> np.uint64(43)).astype(np.int64)
+        table = np.empty(1 << 21, np.int32)
+        table[slot] = np.arange(len(keys), dtype=np.int32)  # one of those that meet in a slot
         owner = table.take(slot)
-        agree = run[left[owner]] == run[left]
-        owners = np.unique(owner[agree])
-        label = np.empty(len(left), np.int32)
-        label[owners] = np.arange(number, number + len(owners), dtype=np.int32)
-        which[left[agree]] = label[owner[agree]]
-        first.append(left[owners])
+        agree = keys.take(owner) == keys
+        owners = np.flatnonzero(owner == np.arange(len(keys)))
+        table[slot[owners]] = np.arange(number, number + len(owners), dtype=np.int32)
+        label = table.take(slot)
+        if left is None:
+            which[:], left = label, np.flatnonzero(~agree)
+            first.append(owners)
+        else:
+            which[left], others = label, left[~agree]
+            first.append(left[owners])
+            left = others
         number += len(owners)
-        left = left[~agree]
+        keys = run[left]
+        if not len(left):
+            break
     if len(left):
-        _, at, back = np.unique(run[left], return_index=True, return_inverse=True)
+        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
         which[left] = back + number
         first.append(left[at])
     return which, np.concatenate(first)
@@ -738,7 +779,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     spark = docs.sparkSession
     chunks = stored(chunks_of(docs, folds, held), "lm-chunks", "zstd")
     tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 2_000_000, 2: 1 + tokens // 8_000_000}
+    blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 2_000_000, 2: 1 + tokens // 16_000_000}
     names = "kind int, block int, chunk long, a binary, b binary, n binary"
     found = stored(messages(chunks, blocks).groupBy("kind", "block").applyInPandas(settle, names), "lm-blocks", "zstd")
     model = spark.sparkContext.broadcast(fit(found))  # of bounded size, see MOST_SLOTS
@@ -748,14 +789,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         import pandas as pd
 
         model_, right = model.value, right.sort_values("block")
-        known = np.concatenate([np.frombuffer(x, "<i8") for x in right["n"][right["kind"] == 0]])
-        parts = {x: [] for x in ("key", "f1", "n1", "f2", "n2", "n")}
-        for block, answer in right.loc[right["kind"] == 1, ["block", "a"]].itertuples(index=False):
-            table = np.frombuffer(answer, "<u4").reshape(6, -1)
-            for name, column in zip(parts, table):
-                parts[name].append(column)
-            parts["key"][-1] = parts["key"][-1].astype(np.uint64) | np.uint64(block << 32)
-        answers = {x: np.concatenate(v) if v else np.zeros(0, np.uint64) for x, v in parts.items()}
+        known = np.concatenate([unplanes(x, 8).astype(np.int64) for x in right["n"][right["kind"] == 0]])
         row = left.iloc[0]
         words, lengths = list(row["words"]), np.asarray(row["lengths"], np.int64)
         places = np.frombuffer(zlib.decompress(row["places"]), "<u4").astype(np.int64)
@@ -767,15 +801,25 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         ends = np.cumsum(lengths)
         doc_bytes = np.add.reduceat(sizes[places], ends - lengths)
         pairs = pair_keys(hashes, places, lengths, blocks[1])
-        follower = hashes[places] & np.uint64(0xFFFFFFFF)
-        foretold, hit, odds = followed(model_, pairs, follower, train, lengths, answers)
+        follower = hashes[places] & np.uint64(FOLLOWERS)
+        asked = np.sort(pairs)
+        parts, asked = {x: [] for x in ("key", "f1", "f2", "n1", "n2", "n")}, asked[np.concatenate(([True], np.diff(asked) != 0))]
+        for block, a, b, n in right.loc[right["kind"] == 1, ["block", "a", "b", "n"]].itertuples(index=False):
+            first = int(np.searchsorted(asked, np.uint64(block << 32)))
+            parts["key"].append(asked[first + unrising(a, 4).astype(np.int64)])
+            for name, column in zip(("f1", "f2"), _columns(b, 2)):
+                parts[name].append(column)
+            for name, column in zip(("n1", "n2", "n"), _columns(n, 3)):
+                parts[name].append(column)
+        answers = {x: np.concatenate(v) if v else np.zeros(0, np.uint64) for x, v in parts.items()}
         out = []
         for a, b in _batches(np.cumsum(doc_bytes), SCORED_BYTES):
             lo, hi, own = int(ends[a] - lengths[a]), int(ends[b - 1]), lengths[a:b]
             data, first, starts = stream(words, places[lo:hi], own)
             price = np.add.reduceat(spelled(model_, data, starts, train[a:b]), first)
-            chance = 1 / (1 + np.exp(-odds[lo:hi]))
-            price = np.where(foretold[lo:hi], np.where(hit[lo:hi], np.log10(chance), np.log10(1 - chance) + price), price)
+            foretold, hit, odds = followed(model_, pairs[lo:hi], follower[lo:hi], train[a:b], own, answers)
+            chance = 1 / (1 + np.exp(-odds))
+            price = np.where(foretold, np.where(hit, np.log10(chance), np.log10(1 - chance) + price), price)
             seen, cut = counts[places[lo:hi]], np.cumsum(own) - own
             total = np.add.reduceat(price, cut)
             out.append(
@@ -795,5 +839,5 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         return pd.concat(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    replies = found.where("kind in (0, 1)").select(F.col("chunk").alias("home"), "kind", "block", "a", "n")
+    replies = found.where("kind in (0, 1)").select(F.col("chunk").alias("home"), "kind", "block", "a", "b", "n")
     return chunks.drop("tokens").groupBy("chunk").cogroup(replies.groupBy("home")).applyInPandas(score, schema)
