@@ -41,16 +41,18 @@ empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import exact_id, id_list, nullable, stored
+from roadloom.llm.common import exact_id, id_list, nullable, shared_folder, stored
+from roadloom.llm.token_store import open_store, parallelism
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_500_000
 #: Bytes whose predictions a task works out at a time (a longer document alone).
-SCORED_BYTES = 8_000_000
+SCORED_BYTES = 6_000_000
 #: The end of a document, a token that no text can hold.
 END = b"\n"
 WINDOW = 5
@@ -78,48 +80,78 @@ def in_fold(doc_id, folds: int, held: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == held
 
 
-def chunks_of(docs: DataFrame, folds: int, held: int) -> DataFrame:
-    """A row for each chunk: its words, its documents, and their tokens as places among the words."""
+def pack_chunk(words, doc_ids, held, lengths, places) -> bytes:
+    """A chunk as six compressed parts behind their sizes."""
+    import numpy as np
+
+    ids = np.array([0 if i is None else i for i in doc_ids], "<i8")
+    null = np.array([i is None for i in doc_ids], np.uint8)
+    parts = (b" ".join(words), ids.tobytes(), null.tobytes(), np.array(held, np.uint8).tobytes(), np.array(lengths, "<i8").tobytes(), planes(places, 4))
+    parts = [zlib.compress(x, 1) for x in parts]
+    return struct.pack("<6Q", *map(len, parts)) + b"".join(parts)
+
+
+def read_chunk(path: str, offset: int, size: int):
+    """(words, doc_ids, held, lengths, places) of a stored chunk."""
+    import numpy as np
+
+    system, path = open_store(path)
+    with system.open_input_file(path) as f:
+        f.seek(offset)
+        data = f.read(size)
+    at, parts = 48, []
+    for n in struct.unpack_from("<6Q", data):
+        parts.append(zlib.decompress(data[at : at + n]))
+        at += n
+    ids, null = np.frombuffer(parts[1], "<i8").tolist(), np.frombuffer(parts[2], np.uint8).tolist()
+    doc_ids = [None if no else i for i, no in zip(ids, null)]
+    return parts[0].split(b" "), doc_ids, np.frombuffer(parts[3], np.uint8).astype(bool), np.frombuffer(parts[4], "<i8"), unplanes(parts[5], 4).astype(np.int64)
+
+
+def chunks_of(docs: DataFrame, folds: int, held: int, folder: str) -> DataFrame:
+    """Chunks in files below ``folder``: distinct words, documents, and their tokens as places among the words; the catalogue.
+
+    A task writes one file under a name of that attempt's own and then reports it, so
+    retried attempts leave nothing but an orphan file.
+    """
 
     def run(batches):
+        import uuid
+
         import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
-        at, number = TaskContext.get().partitionId(), 0
-        rows, place, tokens_held = [], {}, 0  # rows: id, held out, places
+        at, out, offset = TaskContext.get().partitionId(), None, 0
+        uri = f"{folder}/part-{at:06d}-{uuid.uuid4().hex}.chunks"
+        rows, place, tokens, reports = [], {}, 0, []  # rows: id, held out, places
 
         def close():
-            nonlocal number, rows, place, tokens_held
-            lengths = np.array([len(r[2]) for r in rows], np.int64)
-            out = pd.DataFrame(
-                {
-                    "chunk": [(at << 32) + number],
-                    "tokens": [int(lengths.sum())],
-                    "words": [list(place)],
-                    "doc_ids": [np.array([r[0] or 0 for r in rows], np.int64)],
-                    "no_ids": [[r[0] is None for r in rows]],
-                    "held": [[r[1] for r in rows]],
-                    "lengths": [lengths],
-                    "places": [zlib.compress(np.concatenate([r[2] for r in rows]).astype("<u4").tobytes(), 1)],
-                }
-            )
-            rows, place, tokens_held, number = [], {}, 0, number + 1
-            return out
+            nonlocal out, offset, rows, place, tokens
+            if out is None:
+                system, path = open_store(uri)
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                out = system.open_output_stream(path, compression=None)
+            data = pack_chunk(place, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], np.concatenate([r[2] for r in rows]))
+            out.write(data)
+            reports.append(((at << 32) + len(reports), tokens, uri, offset, len(data)))
+            rows, place, tokens, offset = [], {}, 0, offset + len(data)
 
         for batch in batches:
             for i, text in zip(id_list(batch), batch["text"]):
                 words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
                 words.append(END)
                 rows.append((i, in_fold(i, folds, held), np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words))))
-                tokens_held += len(words)
-                if tokens_held >= CHUNK_TOKENS:
-                    yield close()
+                tokens += len(words)
+                if tokens >= CHUNK_TOKENS:
+                    close()
         if rows:
-            yield close()
+            close()
+        if out is not None:
+            out.close()
+        yield pd.DataFrame(reports, columns=["chunk", "tokens", "path", "offset", "bytes"])
 
-    schema = "chunk long, tokens long, words array<binary>, doc_ids array<long>, no_ids array<boolean>, held array<boolean>, lengths array<long>, places binary"
-    return docs.select(*exact_id(), "text").mapInPandas(run, schema)
+    return docs.select(*exact_id(), "text").mapInPandas(run, "chunk long, tokens long, path string, offset long, bytes long")
 
 
 # -- text as runs of bytes --------------------------------------------------------------
@@ -289,9 +321,8 @@ def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                words, lengths, train = list(row.words), np.asarray(row.lengths, np.int64), ~np.asarray(row.held, bool)
-                places = np.frombuffer(zlib.decompress(row.places), "<u4").astype(np.int64)
-                counted = np.repeat(train, lengths)
+                words, _, held, lengths, places = read_chunk(row.path, int(row.offset), int(row.bytes))
+                train, counted = ~held, np.repeat(~held, lengths)
                 hashes = word_hashes(words)
                 out = []
 
@@ -325,7 +356,7 @@ def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
                     deal(2, block[order], keys[order], None, n[order])
                     yield pd.DataFrame(out, columns=["kind", "block", "chunk", "a", "b", "n"])
 
-    return chunks.select("chunk", "words", "held", "lengths", "places").mapInPandas(run, "kind int, block int, chunk long, a binary, b binary, n binary")
+    return chunks.repartition(parallelism(chunks), "chunk").mapInPandas(run, "kind int, block int, chunk long, a binary, b binary, n binary")
 
 
 def word_block(hashes, blocks: int):
@@ -363,11 +394,16 @@ def settle(pdf):
     pdf = pdf.sort_values("chunk")
     a = [unrising(x, KEY[kind]) for x in pdf["a"]]
     n = [unplanes(x, 4).astype(np.int64) for x in pdf["n"]]
-    if kind != 1:
+    if kind == 2:
+        keys = np.concatenate(a)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
+        keys, total = keys[first], np.add.reduceat(np.concatenate(n)[order], first)
+        return pd.DataFrame([(2, block, -1, rising(keys, KEY[2]), b"", planes(total, 8))], columns=names)
+    if kind == 0:
         keys, where = np.unique(np.concatenate(a), return_inverse=True)
         total = np.bincount(where, np.concatenate(n)).astype(np.int64)
-        if kind == 2:
-            return pd.DataFrame([(2, block, -1, rising(keys, KEY[2]), b"", planes(total, 8))], columns=names)
         cuts = np.cumsum([len(x) for x in a])[:-1]
         rows = [(0, block, c, b"", b"", planes(total[w], 8)) for c, w in zip(pdf["chunk"].tolist(), np.split(where, cuts))]
         rows.append((3, block, -1, b"", b"", np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
@@ -410,16 +446,28 @@ def bit_tables(found: DataFrame, sizes: list[int]):
         import numpy as np
         import pandas as pd
 
+        def tables(blocks):
+            keys, n = (np.concatenate(x) for x in zip(*blocks))
+            hashed, _ = contexts(keys)
+            byte = (keys & np.uint64(255)).astype(np.uint8)
+            for k, size in enumerate(sizes):
+                seen = np.zeros(2 * size)
+                for bit in range(8):
+                    seen += np.bincount(2 * slots(hashed[k], byte, bit, size) + ((byte >> np.uint8(bit)) & 1), n, minlength=2 * size)
+                seen = seen.astype("<i8").reshape(-1, 2 * min(PART, size))
+                for part in np.flatnonzero(seen.any(1)).tolist():
+                    yield pd.DataFrame({"k": [k], "part": [part], "seen": [zlib.compress(seen[part].tobytes(), 1)]})
+
+        held, many = [], 0
         for batch in batches:
             for keys, n in zip(batch["a"], batch["n"]):
-                keys, n = unrising(keys, KEY[2]), unplanes(n, 8).astype(np.float64)
-                hashed, _ = contexts(keys)
-                byte = (keys & np.uint64(255)).astype(np.uint8)
-                for k, size in enumerate(sizes):
-                    at = np.concatenate([2 * slots(hashed[k], byte, bit, size) + ((byte >> np.uint8(bit)) & 1) for bit in range(8)])
-                    seen = np.bincount(at, np.tile(n, 8), minlength=2 * size).astype("<i8").reshape(-1, 2 * min(PART, size))
-                    for part in np.flatnonzero(seen.any(1)).tolist():
-                        yield pd.DataFrame({"k": [k], "part": [part], "seen": [zlib.compress(seen[part].tobytes(), 1)]})
+                held.append((unrising(keys, KEY[2]), unplanes(n, 8).astype(np.float64)))
+                many += len(held[-1][0])
+                if many > 1_500_000:
+                    yield from tables(held)
+                    held, many = [], 0
+        if held:
+            yield from tables(held)
 
     def add(pdf):
         import numpy as np
@@ -430,7 +478,9 @@ def bit_tables(found: DataFrame, sizes: list[int]):
 
     schema = "k int, part int, seen binary"
     tables = [np.zeros(size, np.uint8) for size in sizes]
-    counted = found.select("a", "n").mapInPandas(count, schema).groupBy("k", "part").applyInPandas(add, schema)
+    # Few tasks, as each passes on whole tables.
+    runs_seen = found.agg(F.coalesce(F.sum(F.octet_length("n") / 8), F.lit(0)).cast("long")).first()[0]
+    counted = found.select("a", "n").repartition(1 + runs_seen // 1_500_000).mapInPandas(count, schema).groupBy("k", "part").applyInPandas(add, schema)
     for row in counted.toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["seen"]), np.uint8)
         tables[row["k"]][row["part"] * PART : row["part"] * PART + len(part)] = part
@@ -777,9 +827,9 @@ def followed(model: Model, pairs, follower, train, lengths, answers):
 def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    chunks = stored(chunks_of(docs, folds, held), "lm-chunks", "zstd")
+    chunks = stored(chunks_of(docs, folds, held, shared_folder(spark, "lm-chunks")), "lm-catalogue")
     tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 2_000_000, 2: 1 + tokens // 16_000_000}
+    blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 1_500_000, 2: 1 + tokens // 3_000_000}
     names = "kind int, block int, chunk long, a binary, b binary, n binary"
     found = stored(messages(chunks, blocks).groupBy("kind", "block").applyInPandas(settle, names), "lm-blocks", "zstd")
     model = spark.sparkContext.broadcast(fit(found))  # of bounded size, see MOST_SLOTS
@@ -791,12 +841,11 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         model_, right = model.value, right.sort_values("block")
         known = np.concatenate([unplanes(x, 8).astype(np.int64) for x in right["n"][right["kind"] == 0]])
         row = left.iloc[0]
-        words, lengths = list(row["words"]), np.asarray(row["lengths"], np.int64)
-        places = np.frombuffer(zlib.decompress(row["places"]), "<u4").astype(np.int64)
+        words, doc_ids, held_out, lengths, places = read_chunk(row["path"], int(row["offset"]), int(row["bytes"]))
         hashes = word_hashes(words)
         counts = np.empty(len(words), np.int64)
         counts[np.argsort(hashes)] = known
-        train, every = ~np.asarray(row["held"], bool), model_.train_tokens + model_.distinct + 1
+        train, every = ~held_out, model_.train_tokens + model_.distinct + 1
         sizes = np.array([len(w) + (w != END) for w in words], np.int64)
         ends = np.cumsum(lengths)
         doc_bytes = np.add.reduceat(sizes[places], ends - lengths)
@@ -825,7 +874,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
             out.append(
                 pd.DataFrame(
                     {
-                        "doc_id": nullable([None if null else i for i, null in zip(row["doc_ids"][a:b].tolist(), row["no_ids"][a:b].tolist())]),
+                        "doc_id": nullable(doc_ids[a:b]),
                         "held_out": ~train[a:b],
                         "n_tokens": own,
                         "n_known": np.add.reduceat((seen > 0).astype(np.int64), cut),
@@ -840,4 +889,4 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     replies = found.where("kind in (0, 1)").select(F.col("chunk").alias("home"), "kind", "block", "a", "b", "n")
-    return chunks.drop("tokens").groupBy("chunk").cogroup(replies.groupBy("home")).applyInPandas(score, schema)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("home")).applyInPandas(score, schema)
