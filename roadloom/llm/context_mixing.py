@@ -58,7 +58,7 @@ END = b"\n"
 WINDOW = 5
 #: The predictors: orders in bytes, the word so far, the word so far and two letters (and the space) before it.
 PREDICTORS = (1, 2, 3, 4, 5, "word", "across")
-LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
+LEAST_SLOTS, MOST_SLOTS = 1 << 19, 1 << 22
 PART = 1 << 16
 #: States of a bit count: all pairs below EXACT sights in all, then LEVELS of sights by 48 log-odds.
 EXACT, LEVELS, STEPS = 8, (8, 16, 64, 1024), 48
@@ -234,7 +234,7 @@ class States:
         self.without = np.tile(np.arange(STATES, dtype=np.uint8), (2, 1))  # the state without one sight of the bit
         for s, (zeros, ones) in enumerate(pairs):
             self.odds[s] = np.log((ones + 0.15) / (zeros + 0.15))
-            self.known[s] = min(2, (zeros + ones + 2) // 3 + (zeros + ones == 2 and 0))
+            self.known[s] = (zeros + ones > 0) + (zeros + ones > 2)
             self.without[0, s] = self.number[max(zeros - 1, 0), ones]
             self.without[1, s] = self.number[zeros, max(ones - 1, 0)]
         for level in range(len(LEVELS)):
@@ -312,7 +312,8 @@ def pair_keys(hashes, places, lengths, blocks: int):
 def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
     """(kind, block, chunk, a, b, n): what each chunk has of each block, with its counts in training documents.
 
-    kind 0: hashes of words; 1: keys of word pairs and the followers' hashes; 2: runs of bytes.
+    kind 0: hashes of words; 1: keys of word pairs and the followers' hashes, the count doubled and one more
+    if held-out documents have it too; 2: runs of bytes.
     """
 
     def run(batches):
@@ -340,7 +341,8 @@ def messages(chunks: DataFrame, blocks: dict) -> DataFrame:
                 both = (pairs * np.uint64(0xD6E8FEB86659FD93)) ^ (follower * np.uint64(0x9E3779B97F4A7C15))
                 order = np.argsort(both)
                 first = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) != 0)))
-                n, order = np.add.reduceat(counted[order].astype(np.int64), first), order[first]
+                n = np.add.reduceat(counted[order].astype(np.int64), first)
+                n, order = 2 * n + (n < np.diff(np.append(first, len(order)))), order[first]
                 again = np.argsort(pairs[order])
                 n, order = n[again], order[again]
                 deal(1, (pairs[order] >> np.uint64(32)).astype(np.int64), pairs[order] & np.uint64(0xFFFFFFFF), follower[order], n)
@@ -408,6 +410,7 @@ def settle(pdf):
         rows = [(0, block, c, b"", b"", planes(total[w], 8)) for c, w in zip(pdf["chunk"].tolist(), np.split(where, cuts))]
         rows.append((3, block, -1, b"", b"", np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
         return pd.DataFrame(rows, columns=names)
+    asked, n = [x & 1 for x in n], [x >> 1 for x in n]
     follower = [unplanes(x, FOLLOWER) for x in pdf["b"]]
     both, where = np.unique((np.concatenate(a) << np.uint64(32)) | np.concatenate(follower), return_inverse=True)
     total = np.bincount(where, np.concatenate(n)).astype(np.int64)
@@ -429,10 +432,10 @@ def settle(pdf):
         tries += np.bincount(at, weight[own], minlength=CELLS)
         hits += np.bincount(at, weight[own], minlength=CELLS) * hit
     rows = [(4, block, -1, b"", b"", np.concatenate((hits, tries)).astype("<i8").tobytes())]
-    for c, keys, own in zip(pdf["chunk"].tolist(), a, n):
+    for c, keys, held in zip(pdf["chunk"].tolist(), a, asked):
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         at = np.searchsorted(table["key"], keys[cuts].astype(np.uint32))
-        more = (every[at] > 1) | (every[at] > np.add.reduceat(own, cuts))
+        more = (every[at] > 1) | (every[at] > 0) & (np.maximum.reduceat(held, cuts) > 0)  # one sight is a training document's own
         at = at[more]
         rows.append((1, block, c, rising(np.flatnonzero(more), 4), planes(table["f1"][at], 4) + planes(table["f2"][at] * (n2[at] > 0), 4), b"".join(planes(x[at], 4) for x in (n1, n2, every))))
     return pd.DataFrame(rows, columns=names)
@@ -824,15 +827,19 @@ def followed(model: Model, pairs, follower, train, lengths, answers):
     return foretold, hit, odds
 
 
-def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    chunks = stored(chunks_of(docs, folds, held, shared_folder(spark, "lm-chunks")), "lm-catalogue")
+def gathered(docs: DataFrame, folds: int, held: int):
+    """The catalogue of chunks, the settled blocks, and the number of blocks of each kind."""
+    chunks = stored(chunks_of(docs, folds, held, shared_folder(docs.sparkSession, "lm-chunks")), "lm-catalogue")
     tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     blocks = {0: 1 + tokens // 2_000_000, 1: 1 + tokens // 1_500_000, 2: 1 + tokens // 3_000_000}
     names = "kind int, block int, chunk long, a binary, b binary, n binary"
-    found = stored(messages(chunks, blocks).groupBy("kind", "block").applyInPandas(settle, names), "lm-blocks", "zstd")
-    model = spark.sparkContext.broadcast(fit(found))  # of bounded size, see MOST_SLOTS
+    return chunks, stored(messages(chunks, blocks).groupBy("kind", "block").applyInPandas(settle, names), "lm-blocks", "zstd"), blocks
+
+
+def language_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs(doc_id, text)``."""
+    chunks, found, blocks = gathered(docs, folds, held)
+    model = docs.sparkSession.sparkContext.broadcast(fit(found))  # of bounded size, see MOST_SLOTS
 
     def score(left, right):
         import numpy as np

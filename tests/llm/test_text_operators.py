@@ -414,37 +414,3 @@ def test_language_scores(docs, no_docs, texts):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == want
     assert all(r["score"] < 0 for r in rows)
     assert language_scores(no_docs).count() == 0
-
-
-def test_language_model_foretells_held_out_texts(spark):
-    import random
-
-    from roadloom.llm.context_mixing import language_scores
-
-    rng = random.Random(1)
-    syllables = {"x": ["ka", "to", "mi", "re", "su", "no"], "y": ["bra", "kle", "stu", "gro", "fli"]}
-    rows = []
-    for i in range(900):
-        own = rng.choice("xy")
-        rows.append((i, " ".join("".join(rng.choice(syllables[own]) for _ in range(rng.randint(1, 4))) for _ in range(60)), own))
-    got = language_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert got["sum(score)"] > got["sum(base_score)"]
-
-
-def test_spelling_is_a_distribution():
-    from roadloom.llm.context_mixing import SLOTS, Mixer
-
-    rng = np.random.default_rng(3)
-    mixer = Mixer(rng.integers(0, 9, SLOTS).astype(np.float32), rng.integers(0, 9, SLOTS).astype(np.float32))
-    # One byte after another: over all 256 bytes that may follow the start, the first byte's probability is 1.
-    from roadloom.llm import context_mixing as m
-
-    total = 0.0
-    for byte in range(256):
-        planes, owner = m._bit_slots([bytes([byte])]) if byte != 32 else m._bit_slots([b""])
-        p = 1.0
-        for bits, slots in planes:
-            q = mixer.predict(*mixer.inputs(bits, slots, leave=0))[0]
-            p *= q if bits[0] else 1 - q
-        total += p
-    assert total == pytest.approx(1.0, abs=1e-6)
