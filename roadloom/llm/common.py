@@ -26,6 +26,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="roadloom-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
