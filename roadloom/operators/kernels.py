@@ -201,7 +201,7 @@ def skeletons(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("mask_id").applyInPandas(run, "mask_id string, row int, col int")
 
 
-def trace(pixels: set):
+def skeleton_chains(pixels: set):
     """Node clusters and the pixel chains between them of an 8-connected skeleton: (clusters, [(a, b, chain)])."""
     around = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
     near = lambda p: [q for q in ((p[0] + a, p[1] + b) for a, b in around) if q in pixels]
@@ -262,7 +262,7 @@ def skeleton_graph(pixels: DataFrame, resolution: float = 1.0, transform: tuple
         import pandas as pd
 
         name = pdf["mask_id"].iloc[0]
-        clusters, chains = trace(set(zip(pdf["row"].tolist(), pdf["col"].tolist())))
+        clusters, chains = skeleton_chains(set(zip(pdf["row"].tolist(), pdf["col"].tolist())))
 
         def world(row, col):
             if transform is None:

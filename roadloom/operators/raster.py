@@ -128,7 +128,10 @@ def without_spurs(pixels: DataFrame, longest: int = 5) -> DataFrame:
     """Without dead-end branches of at most ``longest`` pixels that lead to a branch point.
 
     Paths grow from the ends a pixel a round; one that meets a branch point in time goes.
+    With ``longest`` below 1 all pixels stay.
     """
+    if longest < 1:
+        return pixels.select("mask_id", "row", "col")
     marked = checkpoint(neighbour_counts(pixels))
     paths = marked.where("neighbours = 1").select("mask_id", "row", "col", F.array(F.struct("row", "col")).alias("path"))
     gone = None

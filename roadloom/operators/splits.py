@@ -111,10 +111,16 @@ def running_best(values: DataFrame, order: str, value: str, by: str) -> DataFram
 
 
 def moving_average(values: DataFrame, order: str, value: str, by: str, decay: float) -> DataFrame:
-    """Exponential moving average of each group in order, started at its first value."""
-    steps = F.sort_array(F.collect_list(F.struct(order, value)))
-    folded = F.aggregate(steps, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x[value].cast("double")).otherwise(acc * decay + x[value] * (1 - decay)))
-    return values.groupBy(by).agg(folded.alias("ema"))
+    """(by, order, ema): the exponential moving average after each row of a group in order, started at its first value; ties by value."""
+    step = F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x"))
+    first = F.struct(F.lit(None).cast("double").alias("ema"), F.array().cast(f"array<struct<at:{dict(values.dtypes)[order]},ema:double>>").alias("done"))
+
+    def follow(acc, s):
+        ema = F.when(acc["ema"].isNull(), s["x"]).otherwise(acc["ema"] * decay + s["x"] * (1 - decay))
+        return F.struct(ema.alias("ema"), F.concat(acc["done"], F.array(F.struct(s["at"].alias("at"), ema.alias("ema")))).alias("done"))
+
+    folded = values.groupBy(by).agg(F.aggregate(F.sort_array(F.collect_list(step)), first, follow)["done"].alias("done"))
+    return folded.select(by, F.explode("done").alias("s")).select(by, F.col("s.at").alias(order), F.col("s.ema").alias("ema"))
 
 
 def learning_rate(step: Column, warmup: int, total: int) -> Column:

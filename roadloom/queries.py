@@ -254,10 +254,10 @@ def road_efficiency_sampled(spark, sf_dir):
 
 BC = f"""{P}, {DISTANCES}, {SIGMA}, n AS (SELECT count(*) n FROM p),
 b AS (SELECT a.v id, sum(CAST(a.n*b.n AS DOUBLE)/CAST(st.n AS DOUBLE)) t FROM ds a JOIN ds b ON a.v=b.s JOIN ds st ON st.s=a.s AND st.v=b.v AND a.dist+b.dist=st.dist GROUP BY 1),
-bc AS (SELECT p.id, round(coalesce(t,0)/((n.n-1)*(n.n-2)),9) bc FROM p LEFT JOIN b USING (id), n)"""
+bc AS (SELECT p.id, coalesce(t,0)/((n.n-1)*(n.n-2)) raw, round(coalesce(t,0)/((n.n-1)*(n.n-2)),9) bc FROM p LEFT JOIN b USING (id), n)"""
 
 
-@query(f"WITH RECURSIVE {BC}, rk AS (SELECT id, bc, row_number() OVER (ORDER BY bc DESC, id) r FROM bc) SELECT id node_id, bc betweenness, CAST(r AS INT) AS rank, r <= greatest(1, CAST(round_even(n.n*0.1,0) AS BIGINT)) is_critical FROM rk, n")
+@query(f"WITH RECURSIVE {BC}, rk AS (SELECT id, bc, row_number() OVER (ORDER BY round(raw,12) DESC, id) r FROM bc) SELECT id node_id, bc betweenness, CAST(r AS INT) AS rank, r <= greatest(1, CAST(round_even(n.n*0.1,0) AS BIGINT)) is_critical FROM rk, n")
 def road_criticality(spark, sf_dir):
     from roadloom.plans.pipelines import rank_table
 
@@ -574,7 +574,8 @@ def running_best(spark, sf_dir):
     return splits.running_best(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", "o_custkey").select("o_custkey", "o_orderkey", "is_best")
 
 
-@query()
+@query("""SELECT o_custkey, o_orderkey, list_reduce(list(CAST(o_totalprice AS DOUBLE)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey),
+lambda a, x: a*CAST(0.9 AS DOUBLE) + x*(CAST(1 AS DOUBLE)-CAST(0.9 AS DOUBLE))) ema FROM orders""")
 def moving_averages(spark, sf_dir):
     return splits.moving_average(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", "o_custkey", 0.9)
 

@@ -87,3 +87,29 @@ def test_registered_reports_take_as_many_removals_as_the_reference(monkeypatch):
     queries.road_graph_report(None, "")
     queries.road_ablation_curves(None, "")
     assert taken == {"report": 40, "ablation": 25}
+
+
+def test_scores_are_ranked_before_they_are_rounded(spark):
+    from roadloom.graph import RoadGraph
+    from roadloom.plans.pipelines import rank_table
+
+    nodes = spark.createDataFrame([("g", i, i) for i in range(4)], "graph_id string, node_id long, ord int")
+    scores = [(0, 0.25), (1, 0.25 + 1e-8), (2, 0.25 + 2e-8), (3, 0.25 + 1e-15)]
+    ranked = rank_table(RoadGraph(nodes, None), spark.createDataFrame([("g", *s) for s in scores], "graph_id string, node_id long, betweenness double"), 0.5)
+    got = {r["node_id"]: (r["rank"], r["is_critical"], r["betweenness"]) for r in ranked.collect()}
+    assert got == {2: (1, True, 0.25), 1: (2, True, 0.25), 0: (3, False, 0.25), 3: (4, False, 0.25)}  # 0 and 3 tie
+
+
+def test_spurs_of_no_length_stay(spark):
+    from roadloom.operators.raster import without_spurs
+
+    pixels = spark.createDataFrame([("m", 0, c) for c in range(5)] + [("m", 1, 2)], "mask_id string, row int, col int")
+    assert without_spurs(pixels, 0).count() == 6
+
+
+def test_moving_average_after_every_row(spark):
+    from roadloom.operators.splits import moving_average
+
+    rows = [("a", 1, 4.0), ("a", 2, 8.0), ("a", 3, 0.0), ("b", 1, 1.0)]
+    got = moving_average(spark.createDataFrame(rows, "k string, step int, v double"), "step", "v", "k", 0.75).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 4.0), ("a", 2, 5.0), ("a", 3, 3.75), ("b", 1, 1.0)]
