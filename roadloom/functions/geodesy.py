@@ -97,3 +97,14 @@ def pixel_to_world(row: Column, col: Column, transform: Column | None = None, re
 def grid_shape(x_min: Column, y_min: Column, x_max: Column, y_max: Column, resolution: float) -> tuple[Column, Column]:
     """(width, height) of a north-up grid over a box, at least 1 each."""
     return F.greatest(F.lit(1), F.ceil((x_max - x_min) / resolution)).cast("int"), F.greatest(F.lit(1), F.ceil((y_max - y_min) / resolution)).cast("int")
+
+
+def north_up_grid(west: Column, south: Column, east: Column, north: Column, resolution: float = 1.0) -> Column:
+    """struct(zone, width, height, left, top): the metric grid over a lon/lat box in the UTM zone of its middle."""
+    zone = utm_zone((west + east) / 2)
+    # The corners of a box in the south get the false northing of 10,000 km.
+    shift = F.when((south + north) / 2 < 0, 1e7).otherwise(0.0)
+    corners = [to_utm(lon, lat, zone) for lon in (west, east) for lat in (south, north)]
+    xs, ys = [c[0] for c in corners], [c[1] + shift for c in corners]
+    width, height = grid_shape(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys), resolution)
+    return F.struct(zone.alias("zone"), width.alias("width"), height.alias("height"), F.least(*xs).alias("left"), F.greatest(*ys).alias("top"))

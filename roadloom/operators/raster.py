@@ -293,3 +293,28 @@ def otsu(values: DataFrame, bins: int = 256) -> DataFrame:
     split = counts.where("w > w0").withColumn("between", F.col("w0") * other * gap * gap)
     best = split.groupBy("img").agg(F.max(F.struct("between", -F.col("bin"), "centre")).alias("b")).select("img", F.col("b.centre").alias("threshold"))
     return ends.select("img").join(best, "img", "left")
+
+
+def first_tiles(summary: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` tiles in reading order over all masks: a stop after enough tiles."""
+    return summary.orderBy("mask_id", "tile_row", "tile_col").limit(most)
+
+
+#: The channel means and deviations image networks are trained with.
+CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(values: DataFrame) -> DataFrame:
+    """``values(img, channel, row, col, v)`` with z: scaled to 0..1 where the image exceeds 1, then centred and scaled by channel."""
+    top = values.groupBy("img").agg(F.max("v").alias("_top"))
+    pick = lambda table: F.element_at(F.array(*(F.lit(x) for x in table)), F.col("channel") + 1)
+    scaled = F.when(F.col("_top") > 1.0, F.col("v") / 255.0).otherwise(F.col("v"))
+    return values.join(top, "img").withColumn("z", (scaled - pick(CHANNEL_MEAN)) / pick(CHANNEL_STD)).drop("_top")
+
+
+def multi_scale(maps: list[DataFrame]) -> DataFrame:
+    """The mean of probability maps ``(img, row, col, p)`` that were predicted at several scales and brought to one size."""
+    out = maps[0]
+    for other in maps[1:]:
+        out = out.unionByName(other)
+    return out.groupBy("img", "row", "col").agg(F.avg("p").alias("p"))

@@ -155,3 +155,26 @@ def blacked_out(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pixels outside all boxes; boxes are turned into pixels first, so it is an equi-anti-join."""
     cells = boxes.withColumn("row", F.explode(F.sequence("row0", F.col("row1") - 1))).withColumn("col", F.explode(F.sequence("col0", F.col("col1") - 1)))
     return pixels.join(cells.select("row", "col").distinct(), ["row", "col"], "left_anti")
+
+
+def listed(folders: list[DataFrame]) -> DataFrame:
+    """(folder, path): the listings ``folders[i](path)`` one after the other, each in order of its paths."""
+    out = None
+    for i, paths in enumerate(folders):
+        rows = paths.select(F.lit(i).alias("folder"), "path")
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("folder", "path")
+
+
+def pooled(lists: list[DataFrame]) -> DataFrame:
+    """Pair lists as one bag: repeated pairs stay."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def image_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """(chip, image, label) of ``images(path)`` and ``labels(path)`` whose names have the same chip key."""
+    keyed = lambda df, name: df.select(chip_key(F.col("path")).alias("chip"), F.col("path").alias(name))
+    return keyed(images, "image").join(keyed(labels, "label"), "chip")
