@@ -68,7 +68,7 @@ def truth_graph_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, best
 
 
-def segmentation_report(meta: DataFrame) -> DataFrame:
-    """Scores of ``meta`` to 4 decimals, null where a key is missing."""
+def segmentation_report(meta: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Scores of ``meta`` to 4 decimals, null where a key is missing; the columns of ``keep`` go with them."""
     names = ("iou", "dice", "occlusion_recall", "threshold")
-    return meta.select(*(F.round(F.col(c), 4).alias(c) if c in meta.columns else F.lit(None).cast("double").alias(c) for c in names))
+    return meta.select(*keep, *(F.round(F.col(c), 4).alias(c) if c in meta.columns else F.lit(None).cast("double").alias(c) for c in names))

@@ -1,7 +1,8 @@
 """The registered queries of the road-network engine, each with SQL that gives the same rows where SQL can.
 
 Road graphs are derived from the tables: points are the first two components of
-``embeddings``, joined where they are near; masks are the cells of ``lineitem``.
+``embeddings``, joined where they are near; masks are the cells of ``lineitem``,
+in as many images as its orders fill.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geodesy, geometry
 from roadloom.graph import RoadGraph, graph_of, violations
-from roadloom.operators import kernels, paths, raster, scoring, splits, topology
+from roadloom.operators import kernels, paths, raster, scenarios, scoring, splits, topology
 from roadloom.storage import checkpoint
 
 REACH = 0.015
@@ -36,10 +37,11 @@ def roads(spark: SparkSession, sf_dir: str) -> RoadGraph:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven images of 64 x 64: probability, truth and occlusion of each cell."""
+    """Images of 64 x 64, one for each line number of 4,096 consecutive orders, so that their number grows with the table: probability, truth and occlusion of each cell."""
     li = table(spark, sf_dir, "lineitem")
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    out = li.groupBy(F.col("l_linenumber").cast("long").alias("img"), (F.col("l_partkey") % 64).cast("int").alias("row"), (F.col("l_suppkey") % 64).cast("int").alias("col"))
+    key, within = F.col("l_orderkey"), F.col("l_orderkey") % 4096
+    out = li.groupBy((F.floor(key / 4096) * 8 + F.col("l_linenumber")).cast("long").alias("img"), F.floor(within / 64).cast("int").alias("row"), (within % 64).cast("int").alias("col"))
     out = out.agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"), F.sum(cents("l_discount")).alias("d"), F.max(cents("l_tax")).alias("x"))
     return out.select("img", "row", "col", (F.col("q") / (50.0 * F.col("n"))).alias("prob"), (F.col("d") >= 5 * F.col("n")).cast("int").alias("t"), (F.col("x") >= 7).cast("int").alias("o"))
 
@@ -65,7 +67,7 @@ pc(s,v,n,h) AS (SELECT id,id,CAST(1 AS HUGEINT),0 FROM p UNION ALL
   SELECT pc.s, dag.v, sum(pc.n), pc.h+1 FROM pc JOIN dag ON dag.s=pc.s AND dag.u=pc.v GROUP BY 1,2,4),
 sg AS (SELECT s,v,sum(n) n FROM pc GROUP BY 1,2),
 ds AS (SELECT d.s,d.v,d.dist,sg.n FROM d JOIN sg USING (s,v) WHERE d.s<>d.v)"""
-CELLS = """c AS (SELECT CAST(l_linenumber AS BIGINT) img, CAST(l_partkey % 64 AS INT) "row", CAST(l_suppkey % 64 AS INT) col,
+CELLS = """c AS (SELECT CAST(l_orderkey // 4096 * 8 + l_linenumber AS BIGINT) img, CAST(l_orderkey % 4096 // 64 AS INT) "row", CAST(l_orderkey % 64 AS INT) col,
   sum(CAST(l_quantity AS BIGINT))/(50.0*count(*)) prob, CASE WHEN sum(CAST(round(l_discount*100) AS BIGINT)) >= 5*count(*) THEN 1 ELSE 0 END t,
   CASE WHEN max(CAST(round(l_tax*100) AS BIGINT)) >= 7 THEN 1 ELSE 0 END o FROM lineitem GROUP BY 1,2,3)"""
 PIX = CELLS + """, px AS (SELECT CAST(img AS VARCHAR) mask_id, "row", col FROM c WHERE prob >= 0.55)"""
@@ -201,11 +203,11 @@ def road_nearest_junction(spark, sf_dir):
     return out.select("node_id", "nearest", F.round("distance_m", 9).alias("distance"))
 
 
-@query(f"""WITH {P}, k AS (SELECT *, greatest(1, CAST(round_even(w/4000.0,0) AS INT)) k FROM e0) SELECT u, v, k AS parts, round(w/CAST(k AS DOUBLE),6) part_length FROM k""")
+@query(f"""WITH {P}, k AS (SELECT *, greatest(1, CAST(round_even(w/4000.0,0) AS INT)) k FROM e0), i AS (SELECT *, unnest(range(0,k)) i FROM k)
+SELECT round(a.x+(b.x-a.x)*i/CAST(k AS DOUBLE),6) x0, round(a.y+(b.y-a.y)*i/CAST(k AS DOUBLE),6) y0, round(w/CAST(k AS DOUBLE),6) part_length FROM i JOIN p a ON a.id=u JOIN p b ON b.id=v""")
 def road_densified(spark, sf_dir):
-    g = roads(spark, sf_dir)
-    parts = F.greatest(F.lit(1), F.bround(F.col("length_m") / 4000.0)).cast("int")
-    return g.edges.select("u", "v", parts.alias("parts")).withColumn("part_length", F.lit(None).cast("double")).join(g.edges.select("u", "v", "length_m"), ["u", "v"]).select("u", "v", "parts", F.round(F.col("length_m") / F.col("parts"), 6).alias("part_length"))
+    start = F.col("geometry")[0]
+    return topology.densify(roads(spark, sf_dir), 4000.0).edges.select(F.round(start["x"], 6).alias("x0"), F.round(start["y"], 6).alias("y0"), F.round("length_m", 6).alias("part_length"))
 
 
 @query(f"WITH {P}, k AS (SELECT greatest(1, CAST(round_even(w/4000.0,0) AS INT)) k, w FROM e0) SELECT CAST((SELECT count(*) FROM p) + sum(k-1) AS BIGINT) nodes, CAST(sum(k) AS BIGINT) edges, round(CAST(sum(w) AS DOUBLE),3) length FROM k")
@@ -329,7 +331,7 @@ def road_flood_order(spark, sf_dir):
 
 @query(f"WITH {P} SELECT id node_id FROM p WHERE z < -0.05")
 def road_below_elevation(spark, sf_dir):
-    return points(spark, sf_dir).where(F.col("elevation") < -0.05).select("node_id")
+    return scenarios.below(points(spark, sf_dir), -0.05).select("node_id")
 
 
 @query(f"""WITH RECURSIVE p0 AS (SELECT vec_id id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y FROM embeddings), p AS (SELECT * FROM p0 WHERE NOT ({INSIDE})),
@@ -402,14 +404,26 @@ def local_metres(spark, sf_dir):
     return points(spark, sf_dir).select("node_id", F.round(mx, 6).alias("mx"), F.round(my, 6).alias("my"))
 
 
-@query(f"WITH {P} SELECT id node_id, true AS closes FROM p")
+def utm_sql(source: str, zone: str) -> str:
+    """CTEs utm0 to utm: the rows of ``source(lon, lat, ...)`` with easting and northing."""
+    g, e = geodesy, "sqrt(6.69437999014e-3)"
+    series = lambda f, h: " + ".join(f"({a!r})*{f}(2*{j}*xi)*{h}(2*{j}*eta)" for j, a in enumerate(g._ALPHA, 1))
+    k = repr(g.K0 * g._RECTIFYING)
+    return f"""utm0 AS (SELECT *, radians(lat) phi, radians(lon)-radians({zone}*6.0-183.0) lam FROM {source}),
+utm1 AS (SELECT *, sinh(atanh(sin(phi))-{e}*atanh({e}*sin(phi))) tt FROM utm0),
+utm2 AS (SELECT *, atan2(tt,cos(lam)) xi, atanh(sin(lam)/sqrt(1+tt*tt)) eta FROM utm1),
+utm AS (SELECT *, 500000.0+{k}*(eta+{series('cos', 'sinh')}) east, {k}*(xi+{series('sin', 'cosh')}) north FROM utm2)"""
+
+
+@query(f"WITH {P}, ll AS (SELECT id, 73.8+x lon, 15.5+y lat FROM p), {utm_sql('ll', '43')} SELECT id node_id, round(east,2) east, round(north,2) north, true AS closes FROM utm")
 def utm_round_trip(spark, sf_dir):
-    """Projecting to UTM and back gives the same place."""
+    """Projected to UTM; and back, it gives the same place."""
     lon, lat = F.lit(73.8) + F.col("x"), F.lit(15.5) + F.col("y")
     east, north = geodesy.to_utm(lon, lat, 43)
     back_lon, back_lat = geodesy.from_utm(F.col("east"), F.col("north"), 43)
     out = points(spark, sf_dir).withColumn("east", east).withColumn("north", north)
-    return out.select("node_id", ((F.abs(back_lon - lon) < 1e-9) & (F.abs(back_lat - lat) < 1e-9)).alias("closes"))
+    closes = (F.abs(back_lon - lon) < 1e-9) & (F.abs(back_lat - lat) < 1e-9)
+    return out.select("node_id", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), closes.alias("closes"))
 
 
 # -- rasters and scores -------------------------------------------------------
@@ -531,9 +545,9 @@ def mask_graph(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, ex AS (SELECT img, min(prob) lo, max(prob) hi FROM c GROUP BY 1), b AS (SELECT c.img, lo, hi, least(255, CAST(floor((prob-lo)/(hi-lo)*256) AS INT)) bin, count(*) n FROM c JOIN ex USING (img) WHERE hi>lo GROUP BY 1,2,3,4),
 x AS (SELECT *, lo+(bin+0.5)*(hi-lo)/256 ce FROM b), s AS (SELECT *, sum(n) OVER w w0, sum(n*ce) OVER w m0, sum(n) OVER (PARTITION BY img) w, sum(n*ce) OVER (PARTITION BY img) m FROM x WINDOW w AS (PARTITION BY img ORDER BY bin ROWS UNBOUNDED PRECEDING)),
-v AS (SELECT img, bin, ce, w0*(w-w0)*(m0/w0-(m-m0)/(w-w0))*(m0/w0-(m-m0)/(w-w0)) bt FROM s WHERE w>w0) SELECT img, round(arg_max(ce, bt),9) threshold FROM v GROUP BY 1""")
+v AS (SELECT img, bin, ce, w0*(w-w0)*(m0/w0-(m-m0)/(w-w0))*(m0/w0-(m-m0)/(w-w0)) bt FROM s WHERE w>w0) SELECT img, round(arg_max(ce, bt),11) threshold FROM v GROUP BY 1""")
 def otsu_thresholds(spark, sf_dir):
-    return raster.otsu(cells(spark, sf_dir).select("img", F.col("prob").alias("p"))).select("img", F.round("threshold", 9).alias("threshold"))
+    return raster.otsu(cells(spark, sf_dir).select("img", F.col("prob").alias("p"))).select("img", F.round("threshold", 11).alias("threshold"))
 
 
 @query(f"""WITH {CELLS}, b AS (SELECT img, quantile_cont(prob,0.02) lo, quantile_cont(prob,0.98) hi FROM c GROUP BY 1) SELECT c.img chip, "row", col, CAST(floor(greatest(0,least(1,(prob-lo)/CASE WHEN hi>lo THEN hi-lo ELSE 1 END))*255) AS INT) v FROM c JOIN b USING (img)""")
@@ -580,6 +594,12 @@ def moving_averages(spark, sf_dir):
     return splits.moving_average(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", "o_custkey", 0.9)
 
 
+@query("""WITH l AS (SELECT event_type, ts, value, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CASE WHEN value > 0 THEN 1 ELSE 0 END DESC, user_id DESC) r FROM events)
+SELECT event_type graph_id, CAST(CASE WHEN value > 0 THEN 1 ELSE 0 END AS INT) n_closed, CASE WHEN value > 0 THEN user_id END node_id FROM l WHERE r = 1""")
+def last_closures(spark, sf_dir):
+    return closures(spark, sf_dir).select("graph_id", F.size("nodes").alias("n_closed"), F.get("nodes", F.lit(0)).alias("node_id"))
+
+
 @query()
 def closures(spark, sf_dir):
     from roadloom.streaming.closures import current_closures
@@ -594,8 +614,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import roadloom.row_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import roadloom.row_queries  # noqa: F401
+
     return dict(SQL)
