@@ -128,7 +128,11 @@ def road_prune_stubs_once(spark, sf_dir):
     return topology.prune_stubs(roads(spark, sf_dir), 8000.0, rounds=1).edges.select("u", "v", "length_m")
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, r(i,u,v,w) AS (SELECT 0, u, v, w FROM e0 UNION ALL
+  SELECT r.i+1, r.u, r.v, r.w FROM r JOIN (SELECT id, count(*) d FROM (SELECT u id FROM r UNION ALL SELECT v FROM r) GROUP BY 1) a ON a.id=r.u
+    JOIN (SELECT id, count(*) d FROM (SELECT u id FROM r UNION ALL SELECT v FROM r) GROUP BY 1) b ON b.id=r.v
+  WHERE r.i < 20 AND NOT (r.w < 8000 AND (a.d=1 OR b.d=1)))
+SELECT u, v, CAST(w AS DOUBLE) length_m FROM r WHERE i = 20""")
 def road_prune_stubs(spark, sf_dir):
     return topology.prune_stubs(roads(spark, sf_dir), 8000.0).edges.select("u", "v", "length_m")
 
@@ -183,7 +187,11 @@ def road_bridges(spark, sf_dir):
     return topology.minimum_forest(topology.bridge_candidates(roads(spark, sf_dir), 0.05, 60.0, 2.0)).select("u", "v", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, {DEG}, {REACHED}, {END}, z AS (SELECT c, count(*) n FROM cc GROUP BY 1), l AS (SELECT cu a, cv b FROM k UNION SELECT cv, cu FROM k),
+m(a,b) AS (SELECT c, c FROM z UNION SELECT m.a, l.b FROM m JOIN l ON l.a=m.b), g AS (SELECT a c, min(b) t FROM m GROUP BY 1), j AS (SELECT t, CAST(sum(n) AS BIGINT) n FROM z JOIN g USING (c) GROUP BY 1),
+b AS (SELECT count(*) parts, max(n) largest FROM z), f AS (SELECT count(*) parts, max(n) largest FROM j)
+SELECT 'g1' graph_id, b.parts - f.parts bridges_added, b.parts components_before, f.parts components_after, b.largest largest_before, f.largest largest_after,
+  CAST(100 AS DOUBLE)*(f.largest - b.largest)/b.largest connectivity_gain_pct FROM b, f""")
 def road_heal_report(spark, sf_dir):
     return topology.heal(roads(spark, sf_dir), 0.05, 60.0, 2.0)[1]
 
@@ -556,7 +564,15 @@ def percentile_stretched(spark, sf_dir):
     return out.select("chip", "row", "col", "v")
 
 
-@query()
+@query(f"""WITH {P}, s AS (SELECT (a.x+1)*500 x1, (a.y+1)*500 y1, (b.x+1)*500 x2, (b.y+1)*500 y2 FROM e0 JOIN p a ON a.id=u JOIN p b ON b.id=v),
+t AS (SELECT *, unnest(range(CAST(floor(least(y1,y2)-1) AS BIGINT), CAST(floor(greatest(y1,y2)+1) AS BIGINT)+1)) r FROM s),
+q AS (SELECT *, unnest(range(CAST(floor(least(x1,x2)-1) AS BIGINT), CAST(floor(greatest(x1,x2)+1) AS BIGINT)+1)) c FROM t),
+k AS (SELECT *, unnest([c, c+1, c+1, c]) px, unnest([r, r, r+1, r+1]) py FROM q),
+near AS (SELECT r, c, x1, y1, x2, y2, min(pow(px-(x1+h*(x2-x1)),2)+pow(py-(y1+h*(y2-y1)),2)) corner, min((x2-x1)*(py-y1)-(y2-y1)*(px-x1)) lo, max((x2-x1)*(py-y1)-(y2-y1)*(px-x1)) hi
+  FROM (SELECT *, CASE WHEN x1=x2 AND y1=y2 THEN 0 ELSE greatest(0,least(1,((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) END h FROM k) GROUP BY ALL)
+SELECT DISTINCT 'm' mask_id, CAST(r AS INT) "row", CAST(c AS INT) col FROM near WHERE corner <= 1
+  OR pow(greatest(c-x1,0,x1-c-1),2)+pow(greatest(r-y1,0,y1-r-1),2) <= 1 OR pow(greatest(c-x2,0,x2-c-1),2)+pow(greatest(r-y2,0,y2-r-1),2) <= 1
+  OR (lo <= 0 AND hi >= 0 AND least(x1,x2) <= c+1 AND greatest(x1,x2) >= c AND least(y1,y2) <= r+1 AND greatest(y1,y2) >= r)""")
 def roads_rasterized(spark, sf_dir):
     g = roads(spark, sf_dir)
     a, b = F.col("geometry")[0], F.col("geometry")[1]
@@ -600,12 +616,13 @@ def last_closures(spark, sf_dir):
     return closures(spark, sf_dir).select("graph_id", F.size("nodes").alias("n_closed"), F.get("nodes", F.lit(0)).alias("node_id"))
 
 
-@query()
+@query("""WITH k AS (SELECT event_type graph_id, epoch_us(CAST(ts AS TIMESTAMP)) at_us, CASE WHEN value > 0 THEN user_id END node FROM events)
+SELECT graph_id, at_us, node FROM k QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY at_us DESC, node DESC NULLS LAST) = 1""")
 def closures(spark, sf_dir):
     from roadloom.streaming.closures import current_closures
 
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("graph_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("value") > 0, "close").otherwise("reset").alias("action"), F.array("user_id").alias("nodes"))
-    return current_closures(ev)
+    return current_closures(ev).select("graph_id", F.unix_micros("at").alias("at_us"), F.get("nodes", F.lit(0)).alias("node"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ STATE = "graph_id string, at timestamp, nodes array<long>"
 
 
 def current_closures(events: DataFrame) -> DataFrame:
-    """(graph_id, at, nodes) after all of ``events(graph_id, at, action, nodes)``: ``close`` sets the nodes, ``reset`` empties them."""
+    """(graph_id, at, nodes) after all of ``events(graph_id, at, action, nodes)``: ``close`` sets the nodes, ``reset`` empties them; of events at one time the longest list, then the greatest, stands."""
     nodes = F.when(F.col("action") == "close", F.sort_array(F.array_distinct(F.coalesce("nodes", F.array().cast("array<long>"))))).otherwise(F.array().cast("array<long>"))
-    last = events.groupBy("graph_id").agg(F.max_by(F.struct("at", nodes.alias("nodes")), F.struct("at", F.size("nodes"))).alias("s"))
+    last = events.groupBy("graph_id").agg(F.max_by(F.struct("at", nodes.alias("nodes")), F.struct("at", F.size(nodes), nodes)).alias("s"))
     return last.select("graph_id", "s.at", "s.nodes")
 
 
