@@ -389,14 +389,6 @@ def road_graph_report(spark, sf_dir):
     return graph_report(roads(spark, sf_dir), steps=40)
 
 
-@query()
-def grid_betweenness(spark, sf_dir):
-    """The published benchmark graph: a 50 x 50 lattice, 150 pivots."""
-    from roadloom.sources.files import grid_graph
-
-    return paths.betweenness(grid_graph(spark, 50), k=150, seed=42)
-
-
 # -- geometry and projections ------------------------------------------------
 
 
