@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import exact_id, ids_of, stored
 from roadloom.llm.components import connected_components
 
+#: Keys over which the rows of one hub or cluster are spread in joins.
+SALTS = 32
+
 
 def _shingle_sets(texts, k: int):
     """For each text the sorted distinct 64-bit hashes of its shingles."""
@@ -163,9 +166,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity; the pairs of one ``a`` are spread over SALTS keys, to which its set is copied where there are pairs."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(5)), F.lit(SALTS)).cast("int"))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
+    wanted = pairs.select("a", "salt").distinct()
+    both = both.join(wanted.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a"), ["a", "salt"])
     na, nb = F.size("ha"), F.size("hb")
     near = both.where((100 * na >= percent * nb) & (100 * nb >= percent * na))
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
@@ -235,13 +240,16 @@ def _missed(live: DataFrame, hubs: DataFrame, component: DataFrame, sets: DataFr
     plan = parts.groupBy("cluster").agg(F.max(F.struct("n", "component", "h")).alias("top"), F.sum("h").alias("h"))
     blocks = lambda h: F.ceil(h / F.lit(float(block))).cast("int")
     plan = plan.select("cluster", F.col("top.component").alias("largest"), F.greatest(F.lit(1), blocks(F.col("h"))).alias("tbs"), F.greatest(F.lit(1), blocks(F.col("h") - F.col("top.h"))).alias("qbs"))
-    members = members.join(plan, "cluster")
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = members.withColumn("salt", salt).join(plan, ["cluster", "salt"])
     place = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["cluster", "qb", "tb", "query", "doc_id", "component", "hashes"]
     targets = members.withColumn("tb", place(F.col("tbs"), 1)).withColumn("qb", each(F.col("qbs"))).withColumn("query", F.lit(False)).select(columns)
     queries = members.where("component <> largest").withColumn("qb", place(F.col("qbs"), 2)).withColumn("tb", each(F.col("tbs"))).withColumn("query", F.lit(True)).select(columns)
-    return targets.unionByName(queries).groupBy("cluster", "qb", "tb").applyInPandas(_compare(percent), "a long, b long")
+    # Dealt by block: a partitioning by cluster alone would do for the grouping, and leave all blocks of a cluster to one task.
+    return targets.unionByName(queries).repartition("cluster", "qb", "tb").groupBy("cluster", "qb", "tb").applyInPandas(_compare(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, seed: int = 11) -> DataFrame:
