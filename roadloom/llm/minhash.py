@@ -241,8 +241,9 @@ def _missed(live: DataFrame, hubs: DataFrame, component: DataFrame, sets: DataFr
     blocks = lambda h: F.ceil(h / F.lit(float(block))).cast("int")
     plan = plan.select("cluster", F.col("top.component").alias("largest"), F.greatest(F.lit(1), blocks(F.col("h"))).alias("tbs"), F.greatest(F.lit(1), blocks(F.col("h") - F.col("top.h"))).alias("qbs"))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")
-    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = members.withColumn("salt", salt).join(plan, ["cluster", "salt"])
+    members = members.withColumn("salt", salt)
+    plan = members.select("cluster", "salt").distinct().join(plan, "cluster")
+    members = members.join(plan.hint("merge"), ["cluster", "salt"])  # grows with the documents, so never broadcast
     place = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["cluster", "qb", "tb", "query", "doc_id", "component", "hashes"]
