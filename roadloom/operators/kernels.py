@@ -22,11 +22,22 @@ def _points(line):
 def collapse_degree2(graph: RoadGraph) -> RoadGraph:
     """Pass-through nodes become part of one edge, in node order; a node stays where that would make a loop or a parallel edge.
 
-    The order matters only within a component, so components are the unit of work.
+    The order matters only within a component of what takes part, so these are the unit of work.
     """
-    labels = components(graph.nodes, graph.edges)
-    nodes = graph.nodes.select("graph_id", "node_id", "ord", "x", "y").join(labels, ["graph_id", "node_id"])
-    edges = graph.edges.join(labels.select("graph_id", F.col("node_id").alias("u"), "component"), ["graph_id", "u"])
+    # A collapse leaves all other degrees, so only nodes of degree 2 take part, with their edges and those between their neighbours; edges without a line get one here.
+    through = checkpoint(with_degrees(graph).nodes.where("degree = 2").select("graph_id", "node_id"))
+    at = lambda ids, end: ids.select("graph_id", F.col("node_id").alias(end))
+    beside = graph.arcs().select("graph_id", F.col("src").alias("node_id"), "dst").join(through, ["graph_id", "node_id"], "left_semi")
+    ends = checkpoint(through.unionByName(beside.select("graph_id", F.col("dst").alias("node_id"))).distinct().withColumn("hit", F.lit(True)))
+    marked = graph.edges
+    for end in ("u", "v"):
+        marked = marked.join(ends.select("graph_id", F.col("node_id").alias(end), F.col("hit").alias(f"hit_{end}")), ["graph_id", end], "left")
+    part = F.coalesce(F.col("hit_u") & F.col("hit_v"), F.lit(False)) | (F.size("geometry") < 2)
+    edges = checkpoint(marked.where(part).select(graph.edges.columns))
+    rest = marked.where(~part).select(graph.edges.columns)
+    labels = components(edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")), edges)
+    nodes = graph.nodes.select("graph_id", "node_id", "ord", "x", "y").join(labels, ["graph_id", "node_id"]).join(through.withColumn("through", F.lit(True)), ["graph_id", "node_id"], "left")
+    edges = edges.join(labels.select("graph_id", F.col("node_id").alias("u"), "component"), ["graph_id", "u"])
 
     def run(key, left, right):
         import pandas as pd
@@ -43,9 +54,7 @@ def collapse_degree2(graph: RoadGraph) -> RoadGraph:
                 return [place[a], place[b]]
             return line[::-1] if gap(line[0], place[a]) > gap(line[-1], place[a]) else line
 
-        for node in left.sort_values(["ord", "node_id"])["node_id"].tolist():
-            if len(near[node]) != 2:
-                continue
+        for node in left[left["through"].notna()].sort_values(["ord", "node_id"])["node_id"].tolist():
             (a, (wa, la, ba)), (c, (wc, lc, bc)) = near[node].items()
             if c in near[a]:
                 continue
@@ -62,7 +71,7 @@ def collapse_degree2(graph: RoadGraph) -> RoadGraph:
     out = nodes.groupBy("graph_id", "component").cogroup(edges.select(*[F.col(c).alias(c) for c in [*graph.edges.columns, "component"]]).groupBy("graph_id", "component")).applyInPandas(run, EDGES)
     out = checkpoint(out)
     gone = out.where("v is null").select("graph_id", F.col("u").alias("node_id"))
-    return RoadGraph(graph.nodes.join(gone, ["graph_id", "node_id"], "left_anti"), out.where("v is not null"))
+    return RoadGraph(graph.nodes.join(gone, ["graph_id", "node_id"], "left_anti"), rest.unionByName(out.where("v is not null")))
 
 
 def simplify(graph: RoadGraph, min_stub: float = 15.0) -> tuple[RoadGraph, DataFrame]:
@@ -90,10 +99,88 @@ def consolidated(graph: RoadGraph, tolerance: float = 10.0) -> tuple[RoadGraph,
     return with_degrees(done), report.withColumn("merged", F.col("nodes_before") - F.col("nodes_merged"))
 
 
+def _two_forests(edges):
+    """A breadth-first forest of the edges (pairs) and a forest of the rest: at most 2 (n - 1) edges with the same cut nodes and bridges.
+
+    Whatever edges are added to both, so pieces of a graph may be thinned apart (Eppstein, Galil, Italiano, Nissenzweig 1997).
+    """
+    near: dict = {}
+    for u, v in edges:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    first, above = set(), {}
+    for root in near:
+        if root in above:
+            continue
+        above[root], level = root, [root]
+        while level:
+            below = []
+            for a in level:
+                for b in near[a]:
+                    if b not in above:
+                        above[b] = a
+                        first.add((a, b) if a < b else (b, a))
+                        below.append(b)
+            level = below
+    parent = {x: x for x in near}
+    kept = list(first)
+    for u, v in edges:
+        a, b = u, v
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b and ((u, v) if u < v else (v, u)) not in first:
+            parent[a] = b
+            kept.append((u, v))
+    return kept
+
+
+def thinned(edges: DataFrame, room: int = 400_000) -> DataFrame:
+    """``edges(graph_id, u, v)``, each task's reduced to two forests a graph: the same cut nodes and bridges.
+
+    A task holds ``room`` new edges besides its forests; forests beyond that room are passed on.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        held: dict = {}
+        fresh = 0
+
+        def frame():
+            rows = [(g, u, v) for g, pairs in held.items() for u, v in pairs]
+            return pd.DataFrame(rows, columns=["graph_id", "u", "v"]).astype({"graph_id": "object", "u": "int64", "v": "int64"})
+
+        def thin_held():
+            for g in held:
+                held[g] = _two_forests(held[g])
+
+        for batch in batches:
+            for g, part in batch.groupby("graph_id", sort=False):
+                held.setdefault(g, []).extend(zip(part["u"].tolist(), part["v"].tolist()))
+            fresh += len(batch)
+            if fresh > room:
+                thin_held()
+                fresh = 0
+                if sum(map(len, held.values())) > room:
+                    yield frame()
+                    held.clear()
+        thin_held()
+        yield frame()
+
+    return edges.select("graph_id", "u", "v").mapInPandas(run, "graph_id string, u long, v long")
+
+
 def cut_structure(graph: RoadGraph) -> tuple[DataFrame, DataFrame]:
-    """Nodes with is_articulation and edges with is_bridge, by low-links, a component a task."""
-    labels = components(graph.nodes, graph.edges)
-    edges = graph.edges.select("graph_id", "u", "v").join(labels.select("graph_id", F.col("node_id").alias("u"), "component"), ["graph_id", "u"])
+    """Nodes with is_articulation and edges with is_bridge, by low-links, a component a task, after thinning in rounds."""
+    slim = checkpoint(thinned(graph.edges))
+    parts = slim.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 8)
+        slim = checkpoint(thinned(slim.repartition(parts)))
+    labels = components(graph.nodes, slim)
+    edges = slim.join(labels.select("graph_id", F.col("node_id").alias("u"), "component"), ["graph_id", "u"])
 
     def run(key, pdf):
         import pandas as pd

@@ -18,3 +18,46 @@ def test_last_closures(spark, events):
     from roadloom.queries import last_closures
 
     assert sorted(map(tuple, last_closures(spark, events).collect())) == [("a", 1, 9), ("b", 0, None)]
+
+
+def random_graph(spark, n=60, m=75, seed=3):
+    import random
+
+    from roadloom.graph import graph_of
+
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+    nodes = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(n)], "node_id long, x double, y double")
+    return graph_of(nodes, spark.createDataFrame([(u, v, float(rng.randint(1, 9))) for u, v in sorted(pairs)], "u long, v long, length_m double")), n, sorted(pairs)
+
+
+def parts_of(nodes, pairs):
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for u, v in pairs:
+            if u in label and v in label:
+                label[u] = label[v] = min(label[u], label[v])
+    return len(set(label.values()))
+
+
+@pytest.mark.parametrize("room", [1, 20, 1000])
+def test_thinned_edges_have_the_same_cuts(spark, room):
+    """Dense pieces shrink to two forests a task, and no cut node or bridge changes."""
+    from roadloom.operators.kernels import cut_structure, thinned
+
+    g, n, pairs = random_graph(spark, 40, 60)
+    slim = [(r["u"], r["v"]) for r in thinned(g.edges.coalesce(2), room).collect()]
+    for x in range(n):
+        others = [y for y in range(n) if y != x]
+        assert parts_of(others, pairs) == parts_of(others, slim)
+    nodes, edges = cut_structure(g)
+    whole = parts_of(range(n), pairs)
+    assert {r["node_id"] for r in nodes.where("is_articulation").collect()} == {x for x in range(n) if parts_of([y for y in range(n) if y != x], pairs) > whole - (not any(x in p for p in pairs))}
+    assert {(r["u"], r["v"]) for r in edges.where("is_bridge").collect()} == {p for p in pairs if parts_of(range(n), [q for q in pairs if q != p]) > whole}
+
+
+def test_thinning_bounds_a_dense_graph(spark):
+    from roadloom.operators.kernels import thinned
+
+    every = spark.createDataFrame([("g", u, v) for u in range(60) for v in range(u + 1, 60)], "graph_id string, u long, v long").coalesce(1)
+    assert thinned(every, 100).count() <= 2 * 59
