@@ -61,3 +61,53 @@ def test_thinning_bounds_a_dense_graph(spark):
 
     every = spark.createDataFrame([("g", u, v) for u in range(60) for v in range(u + 1, 60)], "graph_id string, u long, v long").coalesce(1)
     assert thinned(every, 100).count() <= 2 * 59
+
+
+def plain_distances(n, edges, source):
+    import heapq
+
+    near = {x: [] for x in range(n)}
+    for u, v, w in edges:
+        near[u].append((v, w))
+        near[v].append((u, w))
+    done, queue = {}, [(0.0, source)]
+    while queue:
+        d, at = heapq.heappop(queue)
+        if at not in done:
+            done[at] = d
+            for to, w in near[at]:
+                heapq.heappush(queue, (d + w, to))
+    return done
+
+
+@pytest.mark.parametrize("lengths", [(1, 9), (0, 2)])
+def test_blocks_of_sources_settle_and_cut_like_single_ones(lengths, monkeypatch):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from roadloom.operators import paths
+
+    monkeypatch.setattr(paths, "TOGETHER", 7)
+    rng = random.Random(5)
+    edges = sorted({(*sorted(rng.sample(range(50), 2)), float(rng.randint(*lengths))) for _ in range(110)})
+    edges = list({e[:2]: e for e in edges}.values())
+    nodes, arcs = paths._numbered(pd.DataFrame(edges, columns=["u", "v", "w"]), "w")
+    assert sorted(paths._by_place(arcs, np.arange(len(nodes))).tolist()) == list(range(len(nodes)))
+    expect = lambda kept, s: [plain_distances(50, kept, int(nodes[s])).get(int(x), np.inf) for x in nodes]
+    gone = [e for e in edges if 3 in e[:2] or 11 in e[:2]]
+    for some, best in paths._distance_blocks(arcs, paths._by_place(arcs, np.arange(len(nodes)))):
+        assert all(best[:, i].tolist() == expect(edges, s) for i, s in enumerate(some))
+        total, plain = np.zeros(len(nodes)), np.zeros(len(nodes))
+        paths._add_dependencies(arcs, some, best, np.ones(len(some)), total)
+        near = [list(zip(arcs[1][a:b].tolist(), arcs[2][a:b].tolist())) for a, b in zip(arcs[0][:-1], arcs[0][1:])]
+        for s in some.tolist():
+            paths._add_dependencies_of_one(near, s, 1.0, plain)
+        assert total == pytest.approx(plain)
+        tail, now, kept = nodes[np.repeat(np.arange(len(nodes)), np.diff(arcs[0]))], (arcs[0], arcs[1], arcs[2].copy()), edges
+        for away in [*(e[:2] for e in gone[:3]), (3, None), (11, None)]:  # single edges, then nodes with theirs
+            hit = [(a, b) in (away, away[::-1]) or away[1] is None and away[0] in (a, b) for a, b in zip(tail.tolist(), nodes[arcs[1]].tolist())]
+            kept = [e for e in kept if e[:2] != away and not (away[1] is None and away[0] in e[:2])]
+            paths._cut(now, best, some, np.flatnonzero(hit))
+            assert all(best[:, i].tolist() == expect(kept, s) for i, s in enumerate(some))
