@@ -160,23 +160,51 @@ def _pooled(values: DataFrame, steps, pool) -> DataFrame:
     return pools.join(values.select("img", "row", "col"), ["img", "row", "col"], "left_semi")
 
 
-def soft_skeleton(values: DataFrame, rounds: int = 3) -> DataFrame:
-    """Soft skeleton of ``values(img, row, col, p)``: what openings lose, gathered over erosions."""
-    image, skeleton = values, None
+def soft_skeleton_grid(image, there, rounds: int):
+    """Soft skeleton of a 2-D array whose cells are ``there``; absent ones do not count."""
+    import numpy as np
+
+    def pooled(grid, steps, pool):
+        wide, (h, w) = np.pad(np.where(there, grid, np.nan), 1, constant_values=np.nan), grid.shape
+        out = grid
+        for a, b in steps:
+            out = pool(out, wide[1 + a : 1 + a + h, 1 + b : 1 + b + w])
+        return out
+
+    skeleton = None
     for i in range(rounds + 1):
-        if i:
-            image = checkpoint(soft_erode(image))
-        opened_now = soft_dilate(soft_erode(image)).withColumnRenamed("p", "o")
-        delta = image.join(opened_now, ["img", "row", "col"]).select("img", "row", "col", F.greatest(F.col("p") - F.col("o"), F.lit(0.0)).alias("d"))
-        if skeleton is None:
-            skeleton = delta.withColumnRenamed("d", "p")
-        else:
-            both = skeleton.join(delta, ["img", "row", "col"])
-            skeleton = both.select("img", "row", "col", (F.col("p") + F.greatest(F.col("d") - F.col("p") * F.col("d"), F.lit(0.0))).alias("p"))
-        skeleton = checkpoint(skeleton)
+        image = pooled(image, FOUR, np.fmin) if i else image
+        delta = np.fmax(image - pooled(pooled(image, FOUR, np.fmin), EIGHT, np.fmax), 0.0)
+        skeleton = delta if skeleton is None else skeleton + np.fmax(delta - skeleton * delta, 0.0)
     return skeleton
 
 
+def gridded(pdf, *columns):
+    """Which cells of an image's rows are there, its columns as grids (absent: nan), and the rows' places in them."""
+    import numpy as np
+
+    row, col = (pdf[c].to_numpy() - pdf[c].min() for c in ("row", "col"))
+    there = np.zeros((int(row.max()) + 1, int(col.max()) + 1), bool)
+    there[row, col] = True
+    grids = []
+    for c in columns:
+        grid = np.full(there.shape, np.nan)
+        grid[row, col] = pdf[c].to_numpy(dtype="float64")
+        grids.append(grid)
+    return there, grids, (row, col)
+
+
+def soft_skeleton(values: DataFrame, rounds: int = 3) -> DataFrame:
+    """Soft skeleton of ``values(img, row, col, p)``: what openings lose, gathered over erosions; a task holds an image."""
+
+    def run(pdf):
+        there, (grid,), at = gridded(pdf, "p")
+        return pdf.assign(p=soft_skeleton_grid(grid, there, rounds)[at])
+
+    values = values.select("img", "row", "col", F.col("p").cast("double").alias("p"))
+    return values.groupBy("img").applyInPandas(run, values.schema)
+
+
 def rasterized(segments: DataFrame, width_m: float, resolution: float = 1.0, height: int | None = None, width: int | None = None) -> DataFrame:
     """Cells touched by lines of width ``width_m``: ``segments(mask_id, x1, y1, x2, y2)`` in grid metres (y down) to pixels.
 

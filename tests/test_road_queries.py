@@ -111,3 +111,29 @@ def test_blocks_of_sources_settle_and_cut_like_single_ones(lengths, monkeypatch)
             kept = [e for e in kept if e[:2] != away and not (away[1] is None and away[0] in e[:2])]
             paths._cut(now, best, some, np.flatnonzero(hit))
             assert all(best[:, i].tolist() == expect(kept, s) for i, s in enumerate(some))
+
+
+def test_soft_skeletons_of_ragged_images(spark):
+    """As the table operators give it, with absent cells."""
+    from pyspark.sql import functions as F
+
+    from roadloom.operators import raster, scoring
+
+    rows = [(i, r, c, ((r * 7 + c * 5 + i) % 11) / 10, (r + c) % 3 % 2) for i in (1, 2) for r in range(6) for c in range(3, 8) if (r * c + i) % 7]
+    values = spark.createDataFrame(rows, "img long, row int, col int, p double, t int")
+
+    def plain(values):
+        image, skeleton = values.select("img", "row", "col", "p"), None
+        for i in range(3):
+            image = raster.soft_erode(image).localCheckpoint() if i else image
+            delta = image.join(raster.soft_dilate(raster.soft_erode(image)).withColumnRenamed("p", "o"), ["img", "row", "col"]).select("img", "row", "col", F.greatest(F.col("p") - F.col("o"), F.lit(0.0)).alias("d"))
+            skeleton = delta.withColumnRenamed("d", "p") if skeleton is None else skeleton.join(delta, ["img", "row", "col"]).select("img", "row", "col", (F.col("p") + F.greatest(F.col("d") - F.col("p") * F.col("d"), F.lit(0.0))).alias("p"))
+        return {tuple(r)[:3]: r["p"] for r in skeleton.collect()}
+
+    sp, st = plain(values), plain(values.withColumn("p", F.col("t").cast("double")))
+    assert {tuple(r)[:3]: r["p"] for r in raster.soft_skeleton(values, 2).collect()} == pytest.approx(sp)
+    for r in scoring.soft_cldice(values, 2).collect():
+        mine = [x for x in rows if x[0] == r["img"]]
+        precision = (sum(sp[x[:3]] * x[4] for x in mine) + 1) / (sum(sp[x[:3]] for x in mine) + 1)
+        recall = (sum(st[x[:3]] * x[3] for x in mine) + 1) / (sum(st[x[:3]] for x in mine) + 1)
+        assert r["cldice"] == pytest.approx(1 - 2 * precision * recall / (precision + recall))
