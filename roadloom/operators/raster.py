@@ -117,11 +117,69 @@ def filled_holes(pixels: DataFrame, masks: DataFrame, area: int = 50) -> DataFra
 
 
 def cleaned(pixels: DataFrame, masks: DataFrame, min_size: int = 50, open_radius: int = 0, close_radius: int = 0, fill: int = 0) -> DataFrame:
-    """Opening, closing, small components, holes, in that order."""
-    out = closed(opened(pixels, open_radius), close_radius)
-    if min_size > 0:
-        out = without_small(out, min_size)
-    return filled_holes(out, masks, fill) if fill > 0 else out
+    """Opening, closing, small components, holes, in that order, as the operators above do them; a task holds a mask's pixels."""
+    if max(min_size, open_radius, close_radius, fill) <= 0:
+        return pixels
+
+    def run(key, left, right):
+        import numpy as np
+        import pandas as pd
+
+        sizes = [] if fill <= 0 or key[0] is None else list(zip(right["height"].tolist(), right["width"].tolist()))
+        row, col = (np.append(left[c].to_numpy(dtype="int64"), [0, *(s[i] for s in sizes)]) for i, c in enumerate(("row", "col")))
+        # Pixels are numbered row by row, with room about them for what the steps reach.
+        room = 1 + 2 * max(open_radius, close_radius, 0)
+        top, first = row.min() - room, col.min() - room
+        wide = col.max() - first + room + 1
+        number = lambda r, c: (r - top) * wide + (c - first)
+        own = np.unique(number(row, col)[: len(left)])
+        for radius, grows in ((open_radius, (False, True)), (close_radius, (True, False))):
+            steps = [a * wide + b for a, b in disk(radius)] if radius > 0 else []
+            for grow in grows if steps else ():
+                own = np.unique(np.concatenate([own + s for s in steps])) if grow else own[np.logical_and.reduce([among(own, own + s) for s in steps])]
+        if min_size > 0:
+            own = own[:0] if key[0] is None else own[_pieces(own, wide, EIGHT) >= min_size]
+        if sizes:
+            free = np.unique(np.concatenate([number(*(x.ravel() for x in np.indices((max(h, 0), max(w, 0))))) for h, w in sizes]))
+            free = free[~among(own, free)]
+            own = np.concatenate((own, free[_pieces(free, wide, FOUR) < fill]))
+        out = pd.DataFrame({"row": own // wide + top, "col": own % wide + first})
+        out.insert(0, "mask_id", pd.Series([key[0]] * len(own), dtype=object))
+        return out
+
+    types = dict(pixels.dtypes)
+    pixels = pixels.select("mask_id", "row", "col").where("row is not null and col is not null")
+    # Only holes need the sizes, and masks without a pixel.
+    masks = masks.select("mask_id", "height", "width") if fill > 0 else pixels.select("mask_id", F.lit(0).alias("height"), F.lit(0).alias("width")).limit(0)
+    return pixels.groupBy("mask_id").cogroup(masks.groupBy("mask_id")).applyInPandas(lambda key, left, right: run(key, left, right), f"mask_id {types['mask_id']}, row {types['row']}, col {types['col']}")
+
+
+def among(numbers, asked):
+    """Which of ``asked`` are among the sorted ``numbers``."""
+    import numpy as np
+
+    if not len(numbers):
+        return np.zeros(len(asked), bool)
+    at = np.searchsorted(numbers, asked)
+    return numbers[np.minimum(at, len(numbers) - 1)] == asked
+
+
+def _pieces(numbers, wide: int, steps):
+    """How many pixels the component of each has, of sorted pixel ``numbers`` (row * wide + col)."""
+    import numpy as np
+
+    ends = []
+    for step in (a * wide + b for a, b in steps if (a, b) > (0, 0)):
+        there = among(numbers, numbers + step)
+        ends.append((np.flatnonzero(there), np.searchsorted(numbers, numbers[there] + step)))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    label = np.arange(len(numbers))
+    while (label[a] != label[b]).any():
+        one, other = label[a], label[b]
+        np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+        while (label[label] != label).any():
+            label = label[label]
+    return np.bincount(label, minlength=len(numbers))[label]
 
 
 def without_spurs(pixels: DataFrame, longest: int = 5) -> DataFrame:
