@@ -263,44 +263,114 @@ def soft_skeleton(values: DataFrame, rounds: int = 3) -> DataFrame:
     return values.groupBy("img").applyInPandas(run, values.schema)
 
 
+#: Places for cells that a task has found touched; rows and cells that it looks at in one go.
+FOUND, ROWS_AT_ONCE, CELLS_AT_ONCE = 1 << 20, 1 << 18, 1 << 20
+
+
 def rasterized(segments: DataFrame, width_m: float, resolution: float = 1.0, height: int | None = None, width: int | None = None) -> DataFrame:
     """Cells touched by lines of width ``width_m``: ``segments(mask_id, x1, y1, x2, y2)`` in grid metres (y down) to pixels.
 
-    A cell is touched if its square comes within half the width of the segment.
+    A cell is touched if its square comes within half the width of the segment. A task
+    passes over cells that it has found touched before, so of many segments over one
+    place few are worked out, and few rows are left to be made distinct.
     """
-    half = width_m / 2
-    cell = lambda v: F.floor(v / resolution).cast("int")
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    spans = segments.withColumn("row", F.explode(F.sequence(cell(F.least(y1, y2) - half), cell(F.greatest(y1, y2) + half))))
-    spans = spans.withColumn("col", F.explode(F.sequence(cell(F.least(x1, x2) - half), cell(F.greatest(x1, x2) + half))))
-    left, top = F.col("col") * resolution, F.col("row") * resolution
+
+    def run(batches):
+        import pandas as pd
+
+        cells = TouchedCells(width_m / 2, resolution, height, width)
+        for batch in batches:
+            for mask, row, col in cells.of(batch["mask_id"], *(batch[c].to_numpy(dtype="float64") for c in ("x1", "y1", "x2", "y2"))):
+                yield pd.DataFrame({"mask_id": mask, "row": row, "col": col})
+
+    kind = dict(segments.dtypes)["mask_id"]
+    ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    finite = " and ".join(f"{c} is not null and abs({c}) < double('infinity')" for c in ("x1", "y1", "x2", "y2"))
+    return segments.select("mask_id", *ends).where(finite).mapInPandas(run, f"mask_id {kind}, row int, col int").distinct()
+
+
+class TouchedCells:
+    """The cells that segments touch, each at least once and seldom again."""
+
+    def __init__(self, half: float, resolution: float, height: int | None = None, width: int | None = None):
+        import numpy as np
+
+        self.half, self.resolution, self.height, self.width = half, resolution, height, width
+        self.masks: dict = {}
+        # Of the cells that share a place the last one is kept; any other may come again.
+        self.cell, self.mask = np.zeros(FOUND, np.int64), np.full(FOUND, -1, np.int32)
+
+    def of(self, names, x1, y1, x2, y2):
+        """(mask_ids, rows, cols) of cells that were not known as touched."""
+        import numpy as np
+        import pandas as pd
+
+        codes, unique = pd.factorize(names, use_na_sentinel=False)
+        numbers = np.array([self.masks.setdefault(None if pd.isna(u) else u, len(self.masks)) for u in unique], np.int32)[codes]
+        each = list(self.masks)
+        place = lambda v: np.floor(v / self.resolution).astype(np.int64)
+        spans = []
+        for a, b, end in ((y1, y2, self.height), (x1, x2, self.width)):
+            low, high = place(np.minimum(a, b) - self.half), place(np.maximum(a, b) + self.half)
+            spans.append((np.maximum(low, 0), high if end is None else np.minimum(high, end - 1)))
+        (top, bottom), (left, right) = spans
+        many, wide = np.maximum(bottom - top + 1, 0), np.maximum(right - left + 1, 0)
+        for lo, hi in _shares(many, ROWS_AT_ONCE):
+            at = np.repeat(np.arange(lo, hi), many[lo:hi])
+            row = np.arange(len(at)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi]) + top[at]
+            for a, b in _shares(wide[at], CELLS_AT_ONCE):
+                w = wide[at[a:b]]
+                one, r = np.repeat(at[a:b], w), np.repeat(row[a:b], w)
+                c = np.arange(len(one)) - np.repeat(np.cumsum(w) - w, w) + left[one]
+                cell, mask = (r << 32) | c, numbers[one]
+                spot = ((cell.view(np.uint64) + mask.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - FOUND.bit_length())).astype(np.int64)
+                new = np.flatnonzero((self.cell[spot] != cell) | (self.mask[spot] != mask))
+                one, r, c = one[new], r[new], c[new]
+                new = new[touches(x1[one], y1[one], x2[one], y2[one], r, c, self.half, self.resolution)]
+                if len(new):
+                    found = np.unique(np.stack((mask[new], cell[new], spot[new])), axis=1)
+                    self.mask[found[2]], self.cell[found[2]] = found[0], found[1]
+                    yield [each[m] for m in found[0].tolist()], (found[1] >> 32).astype(np.int32), (found[1] & 0xFFFFFFFF).astype(np.int32)
+
+
+def _shares(counts, most: int):
+    """Ranges whose counts add up to ``most`` at the most, or a single one."""
+    import numpy as np
+
+    upto, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(upto, most + (upto[a - 1] if a else 0), side="right")))
+        yield a, b
+        a = b
+
+
+def touches(x1, y1, x2, y2, row, col, half: float, resolution: float):
+    """Whether the square of a cell comes within ``half`` of a segment."""
+    import numpy as np
+
+    left, top = col * resolution, row * resolution
     right, bottom = left + resolution, top + resolution
+    corners = ((left, top), (right, top), (right, bottom), (left, bottom))
+    dx, dy = x2 - x1, y2 - y1
+    norm = dx * dx + dy * dy
+    long = np.where(norm > 0, norm, 1.0)
 
     def to_point(px, py):
         """Squared distance of a point to the segment."""
-        dx, dy = x2 - x1, y2 - y1
-        norm = dx * dx + dy * dy
-        t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / F.when(norm > 0, norm)))).otherwise(0.0)
+        t = np.where(norm > 0, np.maximum(0.0, np.minimum(1.0, ((px - x1) * dx + (py - y1) * dy) / long)), 0.0)
         ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
         return ex * ex + ey * ey
 
     def to_square(px, py):
-        ex = F.greatest(left - px, F.lit(0.0), px - right)
-        ey = F.greatest(top - py, F.lit(0.0), py - bottom)
+        ex = np.maximum(np.maximum(left - px, 0.0), px - right)
+        ey = np.maximum(np.maximum(top - py, 0.0), py - bottom)
         return ex * ex + ey * ey
 
-    side = lambda px, py: (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
-    corners = [side(a, b) for a, b in ((left, top), (right, top), (right, bottom), (left, bottom))]
-    boxes = (F.least(x1, x2) <= right) & (F.greatest(x1, x2) >= left) & (F.least(y1, y2) <= bottom) & (F.greatest(y1, y2) >= top)
-    crosses = boxes & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
-    nearest = F.least(*(to_point(a, b) for a, b in ((left, top), (right, top), (right, bottom), (left, bottom))), to_square(x1, y1), to_square(x2, y2))
-    touched = spans.where(crosses | (nearest <= half * half)).select("mask_id", "row", "col").distinct()
-    keep = (F.col("row") >= 0) & (F.col("col") >= 0)
-    if height is not None:
-        keep = keep & (F.col("row") < height)
-    if width is not None:
-        keep = keep & (F.col("col") < width)
-    return touched.where(keep)
+    sides = [dx * (py - y1) - dy * (px - x1) for px, py in corners]
+    least, most = (f.reduce(sides) for f in (np.minimum, np.maximum))
+    boxes = (np.minimum(x1, x2) <= right) & (np.maximum(x1, x2) >= left) & (np.minimum(y1, y2) <= bottom) & (np.maximum(y1, y2) >= top)
+    nearest = np.minimum.reduce([*(to_point(px, py) for px, py in corners), to_square(x1, y1), to_square(x2, y2)])
+    return (boxes & (least <= 0) & (most >= 0)) | (nearest <= half * half)
 
 
 def resampled_nearest(pixels: DataFrame, factor: float, height: int, width: int) -> DataFrame:
