@@ -35,16 +35,18 @@ from roadloom.llm.tokens import load
 MARGIN = 32
 
 
-def _starts(encoding):
-    """Of an encoded chunk: {character: index of the token} for every pre-token start."""
-    import numpy as np
-
-    words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-    if not len(words):
-        return {}
-    fresh = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (words[1:] < 0))))
-    offsets = encoding.offsets
-    return {offsets[i][0]: i for i in fresh.tolist()}
+def _starts(encoding, low: int, high: int, last: bool):
+    """Of an encoded chunk: {character: index of the token} for every pre-token start from ``low`` to ``high``; read from the ``last`` token back or from the first on, only as far as needed."""
+    found, many = {}, len(encoding)
+    for i in range(many - 1, -1, -1) if last else range(many):
+        at = encoding.token_to_chars(i)[0]
+        if at < low if last else at > high:
+            break
+        if low <= at <= high:
+            word = encoding.token_to_word(i)
+            if not i or word is None or word != encoding.token_to_word(i - 1):
+                found[at] = max(i, found.get(at, i))
+    return found
 
 
 def count_tokens(tokenizer, text: str, chunk: int = 16_384, overlap: int = 256) -> int:
@@ -52,25 +54,23 @@ def count_tokens(tokenizer, text: str, chunk: int = 16_384, overlap: int = 256)
     encode = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
     total, begin, end = 0, 0, min(chunk, len(text))
     current, first = encode(begin, end), 0  # tokens before ``first`` are counted already
-    starts = None
     while end < len(text):
-        starts = _starts(current) if starts is None else starts
         reach, spliced = overlap, False
         while reach < end - begin:
             after = min(end - reach + chunk, len(text)) if end - reach + chunk > end else min(end + chunk, len(text))
             later = encode(end - reach, after)
-            others = _starts(later)
             shift = end - reach - begin  # of the later chunk against this one
-            common = [c for c in others if 0 < c and c + shift <= end - begin - MARGIN and starts.get(c + shift, -1) >= first]
+            starts, others = _starts(current, shift + 1, end - begin - MARGIN, True), _starts(later, 1, reach - MARGIN, False)
+            common = [c for c in others if starts.get(c + shift, -1) >= first]
             if common:
                 place = max(common)
                 total += starts[place + shift] - first
-                begin, end, current, first, starts, spliced = end - reach, after, later, others[place], others, True
+                begin, end, current, first, spliced = end - reach, after, later, others[place], True
                 break
             reach *= 4
         if not spliced:  # no common boundary: a longer chunk in place of this one, counted from the same token
             end = min(end + max(chunk, end - begin), len(text))
-            current, starts = encode(begin, end), None
+            current = encode(begin, end)
     return total + len(current) - first
 
 
