@@ -4,8 +4,9 @@ There, white space never takes part in a token, and neither normalisation nor
 merges reach across it; a letter and a following mark of punctuation, but for the
 apostrophe of contractions, never share a token either, nor compose. So a text's ids are those of its pieces between such
 places, one after the other, and A-Z may be lower-cased beforehand. Each distinct
-piece goes through the library once in a worker process; its ids are kept as
-bytes, which makes a text's ids one join. Special strings are matched before
+piece goes through the library once in a worker process and its ids are kept as
+bytes; the pieces of many texts are told apart by 64-bit keys, on whole arrays, and
+looked up once each. Special strings are matched before
 normalisation, so a text that may hold one goes through the library whole.
 """
 
@@ -13,10 +14,14 @@ from __future__ import annotations
 
 from array import array
 
+from roadloom.llm.pieces import piece_keys, same_keys, word_places
+
 #: Pieces kept by a worker process before it starts anew: bounds its memory, not its results.
 KEPT_PIECES = 300_000
 #: Marks that always end a run of letters.
 MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: ASCII white space as spaces.
+PLAIN = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def load(tokenizer_json: str):
@@ -32,23 +37,27 @@ def load(tokenizer_json: str):
     return tokenizer
 
 
-def cut_texts(texts: list[bytes]) -> list[list[bytes]]:
-    """The pieces of each text: parted by ASCII white space and between a-z and one of MARKS."""
+def numbered_pieces(texts: list[bytes]):
+    """The distinct pieces of texts, each text's number of pieces, and all pieces as places among the distinct ones.
+
+    Texts are parted by ASCII white space and between a-z and one of MARKS.
+    """
     import numpy as np
 
-    sizes = np.array([len(t) for t in texts], np.int64)
-    joined = b"".join(texts)
     kind = np.zeros(256, np.uint8)
     kind[ord("a") : ord("z") + 1] = 1
     kind[list(MARKS)] = 2
-    kinds = kind[np.frombuffer(joined, np.uint8)]
+    joined = np.frombuffer((b" ".join(texts) + b" ").translate(PLAIN), np.uint8)
+    kinds = kind[joined]
     cuts = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
-    joined = np.insert(np.frombuffer(joined, np.uint8), cuts, 32).tobytes()
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    # A cut at the very start of a text (after the letters of the one before) lands in front of it: white space.
-    starts, ends = (starts + np.searchsorted(cuts, starts)).tolist(), (ends + np.searchsorted(cuts, ends)).tolist()
-    return [joined[a:b].split() for a, b in zip(starts, ends)]
+    data = np.insert(joined, cuts, 32).tobytes()
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    starts, sizes = word_places(data)
+    lengths = np.diff(np.searchsorted(starts, begins + np.searchsorted(cuts, begins)))
+    if not len(starts):
+        return [], lengths, np.zeros(0, np.int32)
+    places, first = same_keys(piece_keys(data, starts, sizes))
+    return [data[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist())], lengths, places
 
 
 class PieceEncoder:
@@ -76,13 +85,15 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts) -> list[bytes]:
+        import numpy as np
+
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         whole = {i for i, t in enumerate(raw) if any(s in t for s in self.specials)}
-        pieces = cut_texts([b"" if i in whole else t.lower() for i, t in enumerate(raw)])
+        pieces, lengths, places = numbered_pieces([b"" if i in whole else t.lower() for i, t in enumerate(raw)])
         known = self.known
         if len(known) > self.kept_pieces:
             known.clear()
-        missing = list(set().union(*pieces).difference(known))
+        missing = [x for x in pieces if x not in known]
         if self.direct:
             merge, plain = self.tokenizer.model.tokenize, [x for x in missing if x.isalpha()]
             known.update((x, array("I", [t.id for t in merge(x.decode())]).tobytes()) for x in plain)
@@ -101,7 +112,13 @@ class PieceEncoder:
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             known.update(zip(part, self._library([x.decode("utf-8", "replace") for x in part])))
-        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
+        found = [known[x] for x in pieces]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        ends = np.cumsum(sizes)
+        data = ids.take(np.repeat(begins - (ends - sizes), sizes) + np.arange(sizes.sum())).tobytes()
+        cuts = (4 * np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))]).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         for i in whole:
             out[i] = self._library([raw[i].decode("utf-8", "replace")])[0]
         return out

@@ -45,3 +45,22 @@ def test_a_worker_judges_a_run_once(monkeypatch):
     assert sum(judged) == len(np.unique(run))
     assert np.array_equal(kept.opinions(run), first)
     assert sum(judged) < 1.1 * len(np.unique(run))  # but for the runs that meet in a place
+
+
+def test_pieces_of_a_token_store_are_numbered_as_a_plain_reading_does():
+    import re
+
+    from roadloom.llm.tokens import MARKS, numbered_pieces
+
+    rng = random.Random(2)
+    letters = [b"a", b"z", b"\0", b" ", b"\n", b".", b"'", "é".encode(), b"A", b"9"]
+    cut = re.compile(b"(?<=[a-z])(?=[" + re.escape(MARKS) + b"])")
+    for _ in range(300):
+        texts = [b"".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(rng.randint(1, 6))]
+        texts.append(b"z" * rng.randint(1, 200) + b"." * rng.randint(0, 100))
+        pieces, lengths, places = numbered_pieces(texts)
+        assert len(set(pieces)) == len(pieces) and len(places) == lengths.sum()
+        at = 0
+        for t, n in zip(texts, lengths.tolist()):
+            assert [pieces[k] for k in places[at : at + n]] == cut.sub(b" ", t).split()
+            at += n
